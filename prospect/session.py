@@ -61,14 +61,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/prospect-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
-
-    Survives executor loss (unlike ``localCheckpoint``) and keeps the
-    partitioning of the checkpointed plan.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table in the shared folder
+    and reading it back.
+
+    The plan runs once (an eager ``checkpoint()`` runs it twice: once to
+    count, once to write), the table survives executor loss (unlike
+    ``localCheckpoint``), and the re-read carries real file sizes for the
+    optimizer's broadcast decisions.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def broadcast_row_limit(spark: SparkSession, row_bytes: int) -> int:
