@@ -38,8 +38,8 @@ def search_batch(tables: Tables, requests: DataFrame, sink: str, batch_id: int,
     """One micro-batch: B1-B5 on the batch's requests, written by batch id."""
     if profiles is None:
         requests = requests.drop("profile")
-    _, _, results, counts = B.run_requests(tables, requests, profiles, as_of)
-    results.write.mode("overwrite").parquet(f"{sink}/results/batch_id={batch_id}")
+    _, _, _, counts = B.run_requests(tables, requests, profiles, as_of,
+                                     results_path=f"{sink}/results/batch_id={batch_id}")
     counts.write.mode("overwrite").parquet(f"{sink}/counts/batch_id={batch_id}")
 
 
