@@ -123,6 +123,4 @@ def enrich_companies(base: DataFrame, sic_agg: DataFrame, psc_agg: DataFrame, of
         .join(side(psc_agg, "company_number"), "CompanyNumber", "left")
         .join(side(officer_agg, "company_number"), "CompanyNumber", "left")
     )
-    for c in COUNT_COLUMNS:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("bigint")))
-    return out
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in COUNT_COLUMNS})

@@ -76,6 +76,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """``materialize`` plus the number of rows written, observed during the
+    write itself (no second job to count)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    obs = Observation(f"rows-{name}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["rows"])
+
+
 def broadcast_row_limit(spark: SparkSession, row_bytes: int) -> int:
     """Rows of ``row_bytes`` each that fit under the broadcast threshold."""
     raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
