@@ -87,3 +87,15 @@ def postcodes_within(postcodes: DataFrame, lat0: float, lon0: float, radius_mile
     what the reference's plan does implicitly after predicate push-down."""
     return radius_filter(postcodes, lat0, lon0, radius_miles).select(
         normalise_postcode("pcds").alias(PC_KEY), "lat", "long", "distance_miles")
+
+
+def within_area(df: DataFrame, lat0: float, lon0: float, radius_miles: float,
+                lat: str = "geo_lat", lon: str = "geo_long") -> DataFrame:
+    """Keep rows whose company lies in the circle's bounding box, when the
+    table carries company coordinates (prepared with the location layout);
+    otherwise return ``df`` unchanged.  Literal bounds reach the Parquet
+    scan, which skips row groups outside the box.  Safe as a pre-filter:
+    every company within the radius lies inside the box."""
+    if lat not in df.columns or lon not in df.columns:
+        return df
+    return df.where(bounding_box(F.col(lat), F.col(lon), lat0, lon0, radius_miles))

@@ -1,10 +1,19 @@
 """Prepare pipeline (the reference's setup entry): raw snapshots -> prepared
 Parquet folder, plus the data-quality report.
 
-The raw company register is parsed once and checkpointed (it feeds the
-companies table, the industry-code table and the parse report); the
-postcode table is written sorted by latitude so a search's bounding box
-skips row groups; every write is ZSTD Parquet with bounded row groups.
+Layout for searching at scale: every prepared table that is keyed by a
+company also carries that company's coordinates (``geo_lat``,
+``geo_long``, from its registered postcode; NULL when it has none) and is
+written range-partitioned and sorted by them.  A search's literal bounding
+box then reaches *every* scan (companies, industry codes, owners,
+officers) as pushed filters, and Parquet skips the row groups outside the
+area; the postcode table is laid out the same way on its own ``lat`` /
+``long``.  The prepared tables keep all the reference's columns; the two
+location columns are extra.
+
+The raw company register is parsed once and materialized (it feeds the
+companies table, the industry-code table and the parse report); every write
+is ZSTD Parquet with bounded row groups.
 """
 
 from __future__ import annotations
@@ -13,13 +22,18 @@ import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prospect.functions.expressions import normalise_postcode
 from prospect.operators import prepare as P
 from prospect.operators import quality as Q
-from prospect.session import materialize
+from prospect.session import broadcast_row_limit, materialize, materialize_counted
 from prospect.sources.tables import Tables, read_prepared
 from prospect.sources.writers import write_parquet
 
+GEO_COLUMNS = ["geo_lat", "geo_long"]
+POSTCODE_ROW_BYTES = 64
+
 
 @dataclass(frozen=True)
 class RawSources:
@@ -29,21 +43,70 @@ class RawSources:
     officers: DataFrame | None = None
 
 
+def company_locations(companies: DataFrame, postcodes: DataFrame, postcode_rows: int) -> DataFrame:
+    """(CompanyNumber, geo_lat, geo_long) for geocodable companies.  The
+    postcode side is broadcast only when its counted size fits the budget."""
+    spark = companies.sparkSession
+    pcs = postcodes.select(normalise_postcode("pcds").alias("_pc"), F.col("lat").alias("geo_lat"),
+                           F.col("long").alias("geo_long"))
+    if postcode_rows <= broadcast_row_limit(spark, POSTCODE_ROW_BYTES):
+        pcs = F.broadcast(pcs)
+    return (
+        companies.select("CompanyNumber", normalise_postcode("RegAddressPostCode").alias("_pc"))
+        .join(pcs, "_pc", "inner")
+        .drop("_pc")
+    )
+
+
+def with_location(df: DataFrame, key: str, locations: DataFrame) -> DataFrame:
+    """Attach the company's coordinates (left join: rows of companies without
+    a location keep NULLs and stay in the table)."""
+    loc = locations.withColumnRenamed("CompanyNumber", key) if key != "CompanyNumber" else locations
+    return df.join(loc, key, "left")
+
+
+def write_by_location(df: DataFrame, path: str, partitions: int, tiebreak: list[str]) -> None:
+    """Range-partition and sort on (geo_lat, geo_long, tie-breakers): row
+    groups cover compact areas.  The tie-breakers let rows of one hot
+    location (a formation agent's postcode) spread over several partitions."""
+    keys = [*GEO_COLUMNS, *tiebreak]
+    write_parquet(df.repartitionByRange(partitions, *keys), path, sort_within=keys)
+
+
 def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
-                ingest_as_of: _dt.date | str | None = None, postcode_partitions: int | None = None) -> Tables:
+                ingest_as_of: _dt.date | str | None = None, partitions: int | None = None,
+                geo_layout: bool = True) -> Tables:
     """Write the five prepared tables under ``folder`` and return them as
     Parquet-backed DataFrames."""
     folder = folder.rstrip("/")
-    companies_raw = materialize(raw.companies)
-    write_parquet(P.prepare_companies(companies_raw), f"{folder}/companies.parquet")
-    write_parquet(P.prepare_company_sic(companies_raw), f"{folder}/company_sic.parquet")
-    postcodes = P.prepare_postcodes(raw.postcodes)
-    parts = postcode_partitions or max(1, spark.sparkContext.defaultParallelism)
-    write_parquet(postcodes.repartitionByRange(parts, "lat"), f"{folder}/postcodes.parquet",
+    parts = partitions or max(1, spark.sparkContext.defaultParallelism)
+    companies_raw = materialize(raw.companies, "raw-companies")
+    postcodes, postcode_rows = materialize_counted(P.prepare_postcodes(raw.postcodes), "prepared-postcodes")
+    write_parquet(postcodes.repartitionByRange(parts, "lat", "long", "pcds"), f"{folder}/postcodes.parquet",
                   sort_within=["lat", "long"])
-    write_parquet(P.prepare_psc(raw.psc, ingest_as_of), f"{folder}/psc.parquet")
-    if raw.officers is not None:
-        write_parquet(P.prepare_officers(raw.officers), f"{folder}/officers.parquet")
+
+    companies = P.prepare_companies(companies_raw)
+    sic = P.prepare_company_sic(companies_raw)
+    psc = P.prepare_psc(raw.psc, ingest_as_of)
+    officers = P.prepare_officers(raw.officers) if raw.officers is not None else None
+    if not geo_layout:
+        write_parquet(companies, f"{folder}/companies.parquet")
+        write_parquet(sic, f"{folder}/company_sic.parquet")
+        write_parquet(psc, f"{folder}/psc.parquet")
+        if officers is not None:
+            write_parquet(officers, f"{folder}/officers.parquet")
+        return read_prepared(spark, folder)
+
+    locations = materialize(company_locations(companies, postcodes, postcode_rows), "company-locations")
+    write_by_location(with_location(companies, "CompanyNumber", locations), f"{folder}/companies.parquet",
+                      parts, ["CompanyNumber"])
+    write_by_location(with_location(sic, "CompanyNumber", locations), f"{folder}/company_sic.parquet",
+                      parts, ["CompanyNumber", "sic_position"])
+    write_by_location(with_location(psc, "company_number", locations), f"{folder}/psc.parquet",
+                      parts, ["company_number", "name"])
+    if officers is not None:
+        write_by_location(with_location(officers, "company_number", locations), f"{folder}/officers.parquet",
+                          parts, ["company_number", "appointment_date"])
     return read_prepared(spark, folder)
 
 

@@ -77,8 +77,9 @@ def scan_officers(spark: SparkSession, path: str) -> DataFrame:
     from prospect.sources.tables import empty_officers
 
     try:
-        return spark.read.parquet(path).select(
-            F.col("company_number").cast("string"), F.col("appointment_date").cast("bigint"))
+        return spark.read.parquet(path).withColumns({
+            "company_number": F.col("company_number").cast("string"),
+            "appointment_date": F.col("appointment_date").cast("bigint")})
     except Exception as exc:  # AnalysisException: path does not exist
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return empty_officers(spark)
