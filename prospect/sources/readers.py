@@ -72,18 +72,22 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its file system (one metadata call on the driver)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def scan_officers(spark: SparkSession, path: str) -> DataFrame:
     """Officer appointments; an absent input is an empty table."""
     from prospect.sources.tables import empty_officers
 
-    try:
-        return spark.read.parquet(path).withColumns({
-            "company_number": F.col("company_number").cast("string"),
-            "appointment_date": F.col("appointment_date").cast("bigint")})
-    except Exception as exc:  # AnalysisException: path does not exist
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return empty_officers(spark)
-        raise
+    if not path_exists(spark, path):
+        return empty_officers(spark)
+    return spark.read.parquet(path).withColumns({
+        "company_number": F.col("company_number").cast("string"),
+        "appointment_date": F.col("appointment_date").cast("bigint")})
 
 
 # Month abbreviations of the postcode directory's release names.
