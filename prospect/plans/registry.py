@@ -9,13 +9,12 @@ into a fresh folder under the shared checkpoint folder and read them back.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospect.functions.expressions import haversine_miles, normalise_postcode, round_half_away, year_diff
+from prospect.functions.expressions import round_half_away, year_diff
 from prospect.operators import aggregates as A
 from prospect.operators import geo as G
 from prospect.operators import matching as J

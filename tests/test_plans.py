@@ -39,13 +39,14 @@ def test_batch_radius_join_is_an_equi_join(spark, small_tables):
     from prospect.sources.schemas import REQUESTS
 
     rows = [{**{f.name: None for f in REQUESTS.fields}, "request_id": f"r{i}", "postcode": pc, "radius_miles": r}
-            for i, (pc, r) in enumerate([("AB24 0AQ", 10.0), ("AB30 0AQ", 40.0), ("AB11 0AQ", 120.0)])]
+            for i, (pc, r) in enumerate([("AB24 0AQ", 10.0), ("AB30 0AQ", 40.0), ("AB11 0AQ", 120.0),
+                                         ("AB24 0AQ", 0.5), ("AB64 1AQ", 3.0), ("AB11 0AQ", 500.0)])]
     located = B.locate_requests(B.validate_requests(B.resolve_requests(spark.createDataFrame(rows, REQUESTS))),
                                 small_tables.postcodes)
     pairs = B.pairs_within(located, small_tables.postcodes)
     p = plan(pairs)
     assert "NestedLoop" not in p and "CartesianProduct" not in p
-    assert "cx" in p and "cy" in p
+    assert "cx" in p and "cy" in p and "level" in p
     # the grid join finds exactly the pairs a brute-force cross product finds
     from pyspark.sql import functions as F
 
