@@ -21,13 +21,13 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prospect.functions.expressions import normalise_postcode
 from prospect.operators import prepare as P
 from prospect.operators import quality as Q
-from prospect.session import broadcast_row_limit, materialize, materialize_counted
+from prospect.session import broadcast_row_limit, materialize
 from prospect.sources.tables import Tables, read_prepared
 from prospect.sources.writers import write_parquet
 
@@ -81,9 +81,13 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     folder = folder.rstrip("/")
     parts = partitions or max(1, spark.sparkContext.defaultParallelism)
     companies_raw = materialize(raw.companies, "raw-companies")
-    postcodes, postcode_rows = materialize_counted(P.prepare_postcodes(raw.postcodes), "prepared-postcodes")
-    write_parquet(postcodes.repartitionByRange(parts, "lat", "long", "pcds"), f"{folder}/postcodes.parquet",
+    # Observed after the range exchange: below it, the exchange's sampling
+    # pass would be counted too.
+    obs = Observation("prepared-postcodes")
+    postcodes = P.prepare_postcodes(raw.postcodes).repartitionByRange(parts, "lat", "long", "pcds")
+    write_parquet(postcodes.observe(obs, F.count(F.lit(1)).alias("rows")), f"{folder}/postcodes.parquet",
                   sort_within=["lat", "long"])
+    postcodes, postcode_rows = spark.read.parquet(f"{folder}/postcodes.parquet"), int(obs.get["rows"])
 
     companies = P.prepare_companies(companies_raw)
     sic = P.prepare_company_sic(companies_raw)
