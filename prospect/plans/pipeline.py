@@ -66,11 +66,15 @@ def with_location(df: DataFrame, key: str, locations: DataFrame) -> DataFrame:
 
 
 def write_by_location(df: DataFrame, path: str, partitions: int, tiebreak: list[str]) -> None:
-    """Range-partition and sort on (geo_lat, geo_long, tie-breakers): row
-    groups cover compact areas.  The tie-breakers let rows of one hot
-    location (a formation agent's postcode) spread over several partitions."""
-    keys = [*GEO_COLUMNS, *tiebreak]
-    write_parquet(df.repartitionByRange(partitions, *keys), path, sort_within=keys)
+    """Range-partition and sort on (geo_lat, geo_long, tie-breakers, row
+    hash): row groups cover compact areas.  The tie-breakers and a
+    deterministic hash of the whole row let the rows of one hot location (a
+    formation agent's postcode) or one hot company spread over several
+    partitions instead of landing in one task."""
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_spread")
+    keys = [*GEO_COLUMNS, *tiebreak, "_spread"]
+    out = df.select("*", spread).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).drop("_spread")
+    write_parquet(out, path)
 
 
 def prepare_all(spark: SparkSession, raw: RawSources, folder: str,

@@ -63,3 +63,28 @@ def test_psc_keeps_active_individuals_with_birth_year(spark):
     r = out[0]
     assert (r.company_number, r.name, r.birth_year, r.approximate_age) == ("1", "Ann", 1960, 65)
     assert r.natures_of_control == ["x"]
+
+
+def test_location_layout_spreads_a_hot_company(spark):
+    """A company holding a third of all rows (same location, same name) is
+    spread over several output files, not written by one task."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from prospect.plans.pipeline import write_by_location
+    from prospect.session import scratch_path
+
+    hot = spark.range(3000).select(F.lit("HOT").alias("company_number"), F.lit("Same Name").alias("name"),
+                                   F.lit(51.5).alias("geo_lat"), F.lit(-0.1).alias("geo_long"),
+                                   F.col("id").alias("v"))
+    rest = spark.range(6000).select(F.format_string("C%05d", "id").alias("company_number"),
+                                    F.lit("Other").alias("name"),
+                                    (F.lit(50.0) + F.col("id") / 1000).alias("geo_lat"),
+                                    F.lit(-1.0).alias("geo_long"), F.col("id").alias("v"))
+    path = scratch_path(spark, "hot-layout")
+    write_by_location(hot.unionByName(rest), path, 8, ["company_number", "name"])
+    files = glob.glob(path.replace("file:", "", 1) + "/*.parquet")
+    counts = sorted(pq.ParquetFile(f).metadata.num_rows for f in files)
+    assert sum(counts) == 9000
+    assert counts[-1] < 3000  # the hot company's rows are split
