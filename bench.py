@@ -13,7 +13,9 @@ Workloads (the reference's three entry points, plus the batch form):
   find_companies     search + count + cap + CSV export
   search_many        every supplier-derived request in one job (B1-B5)
 Searches run against the prepared Parquet folder, as a user would.
-Each query's result is fully executed through the ``noop`` sink.
+Each query's result is fully executed through the ``noop`` sink.  Short
+workloads (reports and single searches) report the best of two runs, to damp
+the host's timing noise; prepare and the batch run once.
 """
 
 from __future__ import annotations
@@ -44,10 +46,14 @@ def main() -> None:
     as_of = "2025-06-30"
     timings: dict[str, float] = {}
 
-    def timed(name, fn):
-        t0 = time.perf_counter()
-        fn()
-        timings[name] = round(time.perf_counter() - t0, 3)
+    def timed(name, fn, repeat=1):
+        best = None
+        for _ in range(repeat):
+            t0 = time.perf_counter()
+            fn()
+            took = time.perf_counter() - t0
+            best = took if best is None else min(best, took)
+        timings[name] = round(best, 3)
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()
@@ -79,14 +85,14 @@ def main() -> None:
                    PF.coordinate_bounds(raw.postcodes), PF.postcode_samples(raw.postcodes)]:
             run(df)
 
-    timed("quality", quality)
-    timed("profile", profile)
-    timed("search_basic", lambda: run(search(t, SEARCHES["search_basic"], as_of)))
-    timed("search_all_filters", lambda: run(search(t, SEARCHES["search_all_filters"], as_of)))
-    timed("search_tenure", lambda: run(search(t, SEARCHES["search_tenure_strict"], as_of)))
+    timed("quality", quality, 2)
+    timed("profile", profile, 2)
+    timed("search_basic", lambda: run(search(t, SEARCHES["search_basic"], as_of)), 2)
+    timed("search_all_filters", lambda: run(search(t, SEARCHES["search_all_filters"], as_of)), 2)
+    timed("search_tenure", lambda: run(search(t, SEARCHES["search_tenure_strict"], as_of)), 2)
     from prospect.plans.registry import FIND_REQUEST
 
-    timed("find_companies", lambda: find_companies(t, FIND_REQUEST, as_of, scratch_path(spark, "bench-export.csv")))
+    timed("find_companies", lambda: find_companies(t, FIND_REQUEST, as_of, scratch_path(spark, "bench-export.csv")), 2)
 
     def many():
         _, _, _, counts = B.run_requests(t, FX.requests_raw(spark, sf_dir), FX.profiles(spark, sf_dir), as_of,
