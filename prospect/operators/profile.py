@@ -14,10 +14,17 @@ from prospect.operators.prepare import INDIVIDUAL_KIND
 from prospect.operators.quality import _bounds
 
 
+# SQL names of the column types a raw source can have.
+SQL_TYPE_NAMES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE",
+                  "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+
+
 def schema_preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """position, name and type of the first ``n`` columns."""
-    rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields[:n])]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string")
+    """position, name and SQL type of the first ``n`` columns (schema
+    metadata only; no data is read)."""
+    rows = [(i + 1, f.name, SQL_TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString().upper()))
+            for i, f in enumerate(df.schema.fields[:n])]
+    return df.sparkSession.createDataFrame(rows, "position bigint, column_name string, data_type string")
 
 
 def row_counts(sources: dict[str, DataFrame]) -> DataFrame:

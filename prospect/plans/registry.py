@@ -321,7 +321,10 @@ def q_dq_psc_drop_accounting(spark, sf_dir):
 
 # --- F: profiling of raw sources ------------------------------------------------------
 
-@register("profile_schema")
+@register("profile_schema", SQL.with_fixtures(
+    """SELECT position, column_name, data_type FROM (
+  SELECT row_number() OVER () AS position, column_name, column_type AS data_type
+  FROM (DESCRIBE SELECT * FROM companies_raw)) WHERE position <= 20"""))
 def q_profile_schema(spark, sf_dir):
     return PF.schema_preview(S.scan_companies_csv(spark, write_companies_csv(spark, sf_dir)), 20)
 
