@@ -124,3 +124,164 @@ def enrich_companies(base: DataFrame, sic_agg: DataFrame, psc_agg: DataFrame, of
         .join(side(officer_agg, "company_number"), "CompanyNumber", "left")
     )
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in COUNT_COLUMNS})
+
+
+# --- per-company profile ------------------------------------------------------
+#
+# One row per company holding everything A1-A3 and the one-to-many filters
+# need, independent of the request and of the as-of date: counts, extremes,
+# exact integer sums of the notification / appointment *years*, and small
+# value sets (industry codes, owner ages, years), each bounded by its value
+# domain rather than by the number of rows.  Tenures are derived at query
+# time as as-of year minus year; averages from the integer sums, so every
+# derived column equals the reference's aggregate bit for bit.
+
+PROFILE_KEY = "CompanyNumber"
+
+
+def _detail_union(company_sic: DataFrame, psc: DataFrame, officers: DataFrame) -> DataFrame:
+    """The three detail tables stacked on one schema (NULL where a column
+    does not apply), so one aggregation and one shuffle build the profile."""
+    n = {t: F.lit(None).cast(t) for t in ("int", "string", "date", "bigint")}
+    sic = company_sic.select(
+        F.col("CompanyNumber").alias(PROFILE_KEY), F.lit("S").alias("_kind"),
+        F.col("sic_code").cast("int").alias("sic_code"), F.col("sic_position").cast("int").alias("sic_position"),
+        F.col("sic_description").alias("sic_description"),
+        n["int"].alias("approximate_age"), n["date"].alias("notified_on"), n["bigint"].alias("appointment_date"))
+    owners = psc.select(
+        F.col("company_number").alias(PROFILE_KEY), F.lit("P").alias("_kind"),
+        n["int"].alias("sic_code"), n["int"].alias("sic_position"), n["string"].alias("sic_description"),
+        F.col("approximate_age").cast("int").alias("approximate_age"), F.col("notified_on"),
+        n["bigint"].alias("appointment_date"))
+    offs = officers.where(F.col("appointment_date").isNotNull()).select(
+        F.col("company_number").alias(PROFILE_KEY), F.lit("O").alias("_kind"),
+        n["int"].alias("sic_code"), n["int"].alias("sic_position"), n["string"].alias("sic_description"),
+        n["int"].alias("approximate_age"), n["date"].alias("notified_on"),
+        F.col("appointment_date").cast("bigint").alias("appointment_date"))
+    return sic.unionByName(owners).unionByName(offs)
+
+
+def company_profiles(company_sic: DataFrame, psc: DataFrame, officers: DataFrame) -> DataFrame:
+    """Per-company profile (see above) in one ``groupBy`` over the stacked
+    detail tables; partial aggregation folds hot companies map-side."""
+    pos1 = F.col("sic_position") == 1
+    py = F.year("notified_on")
+    oy = yyyymmdd_year("appointment_date")
+    return _detail_union(company_sic, psc, officers).groupBy(PROFILE_KEY).agg(
+        F.collect_set("sic_code").alias("sic_code_set"),
+        F.max(F.when(pos1, F.col("sic_code"))).alias("primary_sic_code"),
+        F.max(F.when(pos1, F.col("sic_description"))).alias("primary_sic_description"),
+        F.count_if(F.col("_kind") == "P").alias("psc_count"),
+        F.min("approximate_age").alias("youngest_psc_age"),
+        F.max("approximate_age").alias("oldest_psc_age"),
+        F.max("notified_on").alias("psc_last_updated"),
+        F.min(py).alias("psc_year_min"), F.max(py).alias("psc_year_max"),
+        F.sum(py).alias("psc_year_sum"), F.count(py).alias("psc_year_n"),
+        F.collect_set("approximate_age").alias("psc_age_set"),
+        F.collect_set(py).alias("psc_year_set"),
+        F.count_if(F.col("_kind") == "O").alias("officer_count"),
+        F.min("appointment_date").alias("earliest_officer_appointment"),
+        F.max("appointment_date").alias("latest_officer_appointment"),
+        F.min(oy).alias("officer_year_min"), F.max(oy).alias("officer_year_max"),
+        F.sum(oy).alias("officer_year_sum"), F.count(oy).alias("officer_year_n"),
+        F.collect_set(oy).alias("officer_year_set"),
+    )
+
+
+def _tenure_avg(y: Column, total: str, n: str) -> Column:
+    """avg(Y - year) from the exact integer sum: (n*Y - sum) / n."""
+    return F.when(F.col(n) > 0, (F.col(n) * y - F.col(total)).cast("double") / F.col(n))
+
+
+def profile_enrichment(as_of: _dt.date | str | None = None) -> dict[str, Column]:
+    """The reference's 16 enrichment columns from a (left-joined) profile row."""
+    y = F.year(as_of_date(as_of)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    return {
+        "sic_count": F.when(F.col("sic_code_set").isNull(), zero).otherwise(F.size(F.col("sic_code_set")).cast("bigint")),
+        "primary_sic_code": F.col("primary_sic_code"),
+        "primary_sic_description": F.col("primary_sic_description"),
+        "psc_count": F.coalesce(F.col("psc_count"), zero),
+        "youngest_psc_age": F.col("youngest_psc_age"),
+        "oldest_psc_age": F.col("oldest_psc_age"),
+        "psc_last_updated": F.col("psc_last_updated"),
+        "min_psc_tenure_years": y - F.col("psc_year_max"),
+        "max_psc_tenure_years": y - F.col("psc_year_min"),
+        "avg_psc_tenure_years": _tenure_avg(y, "psc_year_sum", "psc_year_n"),
+        "officer_count": F.coalesce(F.col("officer_count"), zero),
+        "earliest_officer_appointment": F.col("earliest_officer_appointment"),
+        "latest_officer_appointment": F.col("latest_officer_appointment"),
+        "min_officer_tenure_years": y - F.col("officer_year_max"),
+        "max_officer_tenure_years": y - F.col("officer_year_min"),
+        "avg_officer_tenure_years": _tenure_avg(y, "officer_year_sum", "officer_year_n"),
+    }
+
+
+PROFILE_ONLY_COLUMNS = ["sic_code_set", "psc_year_min", "psc_year_max", "psc_year_sum", "psc_year_n",
+                        "psc_age_set", "psc_year_set", "officer_year_min", "officer_year_max", "officer_year_sum",
+                        "officer_year_n", "officer_year_set"]
+
+
+def _set(col: str, elem: str) -> Column:
+    return F.coalesce(F.col(col), F.array().cast(f"array<{elem}>"))
+
+
+def _lower(v: Column, default: int) -> Column:
+    """A bound equal to the reference's default means "no bound" (NULL)."""
+    c = F.coalesce(v, F.lit(default))
+    return F.when(c > default, c)
+
+
+def _upper(v: Column, default: int) -> Column:
+    c = F.coalesce(v, F.lit(default))
+    return F.when(c < default, c)
+
+
+def profile_conditions(as_of, sic_codes: Column, min_age: Column, max_age: Column, min_tenure: Column,
+                       max_tenure: Column, strict: Column) -> Column:
+    """J1-J4 semantics on a profile row, with the request's parameters as
+    Columns (literals for one request, columns for a batch):
+
+    * industry: any listed code (no list or an empty one = no condition);
+    * owner age: some owner meets both bounds (defaults 16 / 120 dropped, but
+      asking at all requires an owner);
+    * tenure, any mode: some owner within the bounds (NULL dates never
+      match a bound) and, independently, some dated officer whose tenure is
+      BETWEEN min and max (defaults 1 / 100 always apply);
+    * tenure, strict mode: no owner violates the bounds (vacuously true
+      without owners; NULL dates never violate) and some dated officer.
+    """
+    y = F.year(as_of_date(as_of)).cast("bigint")
+    sic_ok = (sic_codes.isNull() | (F.size(sic_codes) == 0)
+              | F.coalesce(F.arrays_overlap(F.col("sic_code_set").cast("array<bigint>"), sic_codes.cast("array<bigint>")),
+                           F.lit(False)))
+
+    has_age = min_age.isNotNull() | max_age.isNotNull()
+    a_lo, a_hi = _lower(min_age, 16), _upper(max_age, 120)
+    age_hit = F.exists(_set("psc_age_set", "int"), lambda a: (a_lo.isNull() | (a >= a_lo)) & (a_hi.isNull() | (a <= a_hi)))
+    age_ok = ~has_age | ((F.coalesce(F.col("psc_count"), F.lit(0)) > 0) & age_hit)
+
+    has_ten = min_tenure.isNotNull() | max_tenure.isNotNull()
+    t_lo, t_hi = _lower(min_tenure, 1), _upper(max_tenure, 100)
+    no_bounds = t_lo.isNull() & t_hi.isNull()
+    ten_hit = F.exists(_set("psc_year_set", "int"),
+                       lambda yr: (t_lo.isNull() | (y - yr >= t_lo)) & (t_hi.isNull() | (y - yr <= t_hi)))
+    owner_any = (F.coalesce(F.col("psc_count"), F.lit(0)) > 0) & (no_bounds | ten_hit)
+    o_lo, o_hi = F.coalesce(min_tenure, F.lit(1)), F.coalesce(max_tenure, F.lit(100))
+    officer_any = F.exists(_set("officer_year_set", "int"), lambda yr: (y - yr >= o_lo) & (y - yr <= o_hi))
+    violation = (t_lo.isNotNull() & F.coalesce(y - F.col("psc_year_max") < t_lo, F.lit(False))) | (
+        t_hi.isNotNull() & F.coalesce(y - F.col("psc_year_min") > t_hi, F.lit(False)))
+    dated_officer = F.coalesce(F.col("officer_count"), F.lit(0)) > 0
+    tenure_ok = ~has_ten | F.when(F.coalesce(strict, F.lit(False)), ~violation & dated_officer).otherwise(
+        owner_any & officer_any)
+    return sic_ok & age_ok & tenure_ok
+
+
+def enrich_with_profiles(base: DataFrame, profiles: DataFrame, broadcast_profiles: bool = False,
+                         key: str = "CompanyNumber") -> DataFrame:
+    """A5 from profiles: LEFT join on the company number (broadcast only when
+    the caller bounded the profile side)."""
+    prof = profiles.drop("geo_lat", "geo_long")
+    if key != PROFILE_KEY:
+        prof = prof.withColumnRenamed(PROFILE_KEY, key)
+    return base.join(F.broadcast(prof) if broadcast_profiles else prof, key, "left")

@@ -11,6 +11,11 @@ area; the postcode table is laid out the same way on its own ``lat`` /
 ``long``.  The prepared tables keep all the reference's columns; the two
 location columns are extra.
 
+A sixth table, ``company_profiles``, holds one row per company with the
+request-independent aggregates (``operators.aggregates.company_profiles``),
+so a search joins it instead of aggregating owners, officers and industry
+codes at query time.
+
 The raw company register is parsed once and materialized (it feeds the
 companies table, the industry-code table and the parse report); every write
 is ZSTD Parquet with bounded row groups.
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.expressions import normalise_postcode
 from prospect.operators import prepare as P
+from prospect.operators.aggregates import company_profiles
 from prospect.operators import quality as Q
 from prospect.session import broadcast_row_limit, materialize
 from prospect.sources.tables import Tables, read_prepared
@@ -103,6 +109,8 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
         write_parquet(psc, f"{folder}/psc.parquet")
         if officers is not None:
             write_parquet(officers, f"{folder}/officers.parquet")
+        t = read_prepared(spark, folder)
+        write_parquet(company_profiles(t.company_sic, t.psc, t.officers), f"{folder}/company_profiles.parquet")
         return read_prepared(spark, folder)
 
     locations = materialize(company_locations(companies, postcodes, postcode_rows), "company-locations")
@@ -115,6 +123,11 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     if officers is not None:
         write_by_location(with_location(officers, "company_number", locations), f"{folder}/officers.parquet",
                           parts, ["company_number", "appointment_date"])
+    # Per-company profiles, built once from the written (columnar) tables:
+    # searches then join them instead of aggregating at query time.
+    t = read_prepared(spark, folder)
+    write_by_location(with_location(company_profiles(t.company_sic, t.psc, t.officers), "CompanyNumber", locations),
+                      f"{folder}/company_profiles.parquet", parts, ["CompanyNumber"])
     return read_prepared(spark, folder)
 
 

@@ -19,6 +19,7 @@ class Tables:
     postcodes: DataFrame
     psc: DataFrame
     officers: DataFrame
+    profiles: DataFrame | None = None   # per-company profiles, when prepared
 
 
 def empty_officers(spark: SparkSession) -> DataFrame:
@@ -27,8 +28,9 @@ def empty_officers(spark: SparkSession) -> DataFrame:
 
 def read_prepared(spark: SparkSession, folder: str) -> Tables:
     """Scan a prepared folder.  ``officers`` is optional: without it
-    the search still runs and every officer aggregate is empty."""
-    from prospect.sources.readers import scan_officers
+    the search still runs and every officer aggregate is empty.  The
+    per-company profiles are used when the folder has them."""
+    from prospect.sources.readers import path_exists, scan_officers
 
     folder = folder.rstrip("/")
     return Tables(
@@ -37,4 +39,6 @@ def read_prepared(spark: SparkSession, folder: str) -> Tables:
         postcodes=spark.read.parquet(f"{folder}/postcodes.parquet"),
         psc=spark.read.parquet(f"{folder}/psc.parquet"),
         officers=scan_officers(spark, f"{folder}/officers.parquet"),
+        profiles=(spark.read.parquet(f"{folder}/company_profiles.parquet")
+                  if path_exists(spark, f"{folder}/company_profiles.parquet") else None),
     )

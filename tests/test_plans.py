@@ -59,17 +59,24 @@ def test_batch_radius_join_is_an_equi_join(spark, small_tables):
 
 
 def test_location_layout_prunes_every_scan(small_tables):
-    """Prepared with the location layout, a search pushes its box into the
-    companies and detail-table scans (not only the postcode scan)."""
+    """Prepared with the location layout and profiles, a search pushes its
+    box into the companies and profile scans and aggregates nothing; without
+    prepared profiles the box still reaches every detail-table scan."""
     from prospect.plans.search import enriched_matches
+    from prospect.sources.tables import Tables
 
     t = small_tables
-    assert "geo_lat" in t.psc.columns and "geo_lat" in t.companies.columns
+    assert "geo_lat" in t.psc.columns and "geo_lat" in t.companies.columns and t.profiles is not None
     req = SearchRequest("AB24 0AQ", 10.0, min_psc_age=60)
     lat, lon, _ = lookup_target(t.postcodes, req.postcode)
     base = candidates(t, req, (lat, lon), AS_OF)
     p = plan(enriched_matches(t, req, base, 10, AS_OF, area=(lat, lon, 10.0)))
+    assert "company_profiles.parquet" in p and "Aggregate" not in p
+    assert p.count("GreaterThanOrEqual(geo_lat,") >= 2   # companies, profiles
+    no_profiles = Tables(t.companies, t.company_sic, t.postcodes, t.psc, t.officers)
+    p = plan(enriched_matches(no_profiles, req, base, 10, AS_OF, area=(lat, lon, 10.0)))
     assert p.count("GreaterThanOrEqual(geo_lat,") >= 4   # companies, sic, psc, officers
+    assert p.count("Exchange hashpartitioning") <= 1      # one aggregation builds the profile
 
 
 def test_location_layout_gives_identical_results(spark, small_tables):
