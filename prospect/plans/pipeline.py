@@ -1,21 +1,21 @@
 """Prepare pipeline (the reference's setup entry): raw snapshots -> prepared
 Parquet folder, plus the data-quality report.
 
-Layout for searching at scale: every prepared table that is keyed by a
-company also carries that company's coordinates (``geo_lat``,
-``geo_long``, from its registered postcode; NULL when it has none) and is
-written range-partitioned and sorted by them.  A search's literal bounding
-box then reaches *every* scan (companies, industry codes, owners,
-officers) as pushed filters, and Parquet skips the row groups outside the
-area; the postcode table is laid out the same way on its own ``lat`` /
-``long``.  The prepared tables keep all the reference's columns; the two
-location columns are extra.
-
 A sixth table, ``company_profiles``, holds one row per company with the
 request-independent aggregates (``operators.aggregates.company_profiles``),
 so a search joins it instead of aggregating owners, officers and industry
 codes at query time.
 
+Layout for searching at scale: the tables a search scans — companies and
+profiles — carry each company's coordinates (``geo_lat``, ``geo_long``, from
+its registered postcode; NULL when it has none) and are written
+range-partitioned and sorted by them.  A search's literal bounding box then
+reaches both scans as pushed filters, and Parquet skips the row groups
+outside the area; the postcode table is laid out the same way on its own
+``lat`` / ``long``.  The prepared tables keep all the reference's columns;
+the location columns are extra.  (Detail tables given the location columns
+by other means are pruned the same way when profiles are built on the fly.)
+
 The raw company register is parsed once and materialized (it feeds the
 companies table, the industry-code table and the parse report); every write
 is ZSTD Parquet with bounded row groups.
@@ -116,13 +116,12 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     locations = materialize(company_locations(companies, postcodes, postcode_rows), "company-locations")
     write_by_location(with_location(companies, "CompanyNumber", locations), f"{folder}/companies.parquet",
                       parts, ["CompanyNumber"])
-    write_by_location(with_location(sic, "CompanyNumber", locations), f"{folder}/company_sic.parquet",
-                      parts, ["CompanyNumber", "sic_position"])
-    write_by_location(with_location(psc, "company_number", locations), f"{folder}/psc.parquet",
-                      parts, ["company_number", "name"])
+    # Searches read owners, officers and industry codes only through the
+    # profiles, so these three keep a plain layout.
+    write_parquet(sic, f"{folder}/company_sic.parquet")
+    write_parquet(psc, f"{folder}/psc.parquet")
     if officers is not None:
-        write_by_location(with_location(officers, "company_number", locations), f"{folder}/officers.parquet",
-                          parts, ["company_number", "appointment_date"])
+        write_parquet(officers, f"{folder}/officers.parquet")
     # Per-company profiles, built once from the written (columnar) tables:
     # searches then join them instead of aggregating at query time.
     t = read_prepared(spark, folder)
