@@ -507,6 +507,53 @@ def q_yyyymmdd_year(spark, sf_dir):
     return o.select("company_number", "appointment_date", yyyymmdd_year("appointment_date").alias("appointment_year"))
 
 
+def _set_text(col: str):
+    s = F.col(col)
+    return F.when(F.size(s) > 0, F.array_join(F.array_sort(s).cast("array<string>"), "|")).alias(col)
+
+
+PROFILE_SCALARS = ["CompanyNumber", "primary_sic_code", "primary_sic_description", "psc_count", "youngest_psc_age",
+                   "oldest_psc_age", "psc_last_updated", "psc_year_min", "psc_year_max", "psc_year_sum", "psc_year_n",
+                   "officer_count", "earliest_officer_appointment", "latest_officer_appointment", "officer_year_min",
+                   "officer_year_max", "officer_year_sum", "officer_year_n"]
+PROFILE_SETS = ["sic_code_set", "psc_age_set", "psc_year_set", "officer_year_set"]
+_OFF_YEAR = "CAST(SUBSTR(CAST(appointment_date AS VARCHAR), 1, 4) AS INTEGER)"
+
+
+def _sql_set(expr: str, name: str) -> str:
+    return (f"array_to_string(list_sort(list_distinct(list({expr}) FILTER (WHERE {expr} IS NOT NULL))), '|') "
+            f"AS {name}")
+
+
+@register("company_profiles", SQL.with_fixtures(f"""
+SELECT CompanyNumber,
+       MAX(CASE WHEN sic_position = 1 THEN sic_code END) AS primary_sic_code,
+       MAX(CASE WHEN sic_position = 1 THEN sic_description END) AS primary_sic_description,
+       COUNT(*) FILTER (WHERE kind = 'P') AS psc_count,
+       MIN(approximate_age) AS youngest_psc_age, MAX(approximate_age) AS oldest_psc_age,
+       MAX(notified_on) AS psc_last_updated,
+       CAST(MIN(YEAR(notified_on)) AS INTEGER) AS psc_year_min, CAST(MAX(YEAR(notified_on)) AS INTEGER) AS psc_year_max,
+       CAST(SUM(YEAR(notified_on)) AS BIGINT) AS psc_year_sum, COUNT(notified_on) AS psc_year_n,
+       COUNT(*) FILTER (WHERE kind = 'O') AS officer_count,
+       MIN(appointment_date) AS earliest_officer_appointment, MAX(appointment_date) AS latest_officer_appointment,
+       MIN({_OFF_YEAR}) AS officer_year_min, MAX({_OFF_YEAR}) AS officer_year_max,
+       CAST(SUM({_OFF_YEAR}) AS BIGINT) AS officer_year_sum, COUNT(appointment_date) AS officer_year_n,
+       {_sql_set('sic_code', 'sic_code_set')}, {_sql_set('approximate_age', 'psc_age_set')},
+       {_sql_set('CAST(YEAR(notified_on) AS INTEGER)', 'psc_year_set')}, {_sql_set(_OFF_YEAR, 'officer_year_set')}
+FROM (
+  SELECT CompanyNumber, 'S' AS kind, sic_code, sic_position, sic_description,
+         CAST(NULL AS INTEGER) AS approximate_age, CAST(NULL AS DATE) AS notified_on, CAST(NULL AS BIGINT) AS appointment_date
+  FROM company_sic
+  UNION ALL SELECT company_number, 'P', NULL, NULL, NULL, approximate_age, notified_on, NULL FROM psc
+  UNION ALL SELECT company_number, 'O', NULL, NULL, NULL, NULL, NULL, appointment_date FROM officers
+  WHERE appointment_date IS NOT NULL)
+GROUP BY CompanyNumber"""))
+def q_company_profiles(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    prof = A.company_profiles(t.company_sic, t.psc, t.officers)
+    return prof.select(*PROFILE_SCALARS, *[_set_text(c) for c in PROFILE_SETS])
+
+
 ENRICHED_COLUMNS = ["CompanyNumber", *A.SIC_COLUMNS, *A.PSC_COLUMNS, *A.OFFICER_COLUMNS]
 
 
