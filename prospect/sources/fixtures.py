@@ -44,6 +44,11 @@ def padded_number(key: Column) -> Column:
     return F.lpad(key.cast("string"), 8, "0")
 
 
+def unregistered_number(key: Column) -> Column:
+    """A company number the register does not contain ('N' + 7 digits)."""
+    return F.concat(F.lit("N"), F.lpad(key.cast("string"), 7, "0"))
+
+
 def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company register rows, named as in the register's CSV header."""
     c = tpch(spark, sf_dir, "customer")
@@ -122,8 +127,11 @@ def psc_raw_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner records, flat (``data_*`` columns); see ``psc_raw`` for the nested form."""
     o = tpch(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    return o.where(F.col("o_custkey") % 9 != 0).select(
-        padded_number(F.col("o_custkey")).alias("company_number"),
+    ck = F.col("o_custkey")
+    # Every order is an owner record; one customer in nine owns its records
+    # under a number absent from the register, so its company has no owner.
+    return o.select(
+        F.when(ck % 9 == 0, unregistered_number(ck)).otherwise(padded_number(ck)).alias("company_number"),
         F.concat(F.lit("Person "), k.cast("string")).alias("data_name"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("corporate-entity-person-with-significant-control"))
         .otherwise(F.lit("individual-person-with-significant-control")).alias("data_kind"),
@@ -160,14 +168,17 @@ def psc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def officers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Officer appointments: one per order (its first line), YYYYMMDD as bigint."""
-    li = tpch(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey", "l_partkey", "l_shipdate")
-    o = tpch(spark, sf_dir, "orders").where(F.col("o_custkey") % 7 != 0).select("o_orderkey", "o_custkey")
+    """Officer appointments: one per order line, YYYYMMDD as bigint.  One
+    customer in seven is filed under a number absent from the register, so
+    its company has no officer."""
+    li = tpch(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    o = tpch(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-    pk, sd = F.col("l_partkey"), F.col("l_shipdate")
+    pk, sd, ck = F.col("l_partkey"), F.col("l_shipdate"), F.col("o_custkey")
     appointed = F.when(pk % 41 == 0, F.lit(None).cast("bigint")).otherwise(
         ((F.year(sd) + pk % 20) * 10000 + F.month(sd) * 100 + F.dayofmonth(sd)).cast("bigint"))
-    return j.select(padded_number(F.col("o_custkey")).alias("company_number"), appointed.alias("appointment_date"))
+    number = F.when(ck % 7 == 0, unregistered_number(ck)).otherwise(padded_number(ck))
+    return j.select(number.alias("company_number"), appointed.alias("appointment_date"))
 
 
 # --- search profiles and requests ---------------------------------------
