@@ -22,7 +22,14 @@ OUTPUT_COLUMNS = [
 ORDER_KEYS = ["distance_miles", "CompanyNumber"]
 
 
-def output_columns(as_of: _dt.date | str | None):
+def output_columns(as_of: _dt.date | str | None, sources: dict | None = None):
+    """The 26 output expressions; ``sources`` maps internal column names to
+    expressions that compute them (used to derive enrichment in place)."""
+    src = sources or {}
+
+    def c(name: str):
+        return src.get(name, F.col(name))
+
     return [
         F.col("CompanyNumber"),
         F.col("CompanyName"),
@@ -34,22 +41,22 @@ def output_columns(as_of: _dt.date | str | None):
         F.col("IncorporationDate"),
         year_diff(as_of_date(as_of), "IncorporationDate").alias("CompanyAgeYears"),
         F.col("AccountsLastMadeUpDate").alias("LastAccountsDate"),
-        F.col("sic_count").alias("SicCodeCount"),
-        F.col("primary_sic_code").alias("PrimarySicCode"),
-        F.col("primary_sic_description").alias("PrimarySicDescription"),
-        F.col("psc_count").alias("PscCount"),
-        F.col("youngest_psc_age").alias("YoungestPscAge"),
-        F.col("oldest_psc_age").alias("OldestPscAge"),
-        F.col("psc_last_updated").alias("PscLastUpdated"),
-        F.col("min_psc_tenure_years").alias("MinPscTenureYears"),
-        F.col("max_psc_tenure_years").alias("MaxPscTenureYears"),
-        F.col("avg_psc_tenure_years").alias("AvgPscTenureYears"),
-        F.col("officer_count").alias("OfficerCount"),
-        F.col("earliest_officer_appointment").alias("EarliestOfficerAppointment"),
-        F.col("latest_officer_appointment").alias("LatestOfficerAppointment"),
-        F.col("min_officer_tenure_years").alias("MinOfficerTenureYears"),
-        F.col("max_officer_tenure_years").alias("MaxOfficerTenureYears"),
-        F.col("avg_officer_tenure_years").alias("AvgOfficerTenureYears"),
+        c("sic_count").alias("SicCodeCount"),
+        c("primary_sic_code").alias("PrimarySicCode"),
+        c("primary_sic_description").alias("PrimarySicDescription"),
+        c("psc_count").alias("PscCount"),
+        c("youngest_psc_age").alias("YoungestPscAge"),
+        c("oldest_psc_age").alias("OldestPscAge"),
+        c("psc_last_updated").alias("PscLastUpdated"),
+        c("min_psc_tenure_years").alias("MinPscTenureYears"),
+        c("max_psc_tenure_years").alias("MaxPscTenureYears"),
+        c("avg_psc_tenure_years").alias("AvgPscTenureYears"),
+        c("officer_count").alias("OfficerCount"),
+        c("earliest_officer_appointment").alias("EarliestOfficerAppointment"),
+        c("latest_officer_appointment").alias("LatestOfficerAppointment"),
+        c("min_officer_tenure_years").alias("MinOfficerTenureYears"),
+        c("max_officer_tenure_years").alias("MaxOfficerTenureYears"),
+        c("avg_officer_tenure_years").alias("AvgOfficerTenureYears"),
     ]
 
 
@@ -85,7 +92,8 @@ def result_pages(df: DataFrame, page_size: int = 10_000, order_keys: list[str] |
     (partition id in the upper bits, row index in the lower 33), and a
     per-partition count gives each partition's offset.  Only those counts
     (one row per partition, a proven bound) meet in one place; the rows never
-    do.  The sorted frame is checkpointed so ids are stable on re-execution.
+    do.  The sorted frame is materialized (a table in the shared folder) so
+    the ids are stable if anything downstream is re-executed.
     """
     keys = order_keys or ORDER_KEYS
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
