@@ -10,6 +10,7 @@ Workloads (the reference's three entry points, plus the batch form):
   search_basic       one radius search, all 26 columns, nearest first
   search_all_filters SIC + company age + owner age
   search_tenure      owner tenure, strict mode
+  search_wide        500-mile radius, no filters: every active company
   find_companies     search + count + cap + CSV export
   search_many        every supplier-derived request in one job (B1-B5)
 Searches run against the prepared Parquet folder, as a user would.
@@ -90,6 +91,9 @@ def main() -> None:
     timed("search_basic", lambda: run(search(t, SEARCHES["search_basic"], as_of)), 2)
     timed("search_all_filters", lambda: run(search(t, SEARCHES["search_all_filters"], as_of)), 2)
     timed("search_tenure", lambda: run(search(t, SEARCHES["search_tenure_strict"], as_of)), 2)
+    from prospect.plans.search import SearchRequest
+
+    timed("search_wide", lambda: run(search(t, SearchRequest("AB24 0AQ", 500.0), as_of)), 2)
     from prospect.plans.registry import FIND_REQUEST
 
     timed("find_companies", lambda: find_companies(t, FIND_REQUEST, as_of, scratch_path(spark, "bench-export.csv")), 2)
