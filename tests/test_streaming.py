@@ -37,3 +37,19 @@ def test_stream_of_requests(spark, small_tables):
     q.awaitTermination(300)
     counts = {r.request_id: r.match_count for r in spark.read.parquet(f"{sink}/counts").collect()}
     assert counts == {"s1": 22, "s2": 0, "s3": 2}
+
+
+def test_replayed_batch_replaces_its_output(spark, small_tables):
+    """A micro-batch re-run after a failure (same batch id) overwrites its
+    own output instead of appending a second copy."""
+    from prospect.sources.schemas import REQUESTS
+    from prospect.streaming.requests import search_batch
+
+    row = {f.name: None for f in REQUESTS.fields}
+    row.update(request_id="r1", postcode="AB24 0AQ", radius_miles=40.0)
+    reqs = spark.createDataFrame([row], REQUESTS)
+    sink = scratch_path(spark, "replay")
+    search_batch(small_tables, reqs, sink, 7, as_of=AS_OF)
+    search_batch(small_tables, reqs, sink, 7, as_of=AS_OF)
+    assert spark.read.parquet(f"{sink}/results").count() == 22
+    assert spark.read.parquet(f"{sink}/counts").count() == 1
