@@ -48,9 +48,12 @@ def year_diff(as_of: Column, d) -> Column:
 
 def yyyymmdd_year(c) -> Column:
     """A4: year out of an integer YYYYMMDD, as the first four characters of
-    its decimal text (the reference's exact rule, also for odd values)."""
+    its decimal text (the reference's exact rule).  For ordinary 8-digit
+    values that is ``floor(x / 10000)``, computed without a string; only odd
+    values (fewer or more digits, negative) take the text rule."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.substring(c.cast("string"), 1, 4).cast("int")
+    text_rule = F.substring(c.cast("string"), 1, 4).cast("int")
+    return F.when(c.between(10_000_000, 99_999_999), F.floor(c / F.lit(10_000)).cast("int")).otherwise(text_rule)
 
 
 def haversine_miles(lat0, lon0, lat, lon) -> Column:

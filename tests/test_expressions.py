@@ -45,9 +45,11 @@ def test_round_half_away_matches_duckdb_round(spark):
     assert got[0] == 1.0  # Spark's own round() would give 1.01
 
 
-def test_yyyymmdd_year(spark):
-    assert one(spark, E.yyyymmdd_year, 20140801, "bigint") == 2014
-    assert one(spark, E.yyyymmdd_year, None, "bigint") is None
+@pytest.mark.parametrize("value,year", [(20140801, 2014), (19991231, 1999), (10000000, 1000), (99999999, 9999),
+                                        (2014081, 2014), (201408011, 2014), (-2014080, -201), (123, 123),
+                                        (None, None)])
+def test_yyyymmdd_year_is_the_first_four_characters(spark, value, year):
+    assert one(spark, E.yyyymmdd_year, value, "bigint") == year
 
 
 def test_year_diff_calendar_years(spark):
