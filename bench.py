@@ -43,7 +43,7 @@ def main() -> None:
     from prospect.operators import profile as PF
     from prospect.operators import quality as Q
     from prospect.plans import batch as B
-    from prospect.plans.pipeline import RawSources, prepare_all
+    from prospect.plans.pipeline import RawSources, prepare_all, quality_report
     from prospect.plans.registry import SEARCHES, write_psc_ndjson
     from prospect.plans.search import find_companies, search
     from prospect.sources import fixtures as FX
@@ -88,10 +88,7 @@ def main() -> None:
     run(search(t, SEARCHES["search_basic"], as_of))
 
     def quality():
-        for df in [Q.company_counts(t.companies), Q.missing_postcodes(t.companies), Q.sic_stats(t.company_sic),
-                   Q.sic_parse_failures(raw.companies), Q.sic_failed_samples(raw.companies),
-                   Q.postcode_bounds(t.postcodes), Q.psc_stats(t.psc),
-                   Q.psc_drop_accounting(spark, psc_json)]:
+        for df in [*quality_report(raw, t).values(), Q.psc_drop_accounting(spark, psc_json)]:
             run(df)
 
     def profile():

@@ -1,10 +1,12 @@
-"""Per-company aggregates (A1-A5).
+"""Per-company aggregates (A1-A5) and the per-company profile.
 
 Each aggregate is one ``groupBy`` on the company number: a partial
 aggregation before the shuffle and a final one after, so a company holding a
 third of all rows is folded inside every map task and never lands whole in
-one reducer.  Optional match counters (``count_if``) ride along in the same
-pass; the search uses them instead of extra semi joins.
+one reducer.  A1-A3 are the reference's three aggregates as such; the
+search and the batch use the profile (below), which holds the same
+information for all three in one row per company, and derive A5's columns
+and the one-to-many filters from it.
 """
 
 from __future__ import annotations
@@ -107,25 +109,6 @@ def officer_aggregates(officers: DataFrame, as_of: _dt.date | str | None = None,
     return officers.where(F.col("appointment_date").isNotNull()).groupBy("company_number").agg(*aggs)
 
 
-def enrich_companies(base: DataFrame, sic_agg: DataFrame, psc_agg: DataFrame, officer_agg: DataFrame,
-                     broadcast_aggregates: bool = False) -> DataFrame:
-    """A5: attach the three aggregates (LEFT joins); the counts become 0 for
-    companies without rows.  ``broadcast_aggregates`` is set only by callers
-    that bounded the aggregates' size (they were pruned to a checked number
-    of companies); otherwise the joins shuffle on the company number and AQE
-    may still switch to broadcast on measured sizes."""
-    def side(df: DataFrame, key: str) -> DataFrame:
-        df = df.withColumnRenamed(key, "CompanyNumber") if key != "CompanyNumber" else df
-        return F.broadcast(df) if broadcast_aggregates else df
-
-    out = (
-        base.join(side(sic_agg, "CompanyNumber"), "CompanyNumber", "left")
-        .join(side(psc_agg, "company_number"), "CompanyNumber", "left")
-        .join(side(officer_agg, "company_number"), "CompanyNumber", "left")
-    )
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in COUNT_COLUMNS})
-
-
 # --- per-company profile ------------------------------------------------------
 #
 # One row per company holding everything A1-A3 and the one-to-many filters
