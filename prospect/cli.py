@@ -115,9 +115,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = builder.getOrCreate()
     from prospect.sources.tables import read_prepared
 
+    from prospect.session import scratch_scope
+
     request = SearchRequest(**params)
     try:
-        _, count = find_companies(read_prepared(spark, args.prepared), request, args.as_of, args.output)
+        # Stage tables live only while the search and its export run.
+        with scratch_scope(spark):
+            _, count = find_companies(read_prepared(spark, args.prepared), request, args.as_of, args.output)
     except ValueError as exc:
         print(f"Invalid parameters: {exc}", file=sys.stderr)
         return 1

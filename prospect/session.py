@@ -8,6 +8,7 @@ setting gets a private folder under the system temporary directory.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,10 +56,44 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder (never reused)."""
+    """A fresh, unique path under the shared folder (never reused); recorded
+    in every open ``scratch_scope``."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/prospect-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/prospect-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+def _delete_paths(spark: SparkSession, paths: list[str]) -> int:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp):
+            fs.delete(hp, True)
+            removed += 1
+    return removed
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, on exit, the scratch tables created inside the block
+    (materialized stages).  Results are lazy and may read those tables, so
+    write or collect every output inside the block."""
+    created: list[str] = []
+    _SCOPES.append(created)
+    try:
+        yield created
+    finally:
+        _SCOPES.remove(created)
+        _delete_paths(spark, created)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

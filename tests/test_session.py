@@ -28,3 +28,16 @@ def test_broadcast_budget_follows_threshold(spark):
         assert broadcast_row_limit(spark, 64) == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_scratch_scope_removes_only_its_own_tables(spark):
+    from prospect.session import scratch_scope
+    from prospect.sources.readers import path_exists
+
+    outside = materialize(spark.range(2), "kept").inputFiles()[0]
+    with scratch_scope(spark) as created:
+        inside = materialize(spark.range(3), "dropped")
+        assert inside.count() == 3
+        files = inside.inputFiles()
+    assert len(created) == 1 and not path_exists(spark, files[0])
+    assert path_exists(spark, outside)
