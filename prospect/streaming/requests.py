@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from prospect.plans import batch as B
+from prospect.session import scratch_scope
 from prospect.sources import schemas
 from prospect.sources.tables import Tables
 
@@ -35,12 +36,15 @@ def request_stream(spark: SparkSession, source: str, max_files_per_trigger: int
 
 def search_batch(tables: Tables, requests: DataFrame, sink: str, batch_id: int,
                  profiles: DataFrame | None = None, as_of=None) -> None:
-    """One micro-batch: B1-B5 on the batch's requests, written by batch id."""
+    """One micro-batch: B1-B5 on the batch's requests, written by batch id.
+    The batch's stage tables are removed once both outputs are written, so a
+    long-running stream does not accumulate them."""
     if profiles is None:
         requests = requests.drop("profile")
-    _, _, _, counts = B.run_requests(tables, requests, profiles, as_of,
-                                     results_path=f"{sink}/results/batch_id={batch_id}")
-    counts.write.mode("overwrite").parquet(f"{sink}/counts/batch_id={batch_id}")
+    with scratch_scope(tables.companies.sparkSession):
+        _, _, _, counts = B.run_requests(tables, requests, profiles, as_of,
+                                         results_path=f"{sink}/results/batch_id={batch_id}")
+        counts.write.mode("overwrite").parquet(f"{sink}/counts/batch_id={batch_id}")
 
 
 def start_request_search(tables: Tables, source: str, sink: str, checkpoint_location: str,
