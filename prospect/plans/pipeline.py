@@ -33,7 +33,7 @@ from prospect.functions.expressions import normalise_postcode
 from prospect.operators import prepare as P
 from prospect.operators.aggregates import company_profiles
 from prospect.operators import quality as Q
-from prospect.session import broadcast_row_limit, materialize
+from prospect.session import broadcast_row_limit, materialize, output_partitions
 from prospect.sources.tables import Tables, read_prepared
 from prospect.sources.writers import write_parquet
 
@@ -71,7 +71,7 @@ def with_location(df: DataFrame, key: str, locations: DataFrame) -> DataFrame:
     return df.join(loc, key, "left")
 
 
-def write_by_location(df: DataFrame, path: str, partitions: int, tiebreak: list[str]) -> None:
+def write_by_location(df: DataFrame, path: str, partitions: int | None, tiebreak: list[str]) -> None:
     """Range-partition and sort on (geo_lat, geo_long, tie-breakers, row
     hash): row groups cover compact areas.  The tie-breakers and a
     deterministic hash of the whole row let the rows of one hot location (a
@@ -79,6 +79,7 @@ def write_by_location(df: DataFrame, path: str, partitions: int, tiebreak: list[
     partitions instead of landing in one task."""
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_spread")
     keys = [*GEO_COLUMNS, *tiebreak, "_spread"]
+    partitions = partitions or output_partitions(df)
     out = df.select("*", spread).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).drop("_spread")
     write_parquet(out, path)
 
@@ -89,12 +90,13 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     """Write the five prepared tables under ``folder`` and return them as
     Parquet-backed DataFrames."""
     folder = folder.rstrip("/")
-    parts = partitions or max(1, spark.sparkContext.defaultParallelism)
+    parts = partitions  # None: sized per table from its estimate (~256 MB per partition)
     companies_raw = materialize(raw.companies, "raw-companies")
     # Observed after the range exchange: below it, the exchange's sampling
     # pass would be counted too.
     obs = Observation("prepared-postcodes")
-    postcodes = P.prepare_postcodes(raw.postcodes).repartitionByRange(parts, "lat", "long", "pcds")
+    live = P.prepare_postcodes(raw.postcodes)
+    postcodes = live.repartitionByRange(parts or output_partitions(live), "lat", "long", "pcds")
     write_parquet(postcodes.observe(obs, F.count(F.lit(1)).alias("rows")), f"{folder}/postcodes.parquet",
                   sort_within=["lat", "long"])
     postcodes, postcode_rows = spark.read.parquet(f"{folder}/postcodes.parquet"), int(obs.get["rows"])

@@ -149,3 +149,22 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def size_estimate(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` in bytes (from file sizes for
+    scans; an upper bound through filters and projections); 0 if unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimates are advisory
+        return 0
+
+
+def output_partitions(df: DataFrame, target_bytes: int = 256 * 1024 * 1024) -> int:
+    """Partitions for writing ``df``: about ``target_bytes`` each by the size
+    estimate, and never fewer than the cluster's default parallelism, so each
+    task's sort fits in memory or spills in bounded runs."""
+    spark = df.sparkSession
+    parallel = max(1, spark.sparkContext.defaultParallelism)
+    est = size_estimate(df)
+    return max(parallel, -(-est // max(1, target_bytes)) if est > 0 else parallel)

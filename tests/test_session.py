@@ -41,3 +41,14 @@ def test_scratch_scope_removes_only_its_own_tables(spark):
         files = inside.inputFiles()
     assert len(created) == 1 and not path_exists(spark, files[0])
     assert path_exists(spark, outside)
+
+
+def test_output_partitions_follow_the_size_estimate(spark):
+    from prospect.session import output_partitions, size_estimate
+
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    est = size_estimate(df)
+    assert est > 0
+    par = spark.sparkContext.defaultParallelism
+    assert output_partitions(df) == par                      # small table: the cluster's parallelism
+    assert output_partitions(df, max(1, est // (par * 4))) >= par * 4   # ~target-sized partitions
