@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospect.functions.expressions import as_of_date, round_half_away, year_diff
-from prospect.session import materialize
+from prospect.session import materialize, output_partitions
 
 # The result's 26 column names, in order (from the reference).
 OUTPUT_COLUMNS = [
@@ -96,8 +96,7 @@ def result_pages(df: DataFrame, page_size: int = 10_000, order_keys: list[str] |
     the ids are stable if anything downstream is re-executed.
     """
     keys = order_keys or ORDER_KEYS
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranked = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranked = df.repartitionByRange(output_partitions(df), *keys).sortWithinPartitions(*keys)
     ranked = ranked.withColumn("_mid", F.monotonically_increasing_id())
     ranked = materialize(
         ranked.withColumn("_pid", F.shiftright("_mid", 33))
