@@ -116,8 +116,11 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
         return read_prepared(spark, folder)
 
     locations = materialize(company_locations(companies, postcodes, postcode_rows), "company-locations")
+    # Partitions are sized before the location join: it adds two columns, not
+    # rows, while Catalyst (without column statistics) estimates a join's size
+    # as the product of its inputs'.
     write_by_location(with_location(companies, "CompanyNumber", locations), f"{folder}/companies.parquet",
-                      parts, ["CompanyNumber"])
+                      parts or output_partitions(companies), ["CompanyNumber"])
     # Searches read owners, officers and industry codes only through the
     # profiles, so these three keep a plain layout.
     write_parquet(sic, f"{folder}/company_sic.parquet")
@@ -127,8 +130,9 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     # Per-company profiles, built once from the written (columnar) tables:
     # searches then join them instead of aggregating at query time.
     t = read_prepared(spark, folder)
-    write_by_location(with_location(company_profiles(t.company_sic, t.psc, t.officers), "CompanyNumber", locations),
-                      f"{folder}/company_profiles.parquet", parts, ["CompanyNumber"])
+    profiles = company_profiles(t.company_sic, t.psc, t.officers)
+    write_by_location(with_location(profiles, "CompanyNumber", locations), f"{folder}/company_profiles.parquet",
+                      parts or output_partitions(profiles), ["CompanyNumber"])
     return read_prepared(spark, folder)
 
 

@@ -153,7 +153,9 @@ def env_int(name: str, default: int) -> int:
 
 def size_estimate(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes (from file sizes for
-    scans; an upper bound through filters and projections); 0 if unknown."""
+    scans; an upper bound through filters, projections and aggregates; 0 if
+    unknown).  Not meaningful above a join: without column statistics a
+    join is estimated as the product of its inputs, so size the input."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - estimates are advisory
