@@ -54,3 +54,15 @@ def test_end_to_end(spark, small_tables, tmp_path):
     assert len(back.columns) == 26 and back.count() > 0
     assert cli.main(["--prepared", prepared, "--postcode", "ZZ99 9ZZ", "--radius", "5"], spark=spark) == 1
     assert cli.main(["--prepared", prepared, "--postcode", "AB24 0AQ", "--radius", "0"], spark=spark) == 1
+
+
+def test_listings(tmp_path, capsys):
+    import yaml
+
+    cfg = tmp_path / "config.yaml"
+    cfg.write_text(yaml.safe_dump(CONFIG))
+    assert cli.main(["--list-categories"]) == 0
+    assert "MICRO ENTITY" in capsys.readouterr().out
+    assert cli.main(["--config", str(cfg), "--list-profiles"]) == 0
+    assert "near: test" in capsys.readouterr().out
+    assert cli.main(["--config", str(cfg), "--profile", "missing"]) == 1

@@ -90,3 +90,21 @@ def test_location_layout_gives_identical_results(spark, small_tables):
         a = search(small_tables, SEARCHES[name], AS_OF).collect()
         b = search(plain, SEARCHES[name], AS_OF).collect()
         assert a == b, name
+
+
+def test_plain_layout_gives_identical_results(spark, small_tables):
+    """prepare_all without the location layout (profiles still prepared)
+    returns exactly the rows of the laid-out tables."""
+    from prospect.plans.pipeline import RawSources, prepare_all
+    from prospect.plans.registry import SEARCHES
+    from prospect.plans.search import search
+    from prospect.session import scratch_path
+    from prospect.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.001"
+    plain = prepare_all(spark, RawSources(FX.companies_raw(spark, sf), FX.psc_raw(spark, sf),
+                                          FX.postcodes_raw(spark, sf), FX.officers_raw(spark, sf)),
+                        scratch_path(spark, "plain-layout"), AS_OF, geo_layout=False)
+    assert plain.profiles is not None and "geo_lat" not in plain.companies.columns
+    for name in ["search_basic", "search_all_filters", "search_tenure_any"]:
+        assert search(plain, SEARCHES[name], AS_OF).collect() == search(small_tables, SEARCHES[name], AS_OF).collect()
