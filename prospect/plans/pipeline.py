@@ -49,6 +49,27 @@ class RawSources:
     officers: DataFrame | None = None
 
 
+# The raw snapshot file names of the original data sources.
+COMPANIES_PATTERN = "BasicCompanyDataAsOneFile-*.csv"
+PSC_PATTERN = "persons-with-significant-control-snapshot-*.txt"
+POSTCODES_PATTERN = "ONSPD_*/Data/ONSPD_*_UK.csv"
+
+
+def raw_sources_from_folder(spark: SparkSession, raw_dir: str, officers: str | None = None) -> RawSources:
+    """The newest snapshot of each raw source in ``raw_dir`` (S6: chosen by
+    the date in the file name, not lexically), read with explicit schemas
+    (S1-S3).  ``officers`` optionally names a Parquet input (S5)."""
+    from prospect.sources import readers as S
+
+    raw_dir = raw_dir.rstrip("/")
+    return RawSources(
+        companies=S.latest_snapshot(spark, f"{raw_dir}/{COMPANIES_PATTERN}", lambda f: S.scan_companies_csv(spark, f)),
+        psc=S.latest_snapshot(spark, f"{raw_dir}/{PSC_PATTERN}", lambda f: S.scan_psc_ndjson(spark, f)),
+        postcodes=S.latest_snapshot(spark, f"{raw_dir}/{POSTCODES_PATTERN}", lambda f: S.scan_postcodes_csv(spark, f)),
+        officers=S.scan_officers(spark, officers) if officers else None,
+    )
+
+
 def company_locations(companies: DataFrame, postcodes: DataFrame, postcode_rows: int) -> DataFrame:
     """(CompanyNumber, geo_lat, geo_long) for geocodable companies.  The
     postcode side is broadcast only when its counted size fits the budget."""

@@ -157,9 +157,11 @@ def size_estimate(df: DataFrame) -> int:
     unknown).  Not meaningful above a join: without column statistics a
     join is estimated as the product of its inputs, so size the input."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - estimates are advisory
         return 0
+    # Without statistics Spark reports spark.sql.defaultSizeInBytes (Long.MaxValue).
+    return 0 if est >= 1 << 60 else est
 
 
 def output_partitions(df: DataFrame, target_bytes: int = 256 * 1024 * 1024) -> int:
@@ -169,4 +171,5 @@ def output_partitions(df: DataFrame, target_bytes: int = 256 * 1024 * 1024) -> i
     spark = df.sparkSession
     parallel = max(1, spark.sparkContext.defaultParallelism)
     est = size_estimate(df)
-    return max(parallel, -(-est // max(1, target_bytes)) if est > 0 else parallel)
+    wanted = -(-est // max(1, target_bytes)) if est > 0 else parallel
+    return int(min(max(parallel, wanted), (1 << 31) - 1))

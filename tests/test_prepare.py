@@ -88,3 +88,29 @@ def test_location_layout_spreads_a_hot_company(spark):
     counts = sorted(pq.ParquetFile(f).metadata.num_rows for f in files)
     assert sum(counts) == 9000
     assert counts[-1] < 3000  # the hot company's rows are split
+
+
+def test_prepare_from_raw_folder_picks_newest_snapshots(spark):
+    """Setup end to end: a raw folder holding an older and a newer snapshot of
+    each source; the newest (by date, not by name) is prepared."""
+    from prospect.plans.pipeline import prepare_all, raw_sources_from_folder
+    from prospect.plans.registry import write_postcodes_csv
+    from prospect.session import scratch_path
+    from prospect.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.001"
+    raw = scratch_path(spark, "raw-folder")
+    companies = FX.companies_raw(spark, sf).withColumnRenamed("CompanyNumber", " CompanyNumber")
+    (companies.limit(10).write.option("header", True).option("dateFormat", "dd/MM/yyyy")
+     .csv(f"{raw}/BasicCompanyDataAsOneFile-2024-12-01.csv"))
+    companies.write.option("header", True).option("dateFormat", "dd/MM/yyyy").csv(
+        f"{raw}/BasicCompanyDataAsOneFile-2025-06-01.csv")
+    FX.psc_raw(spark, sf).write.option("dateFormat", "yyyy-MM-dd").json(
+        f"{raw}/persons-with-significant-control-snapshot-2025-06-01.txt")
+    write_postcodes_csv(spark, FX.postcodes_raw(spark, sf).limit(5), raw, "NOV_2024")
+    write_postcodes_csv(spark, FX.postcodes_raw(spark, sf), raw, "FEB_2025")
+    t = prepare_all(spark, raw_sources_from_folder(spark, raw), scratch_path(spark, "from-folder"), "2025-06-30")
+    assert t.companies.count() == 150
+    assert t.postcodes.count() == FX.postcodes_raw(spark, sf).where(
+        "lat IS NOT NULL AND long IS NOT NULL AND doterm IS NULL").count()
+    assert t.psc.count() > 0 and t.profiles.count() > 0

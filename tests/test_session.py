@@ -52,3 +52,14 @@ def test_output_partitions_follow_the_size_estimate(spark):
     par = spark.sparkContext.defaultParallelism
     assert output_partitions(df) == par                      # small table: the cluster's parallelism
     assert output_partitions(df, max(1, est // (par * 4))) >= par * 4   # ~target-sized partitions
+
+
+def test_output_partitions_without_statistics(spark):
+    """A relation without statistics (Spark reports Long.MaxValue bytes) gets
+    the cluster's parallelism, not an absurd partition count."""
+    from prospect.session import output_partitions, size_estimate
+
+    df = spark.sparkContext.parallelize([(i,) for i in range(10)]).toDF(["x"])
+    assert size_estimate(df) == 0
+    assert output_partitions(df) == spark.sparkContext.defaultParallelism
+    df.repartitionByRange(output_partitions(df), "x").count()
