@@ -17,9 +17,9 @@ Entry points::
 """
 
 from prospect.plans.batch import run_requests  # noqa: F401
-from prospect.plans.pipeline import RawSources, prepare_all  # noqa: F401
+from prospect.plans.pipeline import RawSources, prepare_all, raw_sources_from_folder  # noqa: F401
 from prospect.plans.search import SearchRequest, find_companies, search, validate_request  # noqa: F401
 from prospect.sources.tables import Tables, read_prepared  # noqa: F401
 
 __all__ = ["SearchRequest", "search", "find_companies", "validate_request", "Tables", "read_prepared",
-           "RawSources", "prepare_all", "run_requests"]
+           "RawSources", "prepare_all", "raw_sources_from_folder", "run_requests"]
