@@ -31,6 +31,7 @@ REQUEST_FIELDS = set(SearchRequest.__dataclass_fields__)
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="prospect", description="Find companies near a postcode (Spark).")
     p.add_argument("--prepared", help="folder of prepared Parquet tables")
+    p.add_argument("--prepare-from", help="raw snapshot folder: prepare it into --prepared, then report quality")
     p.add_argument("--config", help="YAML file with 'defaults' and 'profiles'")
     p.add_argument("--profile", help="profile name from the configuration")
     p.add_argument("--list-profiles", action="store_true")
@@ -95,6 +96,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for name, settings in (config.get("profiles") or {}).items():
             print(f"{name}: {settings.get('description', '')}")
         return 0
+    if args.prepare_from:
+        if not args.prepared:
+            print("--prepared is required", file=sys.stderr)
+            return 1
+        return prepare(args, spark)
     try:
         params = merge_parameters(config, args.profile, args)
     except KeyError as exc:
@@ -132,5 +138,27 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     return 0
 
 
+def prepare(args: argparse.Namespace, spark=None) -> int:
+    """Setup: newest raw snapshots -> prepared folder, then the quality report
+    (one aggregate row per check, printed)."""
+    if spark is None:
+        from pyspark.sql import SparkSession
+
+        builder = SparkSession.builder.appName("prospect-prepare")
+        if args.master:
+            builder = builder.master(args.master)
+        spark = builder.getOrCreate()
+    from prospect.plans.pipeline import prepare_all, quality_report, raw_sources_from_folder
+    from prospect.session import scratch_scope
+
+    with scratch_scope(spark):
+        raw = raw_sources_from_folder(spark, args.prepare_from)
+        tables = prepare_all(spark, raw, args.prepared, args.as_of)
+        for name, df in quality_report(raw, tables).items():
+            for row in df.collect():  # one row per report (five for the samples)
+                print(f"{name}: {row.asDict()}")
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

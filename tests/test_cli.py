@@ -66,3 +66,22 @@ def test_listings(tmp_path, capsys):
     assert cli.main(["--config", str(cfg), "--list-profiles"]) == 0
     assert "near: test" in capsys.readouterr().out
     assert cli.main(["--config", str(cfg), "--profile", "missing"]) == 1
+
+
+def test_prepare_from_raw_folder(spark, capsys):
+    from prospect.plans.registry import write_postcodes_csv
+    from prospect.session import scratch_path
+    from prospect.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.001"
+    raw = scratch_path(spark, "cli-raw")
+    FX.companies_raw(spark, sf).write.option("header", True).option("dateFormat", "dd/MM/yyyy").csv(
+        f"{raw}/BasicCompanyDataAsOneFile-2025-06-01.csv")
+    FX.psc_raw(spark, sf).write.option("dateFormat", "yyyy-MM-dd").json(
+        f"{raw}/persons-with-significant-control-snapshot-2025-06-01.txt")
+    write_postcodes_csv(spark, FX.postcodes_raw(spark, sf), raw, "FEB_2025")
+    out = scratch_path(spark, "cli-prepared")
+    assert cli.main(["--prepare-from", raw, "--prepared", out, "--as-of", "2025-06-30"], spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "company_counts: {'total_companies': 150" in text
+    assert spark.read.parquet(f"{out}/company_profiles.parquet").count() > 0
