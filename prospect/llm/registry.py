@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.llm import decontaminate, mixing, quality, sharding, simhash
+from prospect.llm import decontaminate, mixing, quality, sharding, simhash, tokenfiles, topk
 from prospect.llm.common import table
 
 
@@ -25,6 +25,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+def op8_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.tokenize(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "shard")
 
@@ -35,7 +46,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op4_decontaminate, op7_simhash, op9_sharding, op10_mixing)
+    f.__name__: f for f in (op1_quality, op4_decontaminate, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op9_sharding": sharding.oracle(),
+}
