@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.llm import decontaminate, mixing, quality, sharding, simhash, tokenfiles, topk
+from prospect.llm import decontaminate, lm, mixing, quality, sharding, simhash, tokenfiles, topk
 from prospect.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), 10)
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op4_decontaminate, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing)
+    f.__name__: f for f in (op1_quality, op4_decontaminate, op5_lm, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
