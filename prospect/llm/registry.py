@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.llm import decontaminate, lm, mixing, quality, sharding, simhash, tokenfiles, topk
+from prospect.llm import decontaminate, htmltext, licenses, lm, mixing, quality, sharding, simhash, tokenfiles, topk
 from prospect.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "start", "n", "distance", "similarity")
@@ -50,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op4_decontaminate, op5_lm, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_htmltext, op3_licenses, op4_decontaminate, op5_lm, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
