@@ -95,13 +95,17 @@ def psc_approximate_age(birth_year: Column, ingest_as_of: _dt.date | str | None
     return (F.year(as_of_date(ingest_as_of)) - birth_year).cast("int")
 
 
+def keeps_psc(d: Column) -> Column:
+    """Whether an owner's ``data`` is kept: an individual, not ceased (any
+    value counts as ceased), with a birth year."""
+    return F.coalesce((d["kind"] == INDIVIDUAL_KIND) & d["ceased_on"].isNull() & d["date_of_birth"]["year"].isNotNull(), F.lit(False))
+
+
 def prepare_psc(raw: DataFrame, ingest_as_of: _dt.date | str | None = None) -> DataFrame:
     """P5: flatten owner records; keep active individuals with a birth year."""
     d = F.col("data")
     birth_year = d["date_of_birth"]["year"].cast("int")
-    return raw.where(
-        (d["kind"] == INDIVIDUAL_KIND) & d["ceased_on"].isNull() & d["date_of_birth"]["year"].isNotNull()
-    ).select(
+    return raw.where(keeps_psc(d)).select(
         F.col("company_number"),
         d["name"].alias("name"),
         d["kind"].alias("kind"),

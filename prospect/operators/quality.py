@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospect.functions.expressions import split_sic_text
-from prospect.operators.prepare import INDIVIDUAL_KIND, sic_texts
+from prospect.operators.prepare import INDIVIDUAL_KIND, keeps_psc, sic_texts
 from prospect.sources import schemas
 
 UK_LAT = (49, 61)
@@ -99,7 +99,7 @@ def psc_stats(psc: DataFrame) -> DataFrame:
 
 def psc_drop_accounting(spark: SparkSession, path: str) -> DataFrame:
     """Q8: raw lines versus kept owner records, with the reason each dropped
-    line was dropped (malformed JSON, not an individual, ceased, no birth
+    line was dropped (blank, malformed JSON, not an individual, ceased, no birth
     year; first applicable reason).  One pass over the text lines: each
     line is parsed with ``from_json`` in the same scan that counts it."""
     lines = spark.read.text(path)
@@ -108,15 +108,19 @@ def psc_drop_accounting(spark: SparkSession, path: str) -> DataFrame:
                           "dateFormat": "yyyy-MM-dd"})
     r = lines.select(F.col("value"), parsed.alias("r"))
     blank = F.trim(F.col("value")) == ""
-    malformed = ~blank & F.col(f"r.{schemas.CORRUPT_COLUMN}").isNotNull()
-    ok = ~blank & ~malformed
+    # Kept by the prepare stage's own rule; a line is malformed if it is not
+    # kept and did not parse.
+    kept = ~blank & keeps_psc(F.col("r.data"))
+    malformed = ~blank & ~kept & F.col(f"r.{schemas.CORRUPT_COLUMN}").isNotNull()
+    ok = ~blank & ~malformed & ~kept
     kind = F.col("r.data.kind")
     individual = kind == F.lit(INDIVIDUAL_KIND)
     ceased = F.col("r.data.ceased_on").isNotNull()
     born = F.col("r.data.date_of_birth.year").isNotNull()
     counts = r.agg(
         F.count(F.lit(1)).alias("total_lines"),
-        F.count_if(ok & individual & ~ceased & born).alias("parsed_records"),
+        F.count_if(kept).alias("parsed_records"),
+        F.count_if(blank).alias("blank"),
         F.count_if(malformed).alias("malformed"),
         F.count_if(ok & ~F.coalesce(individual, F.lit(False))).alias("non_individual"),
         F.count_if(ok & individual & ceased).alias("ceased"),
@@ -126,5 +130,5 @@ def psc_drop_accounting(spark: SparkSession, path: str) -> DataFrame:
     return counts.select(
         "total_lines", "parsed_records", dropped.alias("dropped"),
         (F.try_divide(dropped, F.col("total_lines")) * 100).alias("dropped_pct"),
-        "malformed", "non_individual", "ceased", "missing_birth_year",
+        "blank", "malformed", "non_individual", "ceased", "missing_birth_year",
     )

@@ -158,7 +158,8 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
 
 
 def quality_report(raw: RawSources, prepared: Tables) -> dict[str, DataFrame]:
-    """Q1-Q7 over the prepared tables (one aggregate pass each)."""
+    """Q1-Q7 over the prepared tables (one aggregate pass each); Q8 reads the
+    raw owner lines, see ``psc_drop_accounting``."""
     return {
         "company_counts": Q.company_counts(prepared.companies),
         "missing_postcodes": Q.missing_postcodes(prepared.companies),

@@ -122,6 +122,21 @@ PSC_FLAT_SQL = """SELECT company_number, data_name AS name, data_kind AS kind, d
        data_ceased_on AS ceased_on, n_natures FROM psc_raw"""
 
 
+def write_dirty_psc(spark: SparkSession, sf_dir: str) -> str:
+    """The owner snapshot with lines that a real one can hold besides: cut-off
+    objects, blank lines and owners whose ``ceased_on`` is no date."""
+    path = scratch_path(spark, "psc-dirty")
+    k = F.col("_key")
+    whole = FX.psc_raw(spark, sf_dir).select(F.to_json(F.struct("company_number", "data")).alias("value"))
+    odd = FX.psc_raw_flat(spark, sf_dir).select("_key")
+    ceased = ('{"company_number":"00000001","data":{"kind":"individual-person-with-significant-control",'
+              '"date_of_birth":{"year":1960,"month":1},"ceased_on":"not a date"}}')
+    lines = whole.unionByName(odd.where(k % 53 == 7).select(F.lit('{"company_number":"0000').alias("value"))).unionByName(
+        odd.where(k % 59 == 11).select(F.lit("  ").alias("value"))).unionByName(odd.where(k % 61 == 13).select(F.lit(ceased).alias("value")))
+    lines.write.text(path)
+    return path
+
+
 def flatten_psc(df: DataFrame) -> DataFrame:
     d = F.col("data")
     return df.select(
@@ -129,7 +144,7 @@ def flatten_psc(df: DataFrame) -> DataFrame:
         d["date_of_birth"]["year"].cast("int").alias("birth_year"),
         d["date_of_birth"]["month"].cast("int").alias("birth_month"),
         d["nationality"].alias("nationality"), d["notified_on"].alias("notified_on"),
-        d["ceased_on"].alias("ceased_on"), F.size(d["natures_of_control"]).alias("n_natures"))
+        d["ceased_on"].try_cast("date").alias("ceased_on"), F.size(d["natures_of_control"]).alias("n_natures"))
 
 
 @register("scan_psc_ndjson", SQL.with_fixtures(PSC_FLAT_SQL))
@@ -308,15 +323,27 @@ def q_dq_psc_stats(spark, sf_dir):
 @register("dq_psc_drop_accounting", SQL.with_fixtures(
     """SELECT total_lines, parsed_records, total_lines - parsed_records AS dropped,
        (total_lines - parsed_records) / total_lines * 100 AS dropped_pct,
-       CAST(0 AS BIGINT) AS malformed, non_individual, ceased, missing_birth_year
-FROM (SELECT COUNT(*) AS total_lines,
+       blank, malformed, non_individual, ceased, missing_birth_year
+FROM (SELECT COUNT(*) + COUNT(*) FILTER (WHERE o % 53 = 7) + COUNT(*) FILTER (WHERE o % 59 = 11) + COUNT(*) FILTER (WHERE o % 61 = 13) AS total_lines,
+             COUNT(*) FILTER (WHERE o % 53 = 7) AS malformed, COUNT(*) FILTER (WHERE o % 59 = 11) AS blank,
              COUNT(*) FILTER (WHERE data_kind = 'individual-person-with-significant-control' AND data_ceased_on IS NULL AND data_birth_year IS NOT NULL) AS parsed_records,
              COUNT(*) FILTER (WHERE data_kind IS DISTINCT FROM 'individual-person-with-significant-control') AS non_individual,
-             COUNT(*) FILTER (WHERE data_kind = 'individual-person-with-significant-control' AND data_ceased_on IS NOT NULL) AS ceased,
+             COUNT(*) FILTER (WHERE data_kind = 'individual-person-with-significant-control' AND data_ceased_on IS NOT NULL)
+               + COUNT(*) FILTER (WHERE o % 61 = 13) AS ceased,
              COUNT(*) FILTER (WHERE data_kind = 'individual-person-with-significant-control' AND data_ceased_on IS NULL AND data_birth_year IS NULL) AS missing_birth_year
-      FROM psc_raw)"""))
+      FROM (SELECT *, CAST(replace(data_name, 'Person ', '') AS BIGINT) AS o FROM psc_raw))"""))
 def q_dq_psc_drop_accounting(spark, sf_dir):
-    return Q.psc_drop_accounting(spark, write_psc_ndjson(spark, sf_dir))
+    return Q.psc_drop_accounting(spark, write_dirty_psc(spark, sf_dir))
+
+
+@register("prepare_psc_dirty", SQL.with_fixtures(
+    "SELECT COUNT(*) AS kept, COUNT(*) AS parsed_records FROM psc"))
+def q_prepare_psc_dirty(spark, sf_dir):
+    """Rows kept by the prepare rule, next to the report's number, on a
+    snapshot with malformed, blank and unreadable lines."""
+    path = write_dirty_psc(spark, sf_dir)
+    kept = P.prepare_psc(S.scan_psc_ndjson(spark, path), AS_OF).agg(F.count(F.lit(1)).alias("kept"))
+    return kept.join(Q.psc_drop_accounting(spark, path).select("parsed_records"))
 
 
 # --- F: profiling of raw sources ------------------------------------------------------
@@ -482,17 +509,17 @@ def q_filter_company_age(spark, sf_dir):
 
 # --- A: aggregates ---------------------------------------------------------------------------
 
-@register("sic_aggregates", SQL.with_fixtures("SELECT * FROM sic_aggregates", radius_ctes()))
+@register("sic_aggregates", SQL.with_fixtures("SELECT * FROM sic_facts", radius_ctes()))
 def q_sic_aggregates(spark, sf_dir):
     return A.sic_aggregates(tables(spark, sf_dir).company_sic)
 
 
-@register("psc_aggregates", SQL.with_fixtures("SELECT * FROM psc_aggregates", radius_ctes()))
+@register("psc_aggregates", SQL.with_fixtures("SELECT * FROM psc_facts", radius_ctes()))
 def q_psc_aggregates(spark, sf_dir):
     return A.psc_aggregates(tables(spark, sf_dir).psc, AS_OF)
 
 
-@register("officer_aggregates", SQL.with_fixtures("SELECT * FROM officer_aggregates", radius_ctes()))
+@register("officer_aggregates", SQL.with_fixtures("SELECT * FROM officer_facts", radius_ctes()))
 def q_officer_aggregates(spark, sf_dir):
     return A.officer_aggregates(tables(spark, sf_dir).officers, AS_OF)
 
@@ -558,7 +585,7 @@ ENRICHED_COLUMNS = ["CompanyNumber", *A.SIC_COLUMNS, *A.PSC_COLUMNS, *A.OFFICER_
 
 
 @register("enrich_companies", SQL.with_fixtures(
-    f"SELECT {', '.join(ENRICHED_COLUMNS)} FROM companies_in_radius", radius_ctes()))
+    f"SELECT {', '.join(ENRICHED_COLUMNS)} FROM in_reach", radius_ctes()))
 def q_enrich_companies(spark, sf_dir):
     t, lat0, lon0 = _target(spark, sf_dir)
     req = basic_request()
@@ -574,7 +601,7 @@ def _radius_base(spark, sf_dir):
 
 
 def _j_oracle(where_sql: str, join_psc: bool = False) -> str:
-    src = "companies_in_radius c" + (" INNER JOIN psc p ON c.CompanyNumber = p.company_number" if join_psc else "")
+    src = "in_reach c" + (" INNER JOIN psc p ON c.CompanyNumber = p.company_number" if join_psc else "")
     return SQL.with_fixtures(f"SELECT DISTINCT c.CompanyNumber, c.CompanyName FROM {src} WHERE {where_sql}",
                              radius_ctes())
 
@@ -673,7 +700,9 @@ def _ranked_oracle(req: SearchRequest, page_size: int | None = None) -> str:
 @register("order_by_distance", _ranked_oracle(basic_request()))
 def q_order_by_distance(spark, sf_dir):
     res = search_unordered(tables(spark, sf_dir), basic_request(), AS_OF)
-    return O.result_pages(res, page_size=1 << 30).drop("page", "distance_miles")
+    ordered = O.order_by_distance(res).withColumn("_at", F.monotonically_increasing_id())
+    # The position in the ordered result, for the comparison.
+    return O.result_pages(ordered, page_size=1 << 30, order_keys=["_at"]).drop("page", "distance_miles", "_at")
 
 
 @register("result_count", SQL.with_fixtures(

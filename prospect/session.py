@@ -9,7 +9,7 @@ setting gets a private folder under the system temporary directory.
 from __future__ import annotations
 
 import contextlib
-import os
+import contextvars
 import tempfile
 import uuid
 
@@ -56,15 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-_SCOPES: list[list[str]] = []
+#: The innermost open scope of this thread or task; it alone owns new paths.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch_scope", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder (never reused); recorded
-    in every open ``scratch_scope``."""
+    """A fresh, unique path under the shared folder (never reused); owned by
+    the innermost open ``scratch_scope`` of the caller."""
     base = shared_dir(spark).rstrip("/")
     path = f"{base}/prospect-scratch/{name}-{uuid.uuid4().hex[:12]}"
-    for scope in _SCOPES:
+    scope = _SCOPE.get()
+    if scope is not None:
         scope.append(path)
     return path
 
@@ -88,11 +90,11 @@ def scratch_scope(spark: SparkSession):
     (materialized stages).  Results are lazy and may read those tables, so
     write or collect every output inside the block."""
     created: list[str] = []
-    _SCOPES.append(created)
+    before = _SCOPE.set(created)
     try:
         yield created
     finally:
-        _SCOPES.remove(created)
+        _SCOPE.reset(before)
         _delete_paths(spark, created)
 
 
@@ -126,31 +128,12 @@ def materialize_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame,
 
 def broadcast_row_limit(spark: SparkSession, row_bytes: int) -> int:
     """Rows of ``row_bytes`` each that fit under the broadcast threshold."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
-    digits = "".join(ch for ch in str(raw) if ch.isdigit() or ch == "-")
-    try:
-        limit = int(digits)
-    except ValueError:
-        limit = 10 * 1024 * 1024
-    unit = str(raw).strip().lower()
-    if unit.endswith("kb") or unit.endswith("k"):
-        limit *= 1024
-    elif unit.endswith("mb") or unit.endswith("m"):
-        limit *= 1024 * 1024
-    elif unit.endswith("gb") or unit.endswith("g"):
-        limit *= 1024 * 1024 * 1024
+    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())  # in bytes, any unit
     if limit <= 0:
         return 0
     return max(1, limit // max(1, row_bytes))
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def size_estimate(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes (from file sizes for
     scans; an upper bound through filters, projections and aggregates; 0 if

@@ -29,14 +29,21 @@ def tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def synthetic_postcode(key: Column) -> Column:
     """``AB<10..99> <digit><letter>Q`` from an integer key (same rule for
-    companies, postcodes and request targets so that they meet)."""
+    companies, postcodes and request targets so that they meet).  The area and
+    the last letter go on where the inner letter ends, so keys up to 400
+    million have codes of their own."""
+    def letter(index: Column) -> Column:
+        return F.substr(F.lit(LETTERS), (F.lit(1) + index % 26).cast("int"), F.lit(1))
+
+    area = (F.lit(1) + F.floor(key / 23400).cast("bigint")) % 676
     return F.concat(
-        F.lit("AB"),
+        letter(F.floor(area / 26).cast("bigint")),
+        letter(area),
         (F.lit(10) + key % 90).cast("string"),
         F.lit(" "),
         (F.floor(key / 90).cast("bigint") % 10).cast("string"),
-        F.substr(F.lit(LETTERS), (F.lit(1) + F.floor(key / 900)).cast("int"), F.lit(1)),
-        F.lit("Q"),
+        letter(F.floor(key / 900).cast("bigint")),
+        letter(F.lit(16) + F.floor(key / 15818400).cast("bigint")),
     )
 
 
@@ -111,9 +118,9 @@ def postcodes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tpch(spark, sf_dir, "part")
     k = F.col("p_partkey")
     lat = F.when(k % 101 == 50, F.lit(None).cast("double")).otherwise(
-        F.lit(51.5) + (k * 37 % 1000 - 500) / F.lit(500.0))
+        F.lit(51.5) + (k * 37 % 1000 - 500) / F.lit(500.0) + (F.floor(k / 1000).cast("bigint") % 997) / F.lit(1000000.0))
     lon = F.when(k % 103 == 51, F.lit(None).cast("double")).otherwise(
-        F.lit(-0.5) + (k * 91 % 1000 - 500) / F.lit(400.0))
+        F.lit(-0.5) + (k * 91 % 1000 - 500) / F.lit(400.0) + (F.floor(k / 1000).cast("bigint") % 991) / F.lit(1000000.0))
     return p.select(
         synthetic_postcode(k).alias("pcds"),
         lat.alias("lat"),

@@ -37,7 +37,8 @@ def scan_csv_by_header(spark: SparkSession, path, known: dict, date_format: str
 
     names = _csv_header(spark, path) or list(known)
     schema = T.StructType([T.StructField(n, known.get(n.strip(), T.StringType()), True) for n in names])
-    reader = spark.read.option("header", True).option("escape", '"').schema(schema)
+    # A file whose header differs from the schema's fails instead of shifting columns.
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).schema(schema)
     if date_format:
         reader = reader.option("dateFormat", date_format)
     if strict:

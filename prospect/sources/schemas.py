@@ -48,7 +48,8 @@ PSC_JSON = T.StructType([
         T.StructField("nationality", S),
         T.StructField("natures_of_control", T.ArrayType(S)),
         T.StructField("notified_on", DT),
-        T.StructField("ceased_on", DT),
+        # Text: any value, readable as a date or not, means the owner has ceased.
+        T.StructField("ceased_on", S),
     ])),
 ])
 CORRUPT_COLUMN = "_corrupt_record"
