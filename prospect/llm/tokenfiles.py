@@ -14,10 +14,9 @@ taken over one manifest row per part; offsets are written once the bases are
 known.  File names carry the task attempt, and the manifest names the files of
 the attempt that finished, so a retried or speculative task cannot mix files.
 
-Encoding is the tokenizers library's.  Byte-level tokenizers split text before
-a single space followed by a visible character, whatever surrounds it, so such
-pieces are encoded on their own and remembered (a bounded table); other
-tokenizers encode whole texts.
+Encoding is the tokenizers library's.  Byte-level tokenizers split text at
+single spaces and newlines between visible characters, so words are encoded once
+and remembered (a bounded table); other texts and tokenizers are encoded whole.
 
 Edge cases: NULL and empty texts hold the end id alone; NULL ids come first;
 repeated rows are written each, in text order; an empty table gives an empty
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 
 from prospect.session import materialize, scratch_path
 
-#: Remembered pieces per task; the table starts anew beyond it.
+#: Remembered words per task; the table starts anew beyond it.
 PIECES = 400_000
 _ROWS_OUT = 4096
 
@@ -87,11 +86,18 @@ def splits_at_spaces(tokenizer_json: str) -> bool:
 
 
 def _visible(ch: str) -> bool:
+    """A single character that no tokenizer takes for white space."""
     return "!" <= ch <= "~" or ch.isalnum()
 
 
 class Encoder:
-    """Token ids of texts, remembering the ids of pieces."""
+    """Token ids of texts, remembering the ids of words.
+
+    A byte-level tokenizer starts a new piece at a single space before a
+    visible character, and treats a single newline between visible characters
+    as a piece of its own; so a text whose words and lines all start and end
+    that way is the ids of its words, each known by its place (after a space or
+    at the start of a line).  Any other text is encoded whole."""
 
     def __init__(self, tokenizer_json: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,36 +106,80 @@ class Encoder:
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.encode_special_tokens = True
         self.dtype = dtype
-        self.by_piece = splits_at_spaces(tokenizer_json)
-        self.known: dict[str, bytes] = {}
+        self.by_word = splits_at_spaces(tokenizer_json)
+        self.spaced: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.newline = self._raw(["\n"])[0]
+        # Tokens that begin with a space: the first token of a spaced word.
+        self.leads = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str]:
-        words = text.split(" ")
-        out = words[:1]
-        for w in words[1:]:
-            if w and _visible(w[0]):
-                out.append(" " + w)
-            else:
-                out[-1] += " " + w
+    def _raw_spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space.  Many words go through one call,
+        which costs less than a call for each; the result is cut where a token
+        begins with a space."""
+        blocks = [words[at:at + 256] for at in range(0, len(words), 256)]
+        out = []
+        for block, e in zip(blocks, self.tok.encode_batch_fast(["".join(f" {w}" for w in b) for b in blocks], add_special_tokens=False)):
+            ids = np.asarray(e.ids)
+            cuts = np.flatnonzero(self.leads[ids])
+            if len(cuts) != len(block):
+                out += self._raw([f" {w}" for w in block])
+                continue
+            flat, ends = ids.astype(self.dtype), [*cuts[1:].tolist(), len(ids)]
+            out += [flat[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)]
         return out
 
+    def _learn(self, lines: list[list[str]]) -> bool:
+        """Encode the words of ``lines`` not met before; False if some word or
+        line does not start and end visibly."""
+        new, heads = set(), set()
+        for words in lines:
+            if not words[0] or not _visible(words[0][0]) or not _visible(words[-1][-1:]):
+                return False
+            for w in words[1:]:
+                if w not in self.spaced:
+                    if not w or not _visible(w[0]):
+                        return False
+                    new.add(w)
+            if words[0] not in self.first:
+                heads.add(words[0])
+        if len(self.spaced) + len(self.first) + len(new) > PIECES:
+            self.spaced.clear()
+            self.first.clear()
+            return self._learn(lines)
+        for table, words, encode in ((self.spaced, list(new), self._raw_spaced), (self.first, list(heads), self._raw)):
+            table.update(zip(words, encode(words)))
+        return True
+
+    def encode_one(self, text: str) -> bytes:
+        lines = [line.split(" ") for line in text.split("\n")]
+        out = []
+        try:
+            for words in lines:
+                if not _visible(words[-1][-1:]):
+                    return self._raw([text])[0]
+                out.append(self.first[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
+        except KeyError:
+            # A text with more new words than the table holds is encoded whole.
+            if len(text) > PIECES or not self._learn(lines):
+                return self._raw([text])[0]
+            out = [self.first[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])) for words in lines]
+        return self.newline.join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
-        if not self.by_piece:
-            return self._raw(texts)
-        cut = [self.pieces(t) for t in texts]
-        known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        if len(known) + len(new) > PIECES:
-            known.clear()
-            new = list({p for c in cut for p in c})
-        for at in range(0, len(new), 10_000):
-            block = new[at:at + 10_000]
-            known.update(zip(block, self._raw(block)))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        if self.by_word:
+            # New words of texts that are plainly spaced are learned together.
+            plain = [t for t in texts if t and len(t) <= PIECES and "  " not in t and "\n\n" not in t and _visible(t[0]) and _visible(t[-1])]
+            new = {w for t in plain for line in t.split("\n") for w in line.split(" ")[1:] if w and w not in self.spaced and _visible(w[0])}
+            if len(self.spaced) + len(self.first) + len(new) <= PIECES:
+                words = list(new)
+                self.spaced.update(zip(words, self._raw_spaced(words)))
+        return [self.encode_one(t) if t else b"" for t in texts] if self.by_word else self._raw(texts)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
