@@ -165,8 +165,10 @@ def fit(docs: DataFrame) -> Model:
     """Train with ordinary paragraphs of at most ``SAMPLE_DOCS`` documents."""
     ids = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, SAMPLE_PARAGRAPHS)
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), lines.alias("p")).collect()
-    return train([words(p) for r in sorted(got, key=lambda r: (r["doc_id"], r["h"] or 0)) for p in (r["p"] or [])])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.struct(F.xxhash64("text").alias("h"), lines.alias("p")).alias("r"))
+    # One text an id, however often the id is repeated.
+    got = rows.groupBy("doc_id").agg(F.min("r").alias("r")).collect()
+    return train([words(p) for r in sorted(got, key=lambda r: r["doc_id"]) for p in (r["r"]["p"] or [])])
 
 
 def _score_lines(lines: list[list[str]], model: Model, known: Hashes) -> np.ndarray:
