@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="prospect", description="Find companies near a postcode (Spark).")
     p.add_argument("--prepared", help="folder of prepared Parquet tables")
     p.add_argument("--prepare-from", help="raw snapshot folder: prepare it into --prepared, then report quality")
+    p.add_argument("--officers", help="Parquet officer appointments to prepare with --prepare-from")
+    p.add_argument("--profile-from", help="raw snapshot folder: profile its sources")
     p.add_argument("--config", help="YAML file with 'defaults' and 'profiles'")
     p.add_argument("--profile", help="profile name from the configuration")
     p.add_argument("--list-profiles", action="store_true")
@@ -101,6 +103,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print("--prepared is required", file=sys.stderr)
             return 1
         return prepare(args, spark)
+    if args.profile_from:
+        return profile(args, spark)
     try:
         params = merge_parameters(config, args.profile, args)
     except KeyError as exc:
@@ -112,13 +116,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if not args.prepared:
         print("--prepared is required", file=sys.stderr)
         return 1
-    if spark is None:
-        from pyspark.sql import SparkSession
-
-        builder = SparkSession.builder.appName("prospect")
-        if args.master:
-            builder = builder.master(args.master)
-        spark = builder.getOrCreate()
+    spark = spark or session(args, "prospect")
     from prospect.sources.tables import read_prepared
 
     from prospect.session import scratch_scope
@@ -141,24 +139,48 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 def prepare(args: argparse.Namespace, spark=None) -> int:
     """Setup: newest raw snapshots -> prepared folder, then the quality report
     (one aggregate row per check, printed)."""
-    if spark is None:
-        from pyspark.sql import SparkSession
-
-        builder = SparkSession.builder.appName("prospect-prepare")
-        if args.master:
-            builder = builder.master(args.master)
-        spark = builder.getOrCreate()
-    from prospect.plans.pipeline import prepare_all, quality_report, raw_sources_from_folder
+    spark = spark or session(args, "prospect-prepare")
+    from prospect.plans.pipeline import parsed_once, prepare_all, quality_report, raw_sources_from_folder
     from prospect.session import scratch_scope
+    from prospect.sources.readers import path_exists
 
+    if args.officers and not path_exists(spark, args.officers):
+        print(f"No officers at {args.officers}", file=sys.stderr)
+        return 1
+    if not args.officers:
+        print("No officers given: tenure searches will find nothing (see --officers)", file=sys.stderr)
     with scratch_scope(spark):
-        raw = raw_sources_from_folder(spark, args.prepare_from)
+        raw = parsed_once(raw_sources_from_folder(spark, args.prepare_from, args.officers))
         tables = prepare_all(spark, raw, args.prepared, args.as_of)
-        for name, df in quality_report(raw, tables).items():
-            for row in df.collect():  # one row per report (five for the samples)
-                print(f"{name}: {row.asDict()}")
+        show(quality_report(raw, tables))
     return 0
 
 
+def profile(args: argparse.Namespace, spark=None) -> int:
+    """Profile the newest raw snapshots (printed)."""
+    spark = spark or session(args, "prospect-profile")
+    from prospect.plans.pipeline import parsed_once, profile_report, raw_sources_from_folder
+    from prospect.session import scratch_scope
+
+    with scratch_scope(spark):
+        show(profile_report(parsed_once(raw_sources_from_folder(spark, args.profile_from))))
+    return 0
+
+
+def session(args: argparse.Namespace, name: str):
+    from pyspark.sql import SparkSession
+
+    builder = SparkSession.builder.appName(name)
+    if args.master:
+        builder = builder.master(args.master)
+    return builder.getOrCreate()
+
+
+def show(reports) -> None:
+    for name, df in reports.items():
+        for row in df.collect():  # aggregates, top lists and samples of a few rows
+            print(f"{name}: {row.asDict()}")
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -97,7 +97,7 @@ def psc_stats(psc: DataFrame) -> DataFrame:
     )
 
 
-def psc_drop_accounting(spark: SparkSession, path: str) -> DataFrame:
+def psc_drop_accounting(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Q8: raw lines versus kept owner records, with the reason each dropped
     line was dropped (blank, malformed JSON, not an individual, ceased, no birth
     year; first applicable reason).  One pass over the text lines: each

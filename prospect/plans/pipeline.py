@@ -24,7 +24,7 @@ is ZSTD Parquet with bounded row groups.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from prospect.functions.expressions import normalise_postcode
 from prospect.operators import prepare as P
 from prospect.operators.aggregates import company_profiles
+from prospect.operators import profile as PF
 from prospect.operators import quality as Q
 from prospect.session import broadcast_row_limit, materialize, output_partitions
-from prospect.sources.tables import Tables, read_prepared
+from prospect.sources.tables import Tables, empty_officers, read_prepared
 from prospect.sources.writers import write_parquet
 
 GEO_COLUMNS = ["geo_lat", "geo_long"]
@@ -47,6 +48,8 @@ class RawSources:
     psc: DataFrame            # nested owner records
     postcodes: DataFrame      # directory rows
     officers: DataFrame | None = None
+    psc_files: tuple[str, ...] = ()     # the owner records' files, for the drop report
+    register_parsed: bool = False       # companies is a stage table already
 
 
 # The raw snapshot file names of the original data sources.
@@ -62,14 +65,24 @@ def raw_sources_from_folder(spark: SparkSession, raw_dir: str, officers: str | N
     from prospect.sources import readers as S
 
     raw_dir = raw_dir.rstrip("/")
+    _, psc_files = S.newest_files(spark, f"{raw_dir}/{PSC_PATTERN}")
     return RawSources(
         companies=S.latest_snapshot(spark, f"{raw_dir}/{COMPANIES_PATTERN}", lambda f: S.scan_companies_csv(spark, f)),
         psc=S.latest_snapshot(spark, f"{raw_dir}/{PSC_PATTERN}", lambda f: S.scan_psc_ndjson(spark, f)),
         postcodes=S.latest_snapshot(spark, f"{raw_dir}/{POSTCODES_PATTERN}", lambda f: S.scan_postcodes_csv(spark, f)),
         officers=S.scan_officers(spark, officers) if officers else None,
+        psc_files=tuple(psc_files),
     )
 
 
+def parsed_once(raw: RawSources) -> RawSources:
+    """The sources with the register parsed into a stage table, which the
+    prepare stage and the reports then share."""
+    if raw.register_parsed:
+        return raw
+    return replace(raw, companies=materialize(raw.companies, "raw-companies"), register_parsed=True)
+
+
 def company_locations(companies: DataFrame, postcodes: DataFrame, postcode_rows: int) -> DataFrame:
     """(CompanyNumber, geo_lat, geo_long) for geocodable companies.  The
     postcode side is broadcast only when its counted size fits the budget."""
@@ -109,10 +122,11 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
                 ingest_as_of: _dt.date | str | None = None, partitions: int | None = None,
                 geo_layout: bool = True) -> Tables:
     """Write the five prepared tables under ``folder`` and return them as
-    Parquet-backed DataFrames."""
+    Parquet-backed DataFrames.  Without officers an empty officers table is
+    written, so that an earlier run's appointments never reach the profiles."""
     folder = folder.rstrip("/")
     parts = partitions  # None: sized per table from its estimate (~256 MB per partition)
-    companies_raw = materialize(raw.companies, "raw-companies")
+    companies_raw = parsed_once(raw).companies
     # Observed after the range exchange: below it, the exchange's sampling
     # pass would be counted too.
     obs = Observation("prepared-postcodes")
@@ -125,13 +139,12 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     companies = P.prepare_companies(companies_raw)
     sic = P.prepare_company_sic(companies_raw)
     psc = P.prepare_psc(raw.psc, ingest_as_of)
-    officers = P.prepare_officers(raw.officers) if raw.officers is not None else None
+    officers = P.prepare_officers(raw.officers) if raw.officers is not None else empty_officers(spark)
     if not geo_layout:
         write_parquet(companies, f"{folder}/companies.parquet")
         write_parquet(sic, f"{folder}/company_sic.parquet")
         write_parquet(psc, f"{folder}/psc.parquet")
-        if officers is not None:
-            write_parquet(officers, f"{folder}/officers.parquet")
+        write_parquet(officers, f"{folder}/officers.parquet")
         t = read_prepared(spark, folder)
         write_parquet(company_profiles(t.company_sic, t.psc, t.officers), f"{folder}/company_profiles.parquet")
         return read_prepared(spark, folder)
@@ -146,8 +159,7 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     # profiles, so these three keep a plain layout.
     write_parquet(sic, f"{folder}/company_sic.parquet")
     write_parquet(psc, f"{folder}/psc.parquet")
-    if officers is not None:
-        write_parquet(officers, f"{folder}/officers.parquet")
+    write_parquet(officers, f"{folder}/officers.parquet")
     # Per-company profiles, built once from the written (columnar) tables:
     # searches then join them instead of aggregating at query time.
     t = read_prepared(spark, folder)
@@ -158,9 +170,9 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
 
 
 def quality_report(raw: RawSources, prepared: Tables) -> dict[str, DataFrame]:
-    """Q1-Q7 over the prepared tables (one aggregate pass each); Q8 reads the
-    raw owner lines, see ``psc_drop_accounting``."""
-    return {
+    """Q1-Q7 over the prepared tables (one aggregate pass each), and Q8 over
+    the raw owner lines when their files are known."""
+    reports = {
         "company_counts": Q.company_counts(prepared.companies),
         "missing_postcodes": Q.missing_postcodes(prepared.companies),
         "sic_stats": Q.sic_stats(prepared.company_sic),
@@ -169,3 +181,21 @@ def quality_report(raw: RawSources, prepared: Tables) -> dict[str, DataFrame]:
         "postcode_bounds": Q.postcode_bounds(prepared.postcodes),
         "psc_stats": Q.psc_stats(prepared.psc),
     }
+    if raw.psc_files:
+        reports["psc_drop_accounting"] = Q.psc_drop_accounting(prepared.psc.sparkSession, list(raw.psc_files))
+    return reports
+
+
+def profile_report(raw: RawSources) -> dict[str, DataFrame]:
+    """F2-F10 over the raw sources, before anything is prepared."""
+    return {
+        "row_counts": PF.row_counts({"companies": raw.companies, "psc": raw.psc, "postcodes": raw.postcodes}),
+        "status_topk": PF.status_topk(raw.companies),
+        "category_topk": PF.category_topk(raw.companies),
+        "psc_sample": PF.psc_sample(raw.psc),
+        "kind_breakdown": PF.kind_breakdown(raw.psc),
+        "active_vs_ceased": PF.active_vs_ceased(raw.psc),
+        "postcode_termination": PF.postcode_termination(raw.postcodes),
+        "coordinate_bounds": PF.coordinate_bounds(raw.postcodes),
+        "postcode_samples": PF.postcode_samples(raw.postcodes),
+    }

@@ -112,6 +112,18 @@ def snapshot_date(path: str) -> _dt.date | None:
     return None
 
 
+def newest_files(spark: SparkSession, pattern: str) -> tuple[_dt.date, list[str]]:
+    """Release date and files of the newest snapshot matching ``pattern``,
+    from the file listing alone."""
+    files = spark.read.text(pattern).inputFiles()
+    dated = [(snapshot_date(f), f) for f in files]
+    dated = [(d, f) for d, f in dated if d is not None]
+    if not dated:
+        raise ValueError(f"no dated snapshot matches {pattern}")
+    newest = max(d for d, _ in dated)
+    return newest, sorted({f for d, f in dated if d == newest})
+
+
 def latest_snapshot(spark: SparkSession, pattern: str, read: Callable[[list[str]], DataFrame]) -> DataFrame:
     """Read only the newest snapshot among the files matching ``pattern``.
 
@@ -122,11 +134,5 @@ def latest_snapshot(spark: SparkSession, pattern: str, read: Callable[[list[str]
     older snapshots are never scanned.  A ``snapshot_date`` column records
     the choice.
     """
-    files = spark.read.text(pattern).inputFiles()
-    dated = [(snapshot_date(f), f) for f in files]
-    dated = [(d, f) for d, f in dated if d is not None]
-    if not dated:
-        raise ValueError(f"no dated snapshot matches {pattern}")
-    newest = max(d for d, _ in dated)
-    keep = sorted({f for d, f in dated if d == newest})
+    newest, keep = newest_files(spark, pattern)
     return read(keep).withColumn("snapshot_date", F.lit(newest))

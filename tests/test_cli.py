@@ -84,4 +84,20 @@ def test_prepare_from_raw_folder(spark, capsys):
     assert cli.main(["--prepare-from", raw, "--prepared", out, "--as-of", "2025-06-30"], spark=spark) == 0
     text = capsys.readouterr().out
     assert "company_counts: {'total_companies': 150" in text
+    assert "psc_drop_accounting: {'total_lines':" in text
     assert spark.read.parquet(f"{out}/company_profiles.parquet").count() > 0
+    # With officers a tenure search finds companies; prepared again without
+    # them, nothing of the earlier run is left.
+    officers = f"{raw}/officers.parquet"
+    FX.officers_raw(spark, sf).write.parquet(officers)
+    given = ["--prepare-from", raw, "--prepared", out, "--as-of", "2025-06-30"]
+    tenure = ["--prepared", out, "--postcode", "AB24 0AQ", "--radius", "500", "--min-psc-tenure", "1", "--as-of", "2025-06-30"]
+    assert cli.main([*given, "--officers", officers], spark=spark) == 0
+    assert cli.main(tenure, spark=spark) == 0
+    assert cli.main(given, spark=spark) == 0
+    assert spark.read.parquet(f"{out}/officers.parquet").count() == 0
+    assert cli.main(tenure, spark=spark) == 1
+    assert cli.main([*given, "--officers", f"{raw}/none.parquet"], spark=spark) == 1
+    capsys.readouterr()
+    assert cli.main(["--profile-from", raw], spark=spark) == 0
+    assert "row_counts: {'source': 'companies', 'row_count': 150" in capsys.readouterr().out
