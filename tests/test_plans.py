@@ -108,3 +108,22 @@ def test_plain_layout_gives_identical_results(spark, small_tables):
     assert plain.profiles is not None and "geo_lat" not in plain.companies.columns
     for name in ["search_basic", "search_all_filters", "search_tenure_any"]:
         assert search(plain, SEARCHES[name], AS_OF).collect() == search(small_tables, SEARCHES[name], AS_OF).collect()
+
+
+def test_batch_reads_the_companies_own_coordinates(spark, small_tables):
+    """With the location layout the batch joins no postcode; without it the
+    postcode join returns the same rows."""
+    from dataclasses import replace
+
+    from prospect.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.001"
+    located = B.locate_requests(B.validate_requests(B.resolve_requests(FX.requests_raw(spark, sf), FX.profiles(spark, sf))),
+                                small_tables.postcodes)
+    located = B.materialize(located, "test-located")
+    plain = replace(small_tables, companies=small_tables.companies.drop("geo_lat", "geo_long"))
+    own, joined = B.search_many(small_tables, located, AS_OF), B.search_many(plain, located, AS_OF)
+    assert "pcds" not in plan(own) and "pcds" in plan(joined)
+    cols = ["request_id", "CompanyNumber", "distance_miles"]
+    a, b = (sorted(map(tuple, df.select(*cols).collect())) for df in (own, joined))
+    assert a == b and a
