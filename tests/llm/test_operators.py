@@ -245,6 +245,14 @@ def test_main_text_of_templated_pages(spark):
     assert htmltext.main_texts(df.limit(0)).count() == 0
 
 
+def test_one_page_with_an_extra_div_keeps_its_hosts_articles(spark):
+    page = ('<html><body><div class="ad">buy {0}</div>{1}<article><h1>Head {0}</h1><div class="ad">more {0}</div><p>Text {0}</p></article>'
+            "<footer>f{0}</footer></body></html>")
+    rows = [(i, "http://a.org/%d" % i, page.format(i, "<div>Notice</div>" if i == 4 else "")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nText {i}" for i in range(6)}
+
+
 # ----------------------------------------------------------------- licences
 
 def test_licences_are_found_and_confirmed(spark):
