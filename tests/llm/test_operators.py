@@ -253,6 +253,22 @@ def test_one_page_with_an_extra_div_keeps_its_hosts_articles(spark):
     assert got == {i: f"Head {i}\nText {i}" for i in range(6)}
 
 
+@pytest.mark.parametrize("odd", [{1}, {0, 2, 4}])
+def test_blocks_in_another_order_lose_no_article(spark, odd):
+    bar = '<section class="extra"><h4>Side</h4><b>{0}</b></section>'
+    art = "<article><h1>Head {0}</h1><p>Text {0}</p></article>"
+    rows = [(i, "http://a.org/%d" % i, f"<html><body>{bar + art if i in odd else art + bar}</body></html>".format(i)) for i in range(8)]
+    for turn in (0, 1):  # either layout may hold the page that was the reference
+        df = spark.createDataFrame([(r[0] + 100 * turn, *r[1:]) for r in rows], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in htmltext.main_texts(df).collect()}
+        assert got == {i + 100 * turn: f"Head {i}\nText {i}" for i in range(8)}
+
+
+def test_longest_run_of_ranks():
+    assert htmltext.longest_run([3, 4, 5, 0, 1, 2, 6, 7]) in ([0, 1, 2, 6, 7], [3, 4, 5, 6, 7])
+    assert htmltext.longest_run([2, 1, 0]) in ([0], [1], [2]) and htmltext.longest_run([]) == []
+
+
 # ----------------------------------------------------------------- licences
 
 def test_licences_are_found_and_confirmed(spark):
