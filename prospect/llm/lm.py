@@ -14,11 +14,11 @@ which sums to one over all words, the unseen counting as one word per class.
 
 *Training.*  The network starts at the unigram model (output biases are log
 frequencies) and is improved by truncated backpropagation through time in
-numpy.  Every scan task trains on its own documents: in round ``r`` on the
-training documents whose hash falls into slot ``r`` of ``SLOTS``, so what is
-learned from grows with the corpus while each task holds a fixed part of its
-own input; parameters are averaged over tasks by distributed sums, weighted by
-tokens, between rounds.
+numpy.  All training documents are learned from, once each: they are dealt by a
+hash of id and text to streams of about ``STREAM`` tokens, in the order of that
+hash, so a stream does not depend on files or partitions.  Stream ``i`` is
+trained on in round ``i`` modulo ``ROUNDS``; parameters are averaged over the
+streams of a round by distributed sums, weighted by tokens, between rounds.
 
 *Scoring.*  Documents are grouped by length and run side by side, the state
 carried from window to window until the document ends.  Counts of the
@@ -53,7 +53,9 @@ CLASSES = HEAD_CLASSES + TAIL
 #: Words whose counts are sent to the tasks.
 KNOWN = 1 << 17
 EMBED, HIDDEN = 16, 24
-ROUNDS, SLOTS = 2, 32
+ROUNDS = 2
+#: Tokens of a training stream, on average.
+STREAM = 1 << 19
 LANES, STEPS = 32, 20
 SCORE_LANES, WINDOW = 512, 32
 #: The end token; it cannot be a word (it holds a space).
@@ -315,6 +317,27 @@ def _unpack(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def training_streams(docs: DataFrame, known: tuple) -> tuple[DataFrame, int]:
+    """(stream int, place long, symbols binary) of every row of ``docs``, and the
+    number of streams."""
+    words = docs.sparkSession.sparkContext.broadcast(known[0][:HEAD])
+    streams = max(1, -(-known[2] // STREAM))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = {w: i for i, w in enumerate(words.value)}
+        end = code.get(END.encode(), HEAD)
+        for batch in batches:
+            out = []
+            for t in batch.column(2):
+                ws = tokens(t.as_py())
+                out.append(np.array([code[w] if w in code else HEAD + tail_class(w) for w in ws] + [end], "<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["stream", "place", "symbols"])
+
+    place = F.xxhash64("doc_id", F.xxhash64("text"))
+    dealt = docs.select(F.pmod(place, F.lit(streams)).cast("int").alias("stream"), place.alias("place"), "text")
+    return dealt.mapInArrow(run, "stream int, place long, symbols binary"), streams
+
+
 def fit(docs: DataFrame, known: tuple) -> np.ndarray:
     """Packed parameters after ``ROUNDS`` rounds of averaged training over
     ``docs`` (training documents)."""
@@ -322,35 +345,49 @@ def fit(docs: DataFrame, known: tuple) -> np.ndarray:
     like = _network(Vocabulary(*known))
     flat = _pack(like)
     shapes = [a.shape for a in like]
-    words = spark.sparkContext.broadcast((known[0][:HEAD], known[1][:HEAD]))
+    code_of_end = next((i for i, w in enumerate(known[0][:HEAD]) if w == END.encode()), HEAD)
     piece = 4096
+    dealt, streams = training_streams(docs, known)
+    dealt = materialize(dealt, "lm-streams")
+    # One task a stream, as long as that is not too many tasks.
+    tasks = min(-(-streams // ROUNDS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-streams // 64)))
 
-    for number in range(ROUNDS):
+    for number in range(min(ROUNDS, streams)):
         sent = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            code = {w: i for i, w in enumerate(words.value[0])}
-            end = code.get(END.encode(), HEAD)
-            stream: list[np.ndarray] = []
+            start = _unpack(sent.value, [np.empty(s, np.float32) for s in shapes])
+            weighed, seen = np.zeros(len(sent.value)), 0
+            stream, held = None, []
+
+            def learn():
+                nonlocal weighed, seen
+                data = np.frombuffer(b"".join(held), "<i2").astype(np.int64)
+                weighed += _pack(train_network(start, data, code_of_end)).astype(np.float64) * len(data)
+                seen += len(data)
+                held.clear()
+
             for batch in batches:
-                for t in batch.column(0):
-                    stream.append(np.array([code.get(w, -1) if w in code else HEAD + tail_class(w) for w in tokens(t.as_py())] + [end], np.int64))
-            if not stream:
+                for k, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if k != stream and held:
+                        learn()
+                    stream = k
+                    held.append(row)
+            if held:
+                learn()
+            if not seen:
                 return
-            data = np.concatenate(stream)
-            p = train_network(_unpack(sent.value, [np.empty(s, np.float32) for s in shapes]), data, end)
-            weighed = _pack(p).astype(np.float64) * len(data)
             for k in range(0, len(weighed), piece):
-                yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([float(len(data))]),
+                yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([float(seen)]),
                                                   pa.array([weighed[k:k + piece].tobytes()], pa.binary())], names=["k", "w", "part"])
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(x) for x in rows["part"])
             return pd.DataFrame({"k": rows["k"].iloc[:1], "w": [rows["w"].sum()], "part": [total.tobytes()]})
 
-        slot = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SLOTS)) == number
         schema = "k int, w double, part binary"
-        parts = docs.filter(slot).select("text").mapInArrow(run, schema)
+        mine = dealt.filter(F.col("stream") % ROUNDS == number).repartition(tasks, "stream").sortWithinPartitions("stream", "place", "symbols")
+        parts = mine.select("stream", "symbols").mapInArrow(run, schema)
         # Two levels of sums, so no group holds more than a share of the tasks.
         half = parts.groupBy("k", F.pmod(F.spark_partition_id(), F.lit(32)).alias("s")).applyInPandas(add, schema)
         rows = half.groupBy("k").applyInPandas(add, schema).orderBy("k").collect()  # one network

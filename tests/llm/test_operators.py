@@ -216,6 +216,19 @@ def test_language_model_counts_and_sums_to_one(spark):
         assert r["score"] < 0
 
 
+def test_language_model_learns_from_all_documents_however_they_are_dealt(spark):
+    text = "the cat sat on the mat . a dog ran in the park . " * 30
+    df = docs(spark, [f"{text} number{i}" for i in range(60)])
+    scores = [{r["doc_id"]: r for r in lm.score_documents(df.repartition(n)).collect()} for n in (1, 7)]
+    for i, r in scores[0].items():
+        assert r["score"] == pytest.approx(scores[1][i]["score"], rel=1e-4)
+        assert r["score"] > 0.95 * r["base_score"]
+    training = df.filter("doc_id < 60")
+    known = lm._vocabulary(lm.count_words(training))
+    rows = lm.training_streams(training, known)[0].collect()
+    assert len(rows) == 60 and sum(len(r["symbols"]) // 2 for r in rows) == known[2]
+
+
 def test_network_is_a_distribution():
     words = [b" ", b"a", b"b", b"c"]
     v = lm.Vocabulary(words, [5, 4, 3, 2], 14, 4, {})
