@@ -17,6 +17,15 @@ are reported with ``confirmed`` false.
 Every paragraph of every whole text is scored.  Hashing, scoring and folding to
 paragraphs work on the whole text's arrays, so the cost per word is constant.
 
+*Windows.*  Lines that follow each other without a blank line are also read as
+one run of words, and scored by windows of a template's length that begin at one
+of its word pairs; so a statement is found inside a long line or wrapped over
+lines.  Since the classifier knows whole paragraphs, a window counts only if it
+holds ``WINDOW_OVERLAP`` of a template of the predicted family.  Of overlapping
+windows of a family the best stays, with the number of the line it begins on; a
+confirmed one replaces unconfirmed lines inside it, and no window is reported
+from a line that says the same already.
+
 Edge cases: NULL and empty texts and blank lines give nothing; repeated rows
 and repeated lines are reported each; NULL ids are reported with NULL; an empty
 table gives no rows (training then uses the templates alone); other columns are
@@ -43,7 +52,11 @@ VARIANTS = 60
 EPOCHS = 60
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.8
-#: Words of a text that are scored at a time (whole paragraphs).
+#: Share of a template's word pairs that a window must hold.
+WINDOW_OVERLAP = 0.5
+#: Words more than its template's that a window may have.
+WINDOW_SLACK = 2
+#: Words of a text that are scored at a time (whole runs of lines).
 _WORDS_AT_A_TIME = 1 << 16
 
 # Short licence statements by family: fixed values.
@@ -171,10 +184,38 @@ def fit(docs: DataFrame) -> Model:
     return train([words(p) for r in sorted(got, key=lambda r: r["doc_id"]) for p in (r["r"]["p"] or [])])
 
 
-def _score_lines(lines: list[list[str]], model: Model, known: Hashes) -> np.ndarray:
-    """Class probabilities of paragraphs with words."""
+class _Pairs:
+    """Word pairs of all templates by their hashes."""
+
+    def __init__(self):
+        self.of = [(k, len(words(t)), pairs(words(t))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+        every = sorted({p for _, _, ps in self.of for p in ps})
+        key = np.array([self.join(*(np.array([xxhash.xxh32_intdigest(w)]) for w in p.split(" ")))[0] for p in every])
+        order = np.argsort(key)
+        self.key = key[order]
+        self.held = np.array([[every[i] in ps for _, _, ps in self.of] for i in order])
+
+    @staticmethod
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
+_PAIRS = _Pairs()
+
+
+def _overlap(ws: list[str], family: int) -> float:
+    """Largest share of a template's word pairs that the words hold."""
+    own = pairs(ws)
+    return max(len(own & ps) / len(ps) for k, _, ps in _PAIRS.of if k == family)
+
+
+def _hash(lines: list[list[str]], known: Hashes) -> np.ndarray:
+    return np.fromiter((known[w] for ws in lines for w in ws), np.int64, sum(map(len, lines)))
+
+
+def _score_lines(lines: list[list[str]], h: np.ndarray, model: Model) -> np.ndarray:
+    """Class probabilities of paragraphs with words, ``h`` being their hashes."""
     size = np.array([len(ws) for ws in lines])
-    h = np.fromiter((known[w] for ws in lines for w in ws), np.int64, int(size.sum()))
     first = np.r_[0, np.cumsum(size)][:-1]
     both = np.zeros((len(h), len(model.bias)), np.float32)
     inner = np.ones(len(h), bool)
@@ -185,34 +226,101 @@ def _score_lines(lines: list[list[str]], model: Model, known: Hashes) -> np.ndar
     return model.probabilities(np.add.reduceat(both, first, axis=0) / (2 * size - 1)[:, None])
 
 
+def _windows(h: np.ndarray, run: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, end) of the windows to score.  ``run``: the run of lines of
+    each word, rising."""
+    joined = _PAIRS.join(h[:-1], h[1:])
+    at = np.minimum(np.searchsorted(_PAIRS.key, joined), len(_PAIRS.key) - 1)
+    hits = np.flatnonzero((_PAIRS.key[at] == joined) & (run[:-1] == run[1:]))
+    if not len(hits):
+        return []
+    held, last = _PAIRS.held[at[hits]], np.searchsorted(run, run[hits], side="right") - 2  # a run's last pair
+    out = set()
+    for t in np.flatnonzero(held.sum(axis=0) >= 1):
+        _, n, ps = _PAIRS.of[t]
+        mine = np.flatnonzero(held[:, t])
+        starts = hits[mine]
+        ends = np.searchsorted(starts, np.minimum(starts + n - 2 + WINDOW_SLACK, last[mine]), side="right")
+        good = np.flatnonzero(ends - np.arange(len(starts)) >= WINDOW_OVERLAP * len(ps))
+        out.update((int(starts[i]), int(starts[ends[i] - 1]) + 2) for i in good)
+    return sorted(out)
+
+
+def _found_in_windows(lines: list[list[str]], h: np.ndarray, run: np.ndarray, model: Model) -> list[tuple[int, int, int, float, float]]:
+    """(first word, end, family, probability, overlap) of the best windows."""
+    spans = _windows(h, run) if len(h) > 1 else []
+    if not spans:
+        return []
+    flat = [w for ws in lines for w in ws]
+    texts = [flat[a:b] for a, b in spans]
+    prob = _score_lines(texts, np.concatenate([h[a:b] for a, b in spans]), model)
+    best = []
+    for i in np.flatnonzero(prob[:, :UNKNOWN].max(axis=1) >= MIN_PROBABILITY):
+        k = int(prob[i, :UNKNOWN].argmax())
+        overlap = _overlap(texts[i], k)
+        if overlap >= WINDOW_OVERLAP:
+            best.append((*spans[i], k, float(prob[i, k]), overlap))
+    # Best first, by family; windows that overlap a better one go.
+    taken: list[tuple[int, int, int, float, float]] = []
+    used: set[tuple[int, int]] = set()
+    for w in sorted(best, key=lambda w: (-w[4], -w[3], w[0])):
+        cells = {(w[2], i) for i in range(w[0], w[1])}
+        if used.isdisjoint(cells):
+            used |= cells
+            taken.append(w)
+    return sorted(taken)
+
+
 def scan_text(text: str | None, model: Model, known: Hashes) -> list[tuple[int, str, float, float, bool]]:
     """(paragraph number, family, probability, template overlap, confirmed)."""
     out = []
     numbers: list[int] = []
     lines: list[list[str]] = []
+    runs: list[int] = []
     held = 0
 
     def finish():
         if not lines:
             return
-        prob = _score_lines(lines, model, known)
+        h = _hash(lines, known)
+        prob = _score_lines(lines, h, model)
+        rows: dict[int, tuple] = {}  # by line
         for i in np.flatnonzero(prob[:, :UNKNOWN].max(axis=1) >= MIN_PROBABILITY):
             k = int(prob[i, :UNKNOWN].argmax())
-            own = pairs(lines[i])
-            overlap = max(len(own & pairs(words(t))) / len(pairs(words(t))) for t in TEMPLATES[FAMILIES[k]])
-            out.append((numbers[i], FAMILIES[k], float(prob[i, k]), overlap, overlap >= MIN_OVERLAP))
+            overlap = _overlap(lines[i], k)
+            rows[int(i)] = (numbers[i], FAMILIES[k], float(prob[i, k]), overlap, overlap >= MIN_OVERLAP)
+        size = np.array([len(ws) for ws in lines])
+        end = np.cumsum(size)
+        more = []
+        for a, b, k, p, overlap in _found_in_windows(lines, h, np.repeat(runs, size), model):
+            span = range(int(np.searchsorted(end, a, side="right")), int(np.searchsorted(end, b - 1, side="right")) + 1)
+            sure = overlap >= MIN_OVERLAP
+            if any(i in rows and rows[i][1] == FAMILIES[k] and (rows[i][4] or not sure) for i in span):
+                continue
+            if sure:
+                for i in span:
+                    inside = a <= end[i] - size[i] and end[i] <= b
+                    if i in rows and not rows[i][4] and (inside or rows[i][1] == FAMILIES[k]):
+                        del rows[i]
+            more.append((numbers[span[0]], FAMILIES[k], p, overlap, sure))
+        out.extend(sorted([*rows.values(), *more], key=lambda r: r[0]))
         numbers.clear()
         lines.clear()
+        runs.clear()
 
+    run = 0
     for number, line in enumerate((text or "").split("\n")):
         ws = words(line)
         if ws:
             numbers.append(number)
             lines.append(ws)
+            runs.append(run)
             held += len(ws)
-        if held > _WORDS_AT_A_TIME:
-            finish()
-            held = 0
+        elif not line.strip():
+            run += 1
+            if held > _WORDS_AT_A_TIME:
+                finish()
+                held = 0
     finish()
     return out
 

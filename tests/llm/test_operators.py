@@ -289,3 +289,12 @@ def test_licences_are_found_and_confirmed(spark):
     texts = [*ODD, f"{plain}\nReleased under the MIT License.", f"Licensed under CC BY-NC 4.0.\n{plain}", plain]
     rows = licenses.scan(docs(spark, texts)).filter("confirmed").collect()
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in rows} == {(7, 40, "mit"), (8, 0, "cc-by-nc")}
+
+
+def test_licences_inside_long_lines_and_over_wrapped_lines(spark):
+    long = " ".join(f"garden{i % 97} river{i % 89}" for i in range(1000))
+    texts = [f"{long} Released under the MIT License. {long}", f"plain first line\n# Licensed under the\n# Apache License, Version 2.0.\n\n{long}",
+             "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software", "Licensed under the\n\nApache License, Version 2.0.",
+             f"{long}\n{long}", "Released under the MIT License."]
+    rows = licenses.scan(docs(spark, texts)).filter("confirmed").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in rows if r["doc_id"] != 3) == [(0, 0, "mit"), (1, 1, "apache"), (2, 0, "mit"), (5, 0, "mit")]
