@@ -263,18 +263,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         known = state
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for every row of ``docs``;
-    ``text_hash`` tells rows of one repeated ``doc_id`` apart."""
+def _grouped(docs: DataFrame, size: int, radius: int) -> DataFrame:
+    """``near_duplicates`` with ``root_fp``, the fingerprint of the component's
+    root node, which no other component has."""
     rows = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                     fingerprint_column(F.col("text"), size).alias("fp")), "simhash-rows")
     nodes, n = materialize_counted(
         rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).select(F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "fp"), "simhash-nodes")
     linked = components(near_links(nodes, n, radius), "simhash-links")
-    named = nodes.join(linked.select(F.col("node.fp").alias("fp"), F.col("root.rep").alias("root")), "fp", "left")
-    named = materialize(named.select("fp", F.nullif(F.coalesce("root", "rep"), F.lit(_NO_ID)).alias("component_id")), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = nodes.join(linked.select(F.col("node.fp").alias("fp"), F.col("root.rep").alias("root"), F.col("root.fp").alias("root_fp")), "fp", "left")
+    named = materialize(named.select("fp", F.coalesce("root_fp", "fp").alias("root_fp"), F.nullif(F.coalesce("root", "rep"), F.lit(_NO_ID)).alias("component_id")), "simhash-named")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root_fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for every row of ``docs``;
+    ``text_hash`` tells rows of one repeated ``doc_id`` apart."""
+    return _grouped(docs, size, radius).drop("root_fp")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -284,9 +290,9 @@ def fingerprint_hex(fp: Column) -> Column:
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the
     smallest ``doc_id`` (NULL ids last; repeated rows: one of them)."""
-    tagged = near_duplicates(docs, size, radius)
+    tagged = _grouped(docs, size, radius)
     # Rows are told apart by (id, text); the group's first such pair stays.
-    winner = tagged.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
+    winner = tagged.groupBy("root_fp").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text_hash").alias("h"))).alias("w"))
     rows = tagged.groupBy("doc_id", "text_hash").count()
     rows = rows.select(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text_hash").alias("h")).alias("w"), "count")

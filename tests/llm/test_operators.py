@@ -62,6 +62,15 @@ def test_near_duplicates_and_edge_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_groups_are_told_apart_by_more_than_their_smallest_id(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(400)) for w in ("a", "b", "c"))
+    near = next(t for t in (three.replace(f"c{k} ", "other ") for k in range(100, 200))
+                if 0 < (simhash.fingerprint(three) ^ simhash.fingerprint(t)).bit_count() <= 4)
+    rows = [(0, one), (5, one.upper()), (0, two), (6, two), (None, three), (None, near)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["text"][0].lower()) for r in kept) == [(False, "a"), (False, "b"), (True, "c")]
+
+
 def _reach(fps, a, b):
     seen, todo = {a}, [a]
     while todo:
