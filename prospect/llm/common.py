@@ -40,3 +40,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.  A column used
     inside a lambda is otherwise computed again for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def table_columns(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, so that others cannot clash."""
+    return df.select(*(F.col(n) for n in names))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.llm import decontaminate, htmltext, licenses, lm, mixing, quality, sharding, simhash, tokenfiles, topk
+from prospect.llm import decontaminate, htmltext, licenses, lm, mixing, quality, sharding, simhash, tokenfiles, topk, toxicity
 from prospect.llm.common import table
 
 
@@ -57,8 +57,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(docs, mixing.source_domains(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_htmltext, op3_licenses, op4_decontaminate, op5_lm, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing)
+    f.__name__: f for f in (op1_quality, op2_htmltext, op3_licenses, op4_decontaminate, op5_lm, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing,
+                              op12_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
