@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.llm import decontaminate, htmltext, licenses, lm, mixing, quality, sharding, simhash, tokenfiles, topk, toxicity
+from prospect.llm import alignment, conversations, decontaminate, htmltext, licenses, lm, mixing, quality, sharding, simhash, tokenfiles, topk, toxicity
 from prospect.llm.common import table
 
 
@@ -57,13 +57,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(docs, mixing.source_domains(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_htmltext, op3_licenses, op4_decontaminate, op5_lm, op6_topk, op7_simhash, op8_tokenfiles, op9_sharding, op10_mixing,
-                              op12_toxicity)
+                              op11_alignment, op12_toxicity, op13_conversations)
 }
 
 ORACLE_SQL: dict[str, str] = {
