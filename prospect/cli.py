@@ -1,7 +1,7 @@
 """Command line: one search over a prepared folder, written as CSV.
 
     spark-submit -m prospect.cli --prepared hdfs:///prepared --config config.yaml \\
-        --profile it_retirement --radius 20 --output hdfs:///out/it_retirement
+        --profile local_owners --radius 20 --output hdfs:///out/local_owners
 
 Parameters are layered as in the original tool: configuration ``defaults``,
 then the chosen ``profiles`` entry, then the flags given on the command line

@@ -109,66 +109,127 @@ def officer_aggregates(officers: DataFrame, as_of: _dt.date | str | None = None,
     return officers.where(F.col("appointment_date").isNotNull()).groupBy("company_number").agg(*aggs)
 
 
+# --- bit sets ------------------------------------------------------------------
+#
+# A set of small integers as a few 64-bit words, one bit for each value: a
+# fixed-width buffer that ``bit_or`` merges in place, so the aggregation hashes
+# and combines map-side however many values a company has.  Values outside the
+# range go to its first or last bit, which no bound inside the range tells
+# apart from what lies beyond.
+
+#: (first value, words): ages 0-127 (requests bound them by 16-120), calendar years
+#: 1900-2155 (tenures of 1-100 years before an as-of year from 2001 on).
+AGE_BITS, YEAR_BITS = (0, 2), (1900, 4)
+
+
+def bit_set(value: Column, bits: tuple[int, int], name: str) -> list[Column]:
+    """Aggregates ``name_0`` ... ``name_k``: the words of the set of ``value``
+    (0 without values)."""
+    first, words = bits
+    at = F.least(F.greatest(value.cast("int") - F.lit(first), F.lit(0)), F.lit(64 * words - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)))
+    # ``greatest`` skips NULL, so a missing value is left out here.
+    return [F.coalesce(F.bit_or(F.when(value.isNotNull() & (F.floor(at / 64) == w), bit)), F.lit(0).cast("bigint")).alias(f"{name}_{w}") for w in range(words)]
+
+
+def bit_columns(bits: tuple[int, int], name: str) -> list[str]:
+    return [f"{name}_{w}" for w in range(bits[1])]
+
+
+def bits_between(bits: tuple[int, int], name: str, lo: Column, hi: Column) -> Column:
+    """Whether the set holds a value from ``lo`` to ``hi`` (NULL: no bound);
+    false for a missing set."""
+    first, words = bits
+    hit = F.lit(False)
+    for w in range(words):
+        origin = F.lit(first + 64 * w)
+        a = F.greatest(F.coalesce(lo.cast("bigint") - origin, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+        z = F.least(F.coalesce(hi.cast("bigint") - origin, F.lit(63).cast("bigint")), F.lit(63).cast("bigint"))
+        ones = F.lit(-1).cast("bigint")
+        mask = F.call_function("shiftleft", ones, a.cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", ones, (F.lit(63) - z).cast("int")))
+        hit = hit | ((a <= z) & (F.coalesce(F.col(f"{name}_{w}"), F.lit(0).cast("bigint")).bitwiseAND(mask) != 0))
+    return hit
+
+
+def bit_values(bits: tuple[int, int], name: str) -> Column:
+    """The set's values in order, as an array."""
+    first, words = bits
+    def held(w: int):
+        return lambda b: F.call_function("shiftright", F.col(f"{name}_{w}"), b).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    def shown(w: int):
+        return lambda b: b + F.lit(first + 64 * w)
+
+    places = F.sequence(F.lit(0), F.lit(63))
+    return F.concat(*(F.transform(F.filter(places, held(w)), shown(w)) for w in range(words)))
+
+
 # --- per-company profile ------------------------------------------------------
 #
 # One row per company holding everything A1-A3 and the one-to-many filters
 # need, independent of the request and of the as-of date: counts, extremes,
-# exact integer sums of the notification / appointment *years*, and small
-# value sets (industry codes, owner ages, years), each bounded by its value
-# domain rather than by the number of rows.  Tenures are derived at query
-# time as as-of year minus year; averages from the integer sums, so every
+# exact integer sums of the notification / appointment *years*, the set of
+# industry codes and bit sets of owner ages and years.  Tenures are derived at
+# query time as as-of year minus year; averages from the integer sums, so every
 # derived column equals the reference's aggregate bit for bit.
 
 PROFILE_KEY = "CompanyNumber"
 
 
-def _detail_union(company_sic: DataFrame, psc: DataFrame, officers: DataFrame) -> DataFrame:
-    """The three detail tables stacked on one schema (NULL where a column
-    does not apply), so one aggregation and one shuffle build the profile."""
-    n = {t: F.lit(None).cast(t) for t in ("int", "string", "date", "bigint")}
-    sic = company_sic.select(
-        F.col("CompanyNumber").alias(PROFILE_KEY), F.lit("S").alias("_kind"),
-        F.col("sic_code").cast("int").alias("sic_code"), F.col("sic_position").cast("int").alias("sic_position"),
-        F.col("sic_description").alias("sic_description"),
-        n["int"].alias("approximate_age"), n["date"].alias("notified_on"), n["bigint"].alias("appointment_date"))
+def _people(psc: DataFrame, officers: DataFrame) -> DataFrame:
+    """Owners and dated officers stacked on one schema (NULL where a column
+    does not apply), so one aggregation and one shuffle fold both."""
+    none = {t: F.lit(None).cast(t) for t in ("int", "date", "bigint")}
     owners = psc.select(
-        F.col("company_number").alias(PROFILE_KEY), F.lit("P").alias("_kind"),
-        n["int"].alias("sic_code"), n["int"].alias("sic_position"), n["string"].alias("sic_description"),
-        F.col("approximate_age").cast("int").alias("approximate_age"), F.col("notified_on"),
-        n["bigint"].alias("appointment_date"))
-    offs = officers.where(F.col("appointment_date").isNotNull()).select(
-        F.col("company_number").alias(PROFILE_KEY), F.lit("O").alias("_kind"),
-        n["int"].alias("sic_code"), n["int"].alias("sic_position"), n["string"].alias("sic_description"),
-        n["int"].alias("approximate_age"), n["date"].alias("notified_on"),
-        F.col("appointment_date").cast("bigint").alias("appointment_date"))
-    return sic.unionByName(owners).unionByName(offs)
+        F.col("company_number").alias(PROFILE_KEY), F.lit(True).alias("_owner"),
+        F.col("approximate_age").cast("int").alias("approximate_age"), F.col("notified_on"), none["bigint"].alias("appointment_date"))
+    dated = officers.where(F.col("appointment_date").isNotNull()).select(
+        F.col("company_number").alias(PROFILE_KEY), F.lit(False).alias("_owner"), none["int"].alias("approximate_age"),
+        none["date"].alias("notified_on"), F.col("appointment_date").cast("bigint").alias("appointment_date"))
+    return owners.unionByName(dated)
 
 
-def company_profiles(company_sic: DataFrame, psc: DataFrame, officers: DataFrame) -> DataFrame:
-    """Per-company profile (see above) in one ``groupBy`` over the stacked
-    detail tables; partial aggregation folds hot companies map-side."""
-    pos1 = F.col("sic_position") == 1
+def people_profiles(psc: DataFrame, officers: DataFrame) -> DataFrame:
+    """Per company, what its owners and officers give to the profile: numbers of
+    fixed width only, so partial and final aggregation both hash in place."""
     py = F.year("notified_on")
     oy = yyyymmdd_year("appointment_date")
-    return _detail_union(company_sic, psc, officers).groupBy(PROFILE_KEY).agg(
-        F.collect_set("sic_code").alias("sic_code_set"),
-        F.max(F.when(pos1, F.col("sic_code"))).alias("primary_sic_code"),
-        F.max(F.when(pos1, F.col("sic_description"))).alias("primary_sic_description"),
-        F.count_if(F.col("_kind") == "P").alias("psc_count"),
+    return _people(psc, officers).groupBy(PROFILE_KEY).agg(
+        F.count_if(F.col("_owner")).alias("psc_count"),
         F.min("approximate_age").alias("youngest_psc_age"),
         F.max("approximate_age").alias("oldest_psc_age"),
         F.max("notified_on").alias("psc_last_updated"),
         F.min(py).alias("psc_year_min"), F.max(py).alias("psc_year_max"),
         F.sum(py).alias("psc_year_sum"), F.count(py).alias("psc_year_n"),
-        F.collect_set("approximate_age").alias("psc_age_set"),
-        F.collect_set(py).alias("psc_year_set"),
-        F.count_if(F.col("_kind") == "O").alias("officer_count"),
+        *bit_set(F.col("approximate_age"), AGE_BITS, "psc_ages"), *bit_set(py, YEAR_BITS, "psc_years"),
+        F.count_if(~F.col("_owner")).alias("officer_count"),
         F.min("appointment_date").alias("earliest_officer_appointment"),
         F.max("appointment_date").alias("latest_officer_appointment"),
         F.min(oy).alias("officer_year_min"), F.max(oy).alias("officer_year_max"),
         F.sum(oy).alias("officer_year_sum"), F.count(oy).alias("officer_year_n"),
-        F.collect_set(oy).alias("officer_year_set"),
-    )
+        *bit_set(oy, YEAR_BITS, "officer_years"))
+
+
+def code_profiles(company_sic: DataFrame) -> DataFrame:
+    """Per company, its set of industry codes (a few: one register row holds at
+    most four) and the position-1 code and description."""
+    pos1 = F.col("sic_position") == 1
+    return company_sic.groupBy(F.col("CompanyNumber").alias(PROFILE_KEY)).agg(
+        F.collect_set(F.col("sic_code").cast("int")).alias("sic_code_set"),
+        F.max(F.when(pos1, F.col("sic_code").cast("int"))).alias("primary_sic_code"),
+        F.max(F.when(pos1, F.col("sic_description"))).alias("primary_sic_description"))
+
+
+def company_profiles(company_sic: DataFrame, psc: DataFrame, officers: DataFrame) -> DataFrame:
+    """Per-company profile (see above): two aggregations partitioned alike, so
+    their join adds no shuffle; each folds hot companies map-side."""
+    joined = people_profiles(psc, officers).join(code_profiles(company_sic), PROFILE_KEY, "full_outer")
+    zero = F.lit(0).cast("bigint")
+    counts = ["psc_count", "psc_year_n", "officer_count", "officer_year_n"]
+    sets = [*bit_columns(AGE_BITS, "psc_ages"), *bit_columns(YEAR_BITS, "psc_years"), *bit_columns(YEAR_BITS, "officer_years")]
+    return joined.withColumns({
+        "sic_code_set": F.coalesce("sic_code_set", F.array().cast("array<int>")),
+        **{c: F.coalesce(c, zero) for c in [*counts, *sets]}})
 
 
 def _tenure_avg(y: Column, total: str, n: str) -> Column:
@@ -200,13 +261,9 @@ def profile_enrichment(as_of: _dt.date | str | None = None) -> dict[str, Column]
     }
 
 
-PROFILE_ONLY_COLUMNS = ["sic_code_set", "psc_year_min", "psc_year_max", "psc_year_sum", "psc_year_n",
-                        "psc_age_set", "psc_year_set", "officer_year_min", "officer_year_max", "officer_year_sum",
-                        "officer_year_n", "officer_year_set"]
-
-
-def _set(col: str, elem: str) -> Column:
-    return F.coalesce(F.col(col), F.array().cast(f"array<{elem}>"))
+PROFILE_ONLY_COLUMNS = ["sic_code_set", "psc_year_min", "psc_year_max", "psc_year_sum", "psc_year_n", "officer_year_min",
+                        "officer_year_max", "officer_year_sum", "officer_year_n", *bit_columns(AGE_BITS, "psc_ages"),
+                        *bit_columns(YEAR_BITS, "psc_years"), *bit_columns(YEAR_BITS, "officer_years")]
 
 
 def _lower(v: Column, default: int) -> Column:
@@ -241,17 +298,16 @@ def profile_conditions(as_of, sic_codes: Column, min_age: Column, max_age: Colum
 
     has_age = min_age.isNotNull() | max_age.isNotNull()
     a_lo, a_hi = _lower(min_age, 16), _upper(max_age, 120)
-    age_hit = F.exists(_set("psc_age_set", "int"), lambda a: (a_lo.isNull() | (a >= a_lo)) & (a_hi.isNull() | (a <= a_hi)))
+    age_hit = bits_between(AGE_BITS, "psc_ages", a_lo, a_hi)
     age_ok = ~has_age | ((F.coalesce(F.col("psc_count"), F.lit(0)) > 0) & age_hit)
 
     has_ten = min_tenure.isNotNull() | max_tenure.isNotNull()
     t_lo, t_hi = _lower(min_tenure, 1), _upper(max_tenure, 100)
     no_bounds = t_lo.isNull() & t_hi.isNull()
-    ten_hit = F.exists(_set("psc_year_set", "int"),
-                       lambda yr: (t_lo.isNull() | (y - yr >= t_lo)) & (t_hi.isNull() | (y - yr <= t_hi)))
+    ten_hit = bits_between(YEAR_BITS, "psc_years", y - t_hi, y - t_lo)
     owner_any = (F.coalesce(F.col("psc_count"), F.lit(0)) > 0) & (no_bounds | ten_hit)
     o_lo, o_hi = F.coalesce(min_tenure, F.lit(1)), F.coalesce(max_tenure, F.lit(100))
-    officer_any = F.exists(_set("officer_year_set", "int"), lambda yr: (y - yr >= o_lo) & (y - yr <= o_hi))
+    officer_any = bits_between(YEAR_BITS, "officer_years", y - o_hi, y - o_lo)
     violation = (t_lo.isNotNull() & F.coalesce(y - F.col("psc_year_max") < t_lo, F.lit(False))) | (
         t_hi.isNotNull() & F.coalesce(y - F.col("psc_year_min") > t_hi, F.lit(False)))
     dated_officer = F.coalesce(F.col("officer_count"), F.lit(0)) > 0

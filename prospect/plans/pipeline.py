@@ -6,8 +6,12 @@ request-independent aggregates (``operators.aggregates.company_profiles``),
 so a search joins it instead of aggregating owners, officers and industry
 codes at query time.
 
-Layout for searching at scale: the tables a search scans — companies and
-profiles — carry each company's coordinates (``geo_lat``, ``geo_long``, from
+A seventh, ``company_search``, holds each company's row and its profile in one,
+so that a search, single or batch, tests every condition on one scan and joins
+no profile.
+
+Layout for searching at scale: the tables a search scans — companies, profiles
+and the search table — carry each company's coordinates (``geo_lat``, ``geo_long``, from
 its registered postcode; NULL when it has none) and are written
 range-partitioned and sorted by them.  A search's literal bounding box then
 reaches both scans as pushed filters, and Parquet skips the row groups
@@ -34,6 +38,7 @@ from prospect.operators import prepare as P
 from prospect.operators.aggregates import company_profiles
 from prospect.operators import profile as PF
 from prospect.operators import quality as Q
+from prospect.plans.search import CANDIDATE_COLUMNS
 from prospect.session import broadcast_row_limit, materialize, output_partitions
 from prospect.sources.tables import Tables, empty_officers, read_prepared
 from prospect.sources.writers import write_parquet
@@ -121,7 +126,7 @@ def write_by_location(df: DataFrame, path: str, partitions: int | None, tiebreak
 def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
                 ingest_as_of: _dt.date | str | None = None, partitions: int | None = None,
                 geo_layout: bool = True) -> Tables:
-    """Write the five prepared tables under ``folder`` and return them as
+    """Write the prepared tables under ``folder`` and return them as
     Parquet-backed DataFrames.  Without officers an empty officers table is
     written, so that an earlier run's appointments never reach the profiles."""
     folder = folder.rstrip("/")
@@ -166,9 +171,20 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     profiles = company_profiles(t.company_sic, t.psc, t.officers)
     write_by_location(with_location(profiles, "CompanyNumber", locations), f"{folder}/company_profiles.parquet",
                       parts or output_partitions(profiles), ["CompanyNumber"])
+    t = read_prepared(spark, folder)
+    # As wide as both tables: sized from the two scans, not from their join.
+    wide = parts or max(output_partitions(t.companies), output_partitions(t.profiles))
+    write_by_location(search_table(t.companies, t.profiles), f"{folder}/company_search.parquet", wide, ["CompanyNumber"])
     return read_prepared(spark, folder)
 
 
+def search_table(companies: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Companies with a location, the columns a result shows, and their profile
+    (NULL where a company has no detail row).  A search never reaches the others."""
+    located = companies.where(F.col("geo_lat").isNotNull() & F.col("geo_long").isNotNull()).select(*CANDIDATE_COLUMNS, *GEO_COLUMNS)
+    return located.join(profiles.drop(*GEO_COLUMNS), "CompanyNumber", "left")
+
+
 def quality_report(raw: RawSources, prepared: Tables) -> dict[str, DataFrame]:
     """Q1-Q7 over the prepared tables (one aggregate pass each), and Q8 over
     the raw owner lines when their files are known."""

@@ -578,6 +578,8 @@ GROUP BY CompanyNumber"""))
 def q_company_profiles(spark, sf_dir):
     t = tables(spark, sf_dir)
     prof = A.company_profiles(t.company_sic, t.psc, t.officers)
+    prof = prof.withColumns({"psc_age_set": A.bit_values(A.AGE_BITS, "psc_ages"), "psc_year_set": A.bit_values(A.YEAR_BITS, "psc_years"),
+                             "officer_year_set": A.bit_values(A.YEAR_BITS, "officer_years")})
     return prof.select(*PROFILE_SCALARS, *[_set_text(c) for c in PROFILE_SETS])
 
 

@@ -189,55 +189,39 @@ def officers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- search profiles and requests ---------------------------------------
-#
-# The six saved profiles of the reference's configuration
-# (filters as shipped; targets and radii re-aimed at the fixture geography).
-PROFILE_NAMES = ["it_retirement", "it_broad", "hvac_local", "engineering", "marketing", "established_micro"]
 
+#: Codes that the derived register holds, from which profiles take pairs.
+PROFILE_CODES = [62020, 43220, 71121, 62090]
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One saved profile per nation: the six shipped profiles in turn, each
-    aimed at a nation-specific target postcode."""
-    n = tpch(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    base = k % 6
-    name = F.concat(
-        F.element_at(F.array(*[F.lit(x) for x in PROFILE_NAMES]), (base + 1).cast("int")),
-        F.lit("_"), F.lpad(k.cast("string"), 2, "0"))
-    target = F.when(k % 3 == 0, F.lit("AB24 0AQ")).when(k % 3 == 1, F.lit("AB30 0AQ")).otherwise(F.lit("AB11 0AQ"))
-    null_i = F.lit(None).cast("int")
 
-    def pick(*values) -> Column:
-        expr = None
-        for i, v in enumerate(values):
-            v = v if isinstance(v, Column) else F.lit(v)
-            expr = F.when(base == i, v) if expr is None else expr.when(base == i, v)
-        return expr
-
-    micro_small = F.array(F.lit("MICRO ENTITY"), F.lit("SMALL"))
-    no_cats = F.lit(None).cast("array<string>")
-    no_sic = F.lit(None).cast("array<bigint>")
-    return n.select(
-        name.alias("profile"),
-        target.alias("postcode"),
-        pick(40.0, 60.0, 40.0, 60.0, 40.0, 40.0).cast("double").alias("radius_miles"),
-        F.lit(None).cast("string").alias("company_status"),
-        pick(no_cats, no_cats, micro_small, no_cats, micro_small, F.array(F.lit("MICRO ENTITY"))).alias("account_categories"),
-        pick(F.array(F.lit(62020), F.lit(62090)).cast("array<bigint>"),
-             F.array(F.lit(62012), F.lit(62020), F.lit(62090)).cast("array<bigint>"),
-             F.array(F.lit(43220), F.lit(43290)).cast("array<bigint>"),
-             F.array(F.lit(71121), F.lit(71122)).cast("array<bigint>"),
-             F.array(F.lit(73110), F.lit(73120)).cast("array<bigint>"),
-             no_sic).alias("sic_codes"),
-        pick(5, null_i, 10, 5, 3, 10).cast("int").alias("min_company_age_years"),
-        pick(null_i, null_i, null_i, null_i, null_i, 40).cast("int").alias("max_company_age_years"),
-        pick(60, null_i, 50, null_i, null_i, 55).cast("int").alias("min_psc_age"),
-        pick(null_i, null_i, 70, null_i, null_i, 75).cast("int").alias("max_psc_age"),
-        null_i.alias("min_psc_tenure_years"),
-        null_i.alias("max_psc_tenure_years"),
-        F.lit(None).cast("boolean").alias("strict_psc_tenure"),
-        pick("csv", "csv", "xlsx", "csv", "csv", "xlsx").alias("output_format"),
-        null_i.alias("max_results"),
+def profile_name(nation: Column) -> Column:
+    return F.concat(F.lit("nation_"), F.lpad(nation.cast("string"), 2, "0"))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One saved profile per nation; six kinds of condition follow from the
+    nation's key by rule, so that every condition is given by some and left
+    out by others."""
+    k = F.col("n_nationkey").cast("int")
+    kind = k % 6
+    code = F.array(*[F.lit(c).cast("bigint") for c in PROFILE_CODES])
+    first = F.lit(45) + 5 * kind
+    return tpch(spark, sf_dir, "nation").select(
+        profile_name(F.col("n_nationkey")).alias("profile"),
+        F.element_at(F.array(F.lit("AB24 0AQ"), F.lit("AB30 0AQ"), F.lit("AB11 0AQ")), k % 3 + 1).alias("postcode"),
+        (F.lit(25) + 7 * kind).cast("double").alias("radius_miles"),
+        F.when(kind == 5, F.lit("Dissolved")).alias("company_status"),
+        F.when(kind % 2 == 1, F.array(F.lit("SMALL"), F.lit("FULL"))).alias("account_categories"),
+        F.when(kind != 5, F.array(F.element_at(code, kind % 4 + 1), F.element_at(code, (kind + 1) % 4 + 1))).alias("sic_codes"),
+        F.when(kind % 2 == 0, kind + 2).alias("min_company_age_years"),
+        F.when(kind == 3, F.lit(60)).alias("max_company_age_years"),
+        F.when(kind % 3 == 0, first).alias("min_psc_age"),
+        F.when(kind % 3 == 0, first + 25).alias("max_psc_age"),
+        F.when(kind == 4, F.lit(2)).alias("min_psc_tenure_years"),
+        F.when(kind == 2, F.lit(30)).alias("max_psc_tenure_years"),
+        F.when(kind == 4, F.lit(True)).alias("strict_psc_tenure"),
+        F.when(kind < 4, F.lit("csv")).otherwise(F.lit("xlsx")).alias("output_format"),
+        F.when(kind == 1, F.lit(40)).alias("max_results"),
     )
 
 
@@ -246,11 +230,8 @@ def requests_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides; NULL means "not given".  Some requests are invalid on purpose."""
     s = tpch(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    nk = F.col("s_nationkey")
     pc = synthetic_postcode(k)
-    profile = F.concat(
-        F.element_at(F.array(*[F.lit(x) for x in PROFILE_NAMES]), (nk % 6 + 1).cast("int")),
-        F.lit("_"), F.lpad(nk.cast("string"), 2, "0"))
+    profile = F.when(k % 71 == 0, F.lit("nation_unknown")).otherwise(profile_name(F.col("s_nationkey")))
     null_i = F.lit(None).cast("int")
     return s.select(
         F.concat(F.lit("R"), F.lpad(k.cast("string"), 6, "0")).alias("request_id"),

@@ -20,6 +20,7 @@ class Tables:
     psc: DataFrame
     officers: DataFrame
     profiles: DataFrame | None = None   # per-company profiles, when prepared
+    search: DataFrame | None = None     # companies with their profiles in one row, laid out by location
 
 
 def empty_officers(spark: SparkSession) -> DataFrame:
@@ -29,7 +30,8 @@ def empty_officers(spark: SparkSession) -> DataFrame:
 def read_prepared(spark: SparkSession, folder: str) -> Tables:
     """Scan a prepared folder.  ``officers`` is optional: without it
     the search still runs and every officer aggregate is empty.  The
-    per-company profiles are used when the folder has them."""
+    per-company profiles and the pre-joined search table are used when the folder
+    has them."""
     from prospect.sources.readers import path_exists, scan_officers
 
     folder = folder.rstrip("/")
@@ -41,4 +43,6 @@ def read_prepared(spark: SparkSession, folder: str) -> Tables:
         officers=scan_officers(spark, f"{folder}/officers.parquet"),
         profiles=(spark.read.parquet(f"{folder}/company_profiles.parquet")
                   if path_exists(spark, f"{folder}/company_profiles.parquet") else None),
+        search=(spark.read.parquet(f"{folder}/company_search.parquet")
+                if path_exists(spark, f"{folder}/company_search.parquet") else None),
     )
