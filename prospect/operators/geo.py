@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospect.functions.expressions import bounding_box, haversine_miles, normalise_postcode
+from prospect.operators.skew import deal, hot_splits, shares
 
 PC_KEY = "_pc"
+#: Column of the prepared postcodes and companies that holds the normalised postcode.
+STORED_KEY = "postcode_key"
 
 
 def normalise_postcodes(df: DataFrame, column: str, alias: str = PC_KEY) -> DataFrame:
@@ -15,6 +18,17 @@ def normalise_postcodes(df: DataFrame, column: str, alias: str = PC_KEY) -> Data
     return df.withColumn(alias, normalise_postcode(column))
 
 
+def with_stored_key(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the normalised form of ``column`` as a column of its own, for
+    the prepared tables: lookups and joins then need no expression on it."""
+    return df.withColumn(STORED_KEY, normalise_postcode(column))
+
+
+def key_of(df: DataFrame, column: str):
+    """The stored key, or the expression where the table has none."""
+    return F.col(STORED_KEY) if STORED_KEY in df.columns else normalise_postcode(column)
+
+
 def python_normalise(postcode: str) -> str:
     """G1 for a single driver-side value (same rule)."""
     return postcode.upper().replace(" ", "")
@@ -24,10 +38,12 @@ def postcode_lookup(postcodes: DataFrame, postcode: str) -> DataFrame:
     """The directory row of one postcode (at most one row).
 
     Spelling is ignored (case, blanks).  Ties, impossible after the prepare
-    stage's de-duplication, go to the smallest ``pcds``.
+    stage's de-duplication, go to the smallest ``pcds``.  On the prepared table
+    the test is an equality on the stored key, which reaches the scan: its Bloom
+    filters leave the row groups that can hold the postcode.
     """
     return (
-        postcodes.where(normalise_postcode("pcds") == F.lit(python_normalise(postcode)))
+        postcodes.where(key_of(postcodes, "pcds") == F.lit(python_normalise(postcode)))
         .select("pcds", "lat", "long")
         .orderBy("pcds")
         .limit(1)
@@ -46,24 +62,26 @@ def lookup_target(postcodes: DataFrame, postcode: str) -> tuple[float, float, st
 
 def postcode_keys(postcodes: DataFrame) -> DataFrame:
     """Postcodes keyed by their normalised form (lat / long kept)."""
-    return postcodes.select(normalise_postcode("pcds").alias(PC_KEY), "lat", "long")
+    return postcodes.select(key_of(postcodes, "pcds").alias(PC_KEY), "lat", "long")
 
 
 def geocode_companies(companies: DataFrame, postcodes: DataFrame, broadcast_postcodes: bool = False) -> DataFrame:
     """Companies with the coordinates of their registered postcode.
 
     The reference's LEFT JOIN followed by ``lat IS NOT NULL`` is an inner
-    equi-join on the normalised postcode.  ``broadcast_postcodes`` is only
-    set by callers that have checked the postcode side's size.
+    equi-join on the normalised postcode (the stored keys where both tables have
+    them).  ``broadcast_postcodes`` is only set by callers that have checked the
+    postcode side's size; otherwise companies are counted by postcode first, and
+    a postcode with more than its share of them (a formation agent's) is split.
     """
     pcs = postcodes if PC_KEY in postcodes.columns else postcode_keys(postcodes)
+    keyed = companies.withColumn(PC_KEY, key_of(companies, "RegAddressPostCode"))
     if broadcast_postcodes:
-        pcs = F.broadcast(pcs)
-    return (
-        companies.withColumn(PC_KEY, normalise_postcode("RegAddressPostCode"))
-        .join(pcs, PC_KEY, "inner")
-        .drop(PC_KEY)
-    )
+        return keyed.join(F.broadcast(pcs), PC_KEY, "inner").drop(PC_KEY)
+    splits, on = hot_splits(pcs.select(PC_KEY), keyed.select(PC_KEY), [PC_KEY], shares(companies.sparkSession)), [PC_KEY]
+    if splits is not None:
+        pcs, keyed, on = deal(pcs, keyed, [PC_KEY], splits, "CompanyNumber")
+    return keyed.join(pcs, on, "inner").drop(*on)
 
 
 def haversine_distance(df: DataFrame, lat0: float, lon0: float, out: str = "distance_miles") -> DataFrame:
@@ -86,7 +104,7 @@ def postcodes_within(postcodes: DataFrame, lat0: float, lon0: float, radius_mile
     their distance.  Filtering the (small) postcode side before the join is
     what the reference's plan does implicitly after predicate push-down."""
     return radius_filter(postcodes, lat0, lon0, radius_miles).select(
-        normalise_postcode("pcds").alias(PC_KEY), "lat", "long", "distance_miles")
+        key_of(postcodes, "pcds").alias(PC_KEY), "lat", "long", "distance_miles")
 
 
 def within_area(df: DataFrame, lat0: float, lon0: float, radius_miles: float,

@@ -33,8 +33,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from prospect.functions.expressions import normalise_postcode
 from prospect.operators import prepare as P
+from prospect.operators.geo import STORED_KEY, geocode_companies, key_of, with_stored_key
 from prospect.operators.aggregates import company_profiles
 from prospect.operators import profile as PF
 from prospect.operators import quality as Q
@@ -91,16 +91,10 @@ def parsed_once(raw: RawSources) -> RawSources:
 def company_locations(companies: DataFrame, postcodes: DataFrame, postcode_rows: int) -> DataFrame:
     """(CompanyNumber, geo_lat, geo_long) for geocodable companies.  The
     postcode side is broadcast only when its counted size fits the budget."""
-    spark = companies.sparkSession
-    pcs = postcodes.select(normalise_postcode("pcds").alias("_pc"), F.col("lat").alias("geo_lat"),
-                           F.col("long").alias("geo_long"))
-    if postcode_rows <= broadcast_row_limit(spark, POSTCODE_ROW_BYTES):
-        pcs = F.broadcast(pcs)
-    return (
-        companies.select("CompanyNumber", normalise_postcode("RegAddressPostCode").alias("_pc"))
-        .join(pcs, "_pc", "inner")
-        .drop("_pc")
-    )
+    small = postcode_rows <= broadcast_row_limit(companies.sparkSession, POSTCODE_ROW_BYTES)
+    own = companies.select("CompanyNumber", key_of(companies, "RegAddressPostCode").alias(STORED_KEY))
+    placed = geocode_companies(own, postcodes, broadcast_postcodes=small)
+    return placed.select("CompanyNumber", F.col("lat").alias("geo_lat"), F.col("long").alias("geo_long"))
 
 
 def with_location(df: DataFrame, key: str, locations: DataFrame) -> DataFrame:
@@ -135,13 +129,13 @@ def prepare_all(spark: SparkSession, raw: RawSources, folder: str,
     # Observed after the range exchange: below it, the exchange's sampling
     # pass would be counted too.
     obs = Observation("prepared-postcodes")
-    live = P.prepare_postcodes(raw.postcodes)
+    live = with_stored_key(P.prepare_postcodes(raw.postcodes), "pcds")
     postcodes = live.repartitionByRange(parts or output_partitions(live), "lat", "long", "pcds")
     write_parquet(postcodes.observe(obs, F.count(F.lit(1)).alias("rows")), f"{folder}/postcodes.parquet",
-                  sort_within=["lat", "long"])
+                  sort_within=["lat", "long"], bloom=STORED_KEY)
     postcodes, postcode_rows = spark.read.parquet(f"{folder}/postcodes.parquet"), int(obs.get["rows"])
 
-    companies = P.prepare_companies(companies_raw)
+    companies = with_stored_key(P.prepare_companies(companies_raw), "RegAddressPostCode")
     sic = P.prepare_company_sic(companies_raw)
     psc = P.prepare_psc(raw.psc, ingest_as_of)
     officers = P.prepare_officers(raw.officers) if raw.officers is not None else empty_officers(spark)

@@ -12,17 +12,18 @@ ROW_GROUP_ROWS = 100_000
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", row_group_rows: int = ROW_GROUP_ROWS,
-                  sort_within: list[str] | None = None) -> None:
+                  sort_within: list[str] | None = None, bloom: str | None = None) -> None:
     """ZSTD Parquet; ``sort_within`` clusters each file on the given
     columns so min / max statistics prune row groups for range filters
-    (postcodes sorted by latitude make the radius box cheap)."""
+    (postcodes sorted by latitude make the radius box cheap).  ``bloom`` names a
+    column that equality filters name but the rows are not sorted by: each row
+    group gets a Bloom filter of its values."""
     out = df.sortWithinPartitions(*sort_within) if sort_within else df
-    (
-        out.write.mode(mode)
-        .option("compression", "zstd")
-        .option("parquet.block.row.count.limit", str(row_group_rows))
-        .parquet(path)
-    )
+    writer = out.write.mode(mode).option("compression", "zstd").option("parquet.block.row.count.limit", str(row_group_rows))
+    if bloom:
+        writer = (writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
+                  .option(f"parquet.bloom.filter.expected.ndv#{bloom}", str(row_group_rows)))
+    writer.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

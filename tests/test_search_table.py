@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.expressions import haversine_miles
 from prospect.operators import aggregates as A
+from prospect.operators.skew import hot_splits
 from prospect.plans import batch as B
 from prospect.plans.registry import SEARCHES
 from prospect.plans.search import SearchRequest, search, search_unordered
@@ -161,8 +162,8 @@ def test_splits_are_few_and_cover_the_share(spark):
     cells = {(r["cx"], r["cy"]): r["n"] for r in held.groupBy("cx", "cy").agg(F.count("*").alias("n")).collect()}
     asks = {(r["cx"], r["cy"]): r["n"] for r in asked.groupBy("cx", "cy").agg(F.count("*").alias("n")).collect()}
     pairs = {c: n * asks[c] for c, n in cells.items() if c in asks}
-    splits = B.cell_splits(asked, held, 16).collect()
+    splits = hot_splits(asked, held, B.CELL, 16).collect()
     share = max(1, sum(pairs.values()) // 16)
     assert len(splits) < 17 and {(r["cx"], r["cy"]): r["pieces"] for r in splits} == {
         c: min(cells[c], -(-p // share)) for c, p in pairs.items() if p > share}
-    assert B.cell_splits(asked.limit(0), held, 16) is None
+    assert hot_splits(asked.limit(0), held, B.CELL, 16) is None
