@@ -31,6 +31,7 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospect.llm.common import table_columns
+from prospect.llm.common import byte_of_char, table_columns
 from prospect.session import materialize
 
 CHUNK_LINKS = 1 << 24
@@ -50,14 +51,6 @@ _STEP_BYTES, _LIST = 1 << 18, 1 << 14
 _BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_of_char() -> dict[str, int]:
-    """Byte behind each character of a byte-level vocabulary: printable Latin-1
-    bytes stand for themselves, the others for 256 and up in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class ByteLevel:
     """Ids of texts by a byte-level BPE file, special tokens as plain text.
 
@@ -81,6 +74,8 @@ class ByteLevel:
         ranked = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                   and pre.get("use_regex", True) and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
                   and len(vocab) == 256 + len(merges) and all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)))
+        #: Every byte is a token of its own at least, so nothing can be lost.
+        self.lossless = ranked
         if ranked:
             import tiktoken
 
@@ -115,7 +110,7 @@ def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte where tokens of both sides end, in order, the position
     after that token in either list."""
     at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
+    common = list(filter(at_b.__contains__, at_a))  # hash lookups; keys stand in order of insertion, so sorted
     return (np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)),
             np.fromiter(map(at_b.__getitem__, common), np.int64, len(common)))
 
@@ -142,15 +137,18 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.n
     return a, b
 
 
-def spelled_groups(names_a: list[str], names_b: list[str], cut_a: list[int], cut_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of one document."""
-    out, i, j = [], 0, 0
-    for x, y in zip(cut_a, cut_b):
-        left = names_a[i] if x - i == 1 else ",".join(names_a[i:x])
-        right = names_b[j] if y - j == 1 else ",".join(names_b[j:y])
-        out.append(f"{left}|{right}")
-        i, j = x, y
-    return ";".join(out)
+def spelled_codes(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
+    """The tokens of all groups in the order they are spelled in, as
+    ``3 * id + mark``; the mark says what stands before it: ``;`` (0, a group's
+    first A token), ``,`` (1) or ``|`` (2, a group's first B token)."""
+    from_a, from_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
+    n_a, n_b = cut_a - from_a, cut_b - from_b
+    codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+    codes[np.arange(len(ids_a)) + np.repeat(from_b, n_a)] = 3 * ids_a + 1
+    codes[np.arange(len(ids_b)) + np.repeat(cut_a, n_b)] = 3 * ids_b + 1
+    codes[from_a + from_b] -= 1
+    codes[cut_a + from_b] += 1
+    return codes
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -181,7 +179,7 @@ class Aligner:
     def __init__(self, side_a: ByteLevel, side_b: Pieces):
         self.a, self.b = side_a, side_b
         self.length_a, self.length_b = (np.fromiter(map(len, s.bytes), np.int64) for s in (side_a, side_b))
-        self.names = [str(i) for i in range(max(len(side_a.bytes), len(side_b.bytes)))]
+        self.spelled = [f"{mark}{i}" for i in range(max(len(side_a.bytes), len(side_b.bytes))) for mark in ";,|"]
         self.restart()
 
     def restart(self) -> None:
@@ -196,30 +194,30 @@ class Aligner:
         spaced = [" " + texts[k] for k in whole]
         for k, text, a, b in zip(whole, spaced, self.a.encode(spaced), self.b.encode([texts[k] for k in whole])):
             raw = text.encode("utf-8")
-            if b"".join(map(self.a.bytes.__getitem__, a)) == raw and b"".join(map(self.b.bytes.__getitem__, b)) == raw:
+            if b"".join(map(self.b.bytes.__getitem__, b)) == raw and (self.a.lossless or b"".join(map(self.a.bytes.__getitem__, a)) == raw):
                 tokens[k] = (a, b)
         # The documents of a step are one long text: every document's end is a common end.
-        all_a = np.fromiter((i for a, _ in tokens.values() for i in a), np.int64)
-        all_b = np.fromiter((i for _, b in tokens.values() for i in b), np.int64)
+        all_a = np.fromiter(chain.from_iterable(a for a, _ in tokens.values()), np.int64)
+        all_b = np.fromiter(chain.from_iterable(b for _, b in tokens.values()), np.int64)
         ends_a, ends_b = np.cumsum(self.length_a[all_a]), np.cumsum(self.length_b[all_b])
         list_a, list_b = ends_a.tolist(), ends_b.tolist()
         cut_a, cut_b = cuts(list_a, list_b)
+        words = list(map(self.spelled.__getitem__, spelled_codes(all_a, all_b, cut_a, cut_b).tolist())) if len(cut_a) else []
+        lasts = (np.searchsorted(cut_a, np.cumsum([len(a) for a, _ in tokens.values()])) + 1).tolist()
         sizes: list[int] = []
-        done_a = done_b = group = 0
+        done = group = 0
         for k, doc_id in enumerate(ids):
             if k not in tokens:
                 self.rows.append((doc_id, 0, 0, 0, 0, ""))
                 sizes.append(0)
                 continue
             a, b = tokens[k]
-            done_a, done_b = done_a + len(a), done_b + len(b)
-            last = int(np.searchsorted(cut_a, done_a)) + 1
-            spelled = spelled_groups([self.names[i] for i in a], [self.names[i] for i in b],
-                                     (cut_a[group:last] - (done_a - len(a))).tolist(), (cut_b[group:last] - (done_b - len(b))).tolist())
+            last, end = lasts.pop(0), done + len(a) + len(b)
+            spelled = "".join(words[done:end])[1:]
             n_links = len(a) + len(b) - (last - group)
             self.rows.append((doc_id, len(a), len(b), last - group, n_links, hashlib.sha256(spelled.encode()).hexdigest()))
             sizes.append(n_links)
-            group = last
+            done, group = end, last
         at_a, at_b = links(list_a, list_b, cut_a, cut_b) if len(cut_a) else (np.empty(0, np.int64),) * 2
         self.links += len(at_a)
         pairs, at, counts = np.unique(all_a[at_a] << 32 | all_b[at_b], return_inverse=True, return_counts=True)

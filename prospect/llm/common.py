@@ -45,3 +45,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def table_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that others cannot clash."""
     return df.select(*(F.col(n) for n in names))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it, for columns
+    that are added to a caller's table and dropped again."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def byte_of_char() -> dict[str, int]:
+    """Byte behind each character of a byte-level vocabulary: printable Latin-1
+    bytes stand for themselves, the others for 256 and up in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}

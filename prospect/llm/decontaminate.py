@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospect.llm.common import let, small_side
+from prospect.llm.common import fresh_names, let, small_side
 from prospect.session import materialize, materialize_counted
 
 SHINGLE = 5
@@ -150,7 +150,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
+    own_id, own_hash = fresh_names(docs, "leak_id", "leak_hash")
     leaks, rows = materialize_counted(
-        find_leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct(), "leaked")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+        find_leaks(docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "leaked")
+    same = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_hash))
     return docs.join(small_side(leaks, rows, 32), same, "left_anti")

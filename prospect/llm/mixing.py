@@ -12,28 +12,31 @@
    error between expected domain tokens ``sum r t p`` and the targets, relative
    to each domain's present share, by projected gradient from ``r = 1``.  Equal
    posteriors have equal gradients, so the rate of a document is the rate of
-   its cell, and each step is one distributed sum over cells.  A step's only
-   traffic is one number per domain; the rate is an expression of the numbers so
-   far, so nothing is kept between steps.
+   its cell, and each step is one distributed sum over (cell, domain) rows.  A
+   step's only traffic is one number per domain; after every ``KEPT`` steps the
+   rates are written, so plans stay short however many steps follow.
 4. *Draw.*  A document is repeated ``floor(rate + u)`` times, ``u`` being a
    uniform hash of its id, so expected tokens follow the rates.
 
 The number of cells depends on the kinds of features, not on the documents.
+Domains are rows of a table in an order of their own; their number has no cap,
+and the work grows as cells times domains, as soft memberships do.
 
 Edge cases: NULL source or language is a value of its own; NULL or empty texts
 have no tokens (their rate follows their cell and they weigh nothing); a
 NULL id draws by its text; repeated rows draw alike; an empty table gives no
 rows; with no labelled document every posterior is equal; domains that are only
-in the targets get no documents and are left out; clashing column names of the
-input pass through unchanged in ``mix``.
+in the targets get no documents and are left out; any column names of the input
+pass through unchanged in ``mix``; very long texts are read whole, once, into five
+features.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospect.llm.common import SPACE_CLASS, small_side
+from prospect.llm.common import SPACE_CLASS, fresh_names, let, small_side
 from prospect.session import materialize, materialize_counted
 
 FEATURES = ("f_source", "f_lang", "f_words", "f_upper", "f_symbol")
@@ -42,8 +45,13 @@ STEPS = 30
 TOLERANCE = 1e-3
 #: Default targets: present shares to this power, so small domains gain.
 TEMPERATURE = 0.5
-#: Most domains a fit accepts (its sums travel to the driver).
-MAX_DOMAINS = 4096
+#: Steps whose gradients a plan carries before the rates are written.
+KEPT = 5
+
+
+def numbers(values: list[float]) -> Column:
+    """An array<double> constant as one literal, whatever its length."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>") if values else F.array().cast("array<double>")
 
 
 def _share_bucket(part: Column, whole: Column) -> Column:
@@ -80,33 +88,51 @@ def draw_column(doc_id: Column, text: Column) -> Column:
 
 
 def posteriors(cells: DataFrame, labelled: DataFrame) -> tuple[list[str], DataFrame]:
-    """Domains and (features, tokens, docs, p array) per cell.
+    """Domains in order and (features, tokens, docs, p array) per cell.
 
     ``cells``: features with ``tokens`` and ``docs``; ``labelled``: features
-    with ``domain``.  The counts of the classifier are one aggregation each;
-    domains come to the driver (at most ``MAX_DOMAINS``)."""
+    with ``domain``.  The counts of the classifier are one aggregation each; the
+    domains and their counts come to the driver, one number each."""
     counts = materialize(labelled.groupBy("domain", *FEATURES).agg(F.count(F.lit(1)).alias("c")), "mix-counts")
-    prior = [(r[0], r[1]) for r in counts.groupBy("domain").agg(F.sum("c")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()]
-    if len(prior) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
-    domains = [d for d, _ in prior]
+    prior = [(r[0], float(r[1])) for r in counts.groupBy("domain").agg(F.sum("c")).orderBy("domain").collect()]
+    domains, held = [d for d, _ in prior], [c for _, c in prior]
     if not domains:
         return [], cells.withColumn("p", F.array().cast("array<double>"))
-    total = sum(c for _, c in prior)
-    scored = cells.withColumn("logp", F.array(*[F.lit(float(c)) for _, c in prior]))
-    scored = scored.withColumn("logp", F.transform("logp", lambda c: F.log(c / total)))
-    per_domain = F.array(*[F.lit(float(c)) for _, c in prior])
+    names = counts.select("domain").distinct().withColumn("place", F.row_number().over(Window.orderBy("domain")) - 1)
+    counts = materialize(counts.join(names, "domain"), "mix-placed")
+    scored = cells.withColumn("logp", F.transform(numbers(held), lambda c: F.log(c / F.lit(sum(held)))))
     for f in FEATURES:
-        values = materialize(counts.groupBy(f, "domain").agg(F.sum("c").alias("c")), "mix-values")
+        values = materialize(counts.groupBy(f, "place").agg(F.sum("c").cast("double").alias("c")), "mix-values")
         kinds = values.select(f).distinct().count() + 1
-        # One row per feature value: its count in every domain.
-        likely = values.groupBy(f).agg(F.map_from_entries(F.collect_list(F.struct("domain", "c"))).alias("by"))
-        scored = scored.join(likely, f, "left").withColumn("seen", F.array(*[
-            F.coalesce(F.col("by").getItem(d), F.lit(0)).cast("double") for d in domains])).withColumn(
-            "logp", F.zip_with("logp", F.zip_with("seen", per_domain, lambda s, c: F.log((s + 1.0) / (c + kinds))), lambda a, b: a + b)).drop("by", "seen")
-    top = scored.withColumn("e", F.transform("logp", lambda x: F.exp(x - F.array_max("logp"))))
-    summed = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return domains, top.withColumn("p", F.transform("e", lambda x: x / summed)).drop("e", "logp")
+        # One row per feature value: its smoothed likelihood in every domain.
+        by = values.groupBy(f).agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("by"))
+        seen = _filled("by", len(domains))
+        likely = by.select(f, F.zip_with(seen, numbers(held), lambda s, c: F.log((s + 1.0) / (c + kinds))).alias("likely"))
+        unseen = F.transform(numbers(held), lambda c: F.log(F.lit(1.0) / (c + kinds)))
+        scored = scored.join(likely, f, "left").withColumn(
+            "logp", F.zip_with("logp", F.coalesce("likely", unseen), lambda a, b: a + b)).drop("likely")
+    return domains, scored.withColumn("p", _softmax(F.col("logp"))).drop("logp")
+
+
+def _softmax(logs: Column) -> Column:
+    """Shares in proportion to ``exp``; maximum and sum are taken once a row."""
+    def raised(v: Column) -> Column:
+        return let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+
+    def shared(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(let(logs, raised), shared)
+
+
+def _filled(entries: str, size: int) -> Column:
+    """(place, c) entries in order as an array of ``size`` counts, zeros between."""
+    def after(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.element_at(entries, i)["place"]).otherwise(F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0.0), x["place"] - before - 1), F.array(x["c"]))
+
+    rest = F.array_repeat(F.lit(0.0), F.lit(size - 1) - F.element_at(entries, -1)["place"])
+    return F.concat(F.flatten(F.transform(entries, after)), rest)
 
 
 def _dot(p: str, g: Column) -> Column:
@@ -114,28 +140,30 @@ def _dot(p: str, g: Column) -> Column:
 
 
 def _rate(past: list[list[float]]) -> Column:
-    """The rate after the given gradients: one projected step for each."""
-    if not past:
-        return F.lit(1.0)
-    steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in g) + ")" for g in past) + ")")
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - _dot("p", g)))
+    """``rate`` after the given gradients: one projected step for each."""
+    rate = F.col("rate")
+    for g in past:
+        rate = F.greatest(F.lit(0.0), rate - _dot("p", numbers(g)))
+    return rate
 
 
-def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, steps: int = STEPS) -> Column:
-    """Rate expression over the cells' ``p``.  ``targets``: weights by domain
+def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, steps: int = STEPS) -> DataFrame:
+    """(features, p, rate) of the cells.  ``targets``: weights by domain
     (default: present shares tempered); they are scaled to the present tokens."""
+    state = cells.select(*FEATURES, "p", "tokens", F.lit(1.0).alias("rate"))
     n = len(domains)
     if not n:
-        return F.lit(1.0)
+        return state.drop("tokens")
 
     def sums(rate: Column) -> list[float]:
-        weighed = cells.select("p", (F.col("tokens") * rate).alias("mass"))
-        return [float(x or 0.0) for x in weighed.agg(*[F.sum(F.expr(f"mass * p[{k}]")) for k in range(n)]).first()]
+        mass = state.select((F.col("tokens") * rate).alias("mass"), F.posexplode("p").alias("place", "part"))
+        by = {r[0]: float(r[1]) for r in mass.groupBy("place").agg(F.sum(F.col("mass") * F.col("part"))).collect()}  # one number a domain
+        return [by.get(k, 0.0) for k in range(n)]
 
-    present = sums(F.lit(1.0))
+    present = sums(F.col("rate"))
     total = sum(present)
     if total <= 0:
-        return F.lit(1.0)
+        return state.drop("tokens")
     share = [x / total for x in present]
     wanted = [s ** TEMPERATURE for s in share] if targets is None else [max(0.0, float(targets.get(d, 0.0))) for d in domains]
     if sum(wanted) <= 0:
@@ -148,8 +176,11 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
         if max(abs(x) for x in step) < TOLERANCE:
             break
         past.append(step)
+        if len(past) == KEPT:
+            state = materialize(state.withColumn("rate", _rate(past)), "mix-state")
+            past = []
         now = [x / total for x in sums(_rate(past))]
-    return _rate(past)
+    return state.withColumn("rate", _rate(past)).drop("tokens")
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame, int]:
@@ -161,8 +192,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     known = labelled.select("doc_id", "domain").dropna().groupBy("doc_id").agg(F.min("domain").alias("domain"))
     domains, scored = posteriors(cells, rows.select("doc_id", *FEATURES).join(known, "doc_id"))
     scored = materialize(scored, "mix-posteriors")
-    rate = fit_rates(scored, domains, targets)
-    rated, n = materialize_counted(scored.select(*FEATURES, "p", rate.alias("rate")), "mix-rates")
+    rated, n = materialize_counted(fit_rates(scored, domains, targets), "mix-rates")
     return rows, rated, n
 
 
@@ -178,13 +208,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     """``docs`` with every row repeated (or left out) by its rate."""
     _, rated, n = document_rates(docs, labelled, targets)
     f = features(docs["text"], docs["source"], docs["lang"])
-    own = {f"__{k}": f[k] for k in FEATURES}
-    cell = rated.select(*[F.col(k).alias(f"__{k}") for k in FEATURES], F.col("rate").alias("__rate"))
+    *own, rate, draw, copy = fresh_names(docs, *(f"mix_{k}" for k in FEATURES), "mix_rate", "mix_draw", "mix_copy")
+    cell = rated.select(*[F.col(k).alias(o) for k, o in zip(FEATURES, own)], F.col("rate").alias(rate))
     cols = docs.columns
-    dealt = docs.withColumns({**own, "__draw": draw_column(docs["doc_id"], docs["text"])}).join(small_side(cell, n, 160), list(own))
-    copies = F.floor(F.col("__rate") + F.col("__draw")).cast("int")
+    dealt = docs.withColumns({**{o: f[k] for k, o in zip(FEATURES, own)}, draw: draw_column(docs["doc_id"], docs["text"])}).join(small_side(cell, n, 160), own)
+    copies = F.floor(F.col(rate) + F.col(draw)).cast("int")
     # Rows left out go before the rest is repeated.
-    return dealt.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*cols)
+    return dealt.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in cols))
 
 
 def source_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prospect.llm.common import fresh_names
+
 SHARDS = 16
 #: Prime, about a hundred slots for each shard.
 TABLE_SLOTS = 1621
@@ -66,10 +68,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = TABLE_SLOT
     """``docs`` with an integer ``shard`` column, by a broadcast lookup of
     ``slots`` rows."""
     filled = ",".join(map(str, fill_table(shard_names(shards), slots)))
-    lookup = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("__slot", "__shard"))
-    lookup = lookup.select(F.col("__slot").cast("long").alias("__slot"), F.col("__shard").cast("int").alias("shard"))
-    keyed = docs.drop("shard").withColumn("__slot", slot_column(slots))
-    return keyed.join(F.broadcast(lookup), "__slot").drop("__slot")
+    keyed = docs.drop("shard")
+    slot, = fresh_names(keyed, "slot")
+    lookup = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("at", "name"))
+    lookup = lookup.select(F.col("at").cast("long").alias(slot), F.col("name").cast("int").alias("shard"))
+    return keyed.withColumn(slot, slot_column(slots)).join(F.broadcast(lookup), slot).drop(slot)
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:

@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prospect.llm.common import fresh_names
 from prospect.session import materialize, materialize_counted
 
 SHINGLE = 4
@@ -296,9 +297,11 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Data
         F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text_hash").alias("h"))).alias("w"))
     rows = tagged.groupBy("doc_id", "text_hash").count()
     rows = rows.select(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text_hash").alias("h")).alias("w"), "count")
-    stay = materialize(winner.select("w").distinct().join(rows, "w").select(F.col("w.id").alias("__id"), F.col("w.h").alias("__h"), F.col("count").alias("__n")), "simhash-stay")
+    own_id, own_hash, times = fresh_names(docs, "keep_id", "keep_hash", "keep_times")
+    stay = materialize(winner.select("w").distinct().join(rows, "w").select(
+        F.col("w.id").alias(own_id), F.col("w.h").alias(own_hash), F.col("count").alias(times)), "simhash-stay")
     cols = docs.columns
-    kept = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__h": F.xxhash64("text")}).join(stay, ["__id", "__h"])
-    once = kept.filter("__n = 1")
-    repeated = kept.filter("__n > 1").dropDuplicates(["__id", "__h"])
-    return once.unionByName(repeated).select(*cols)
+    kept = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), own_hash: F.xxhash64("text")}).join(stay, [own_id, own_hash])
+    once = kept.filter(F.col(times) == 1)
+    repeated = kept.filter(F.col(times) > 1).dropDuplicates([own_id, own_hash])
+    return once.unionByName(repeated).select(*(F.col(f"`{c}`") for c in cols))

@@ -1,6 +1,7 @@
 """Token-id files with 64-bit offsets, memory-mapped (operator 8).
 
-Documents are range-partitioned and sorted by ``doc_id``; each task encodes its
+Documents are range-partitioned and sorted by ``doc_id`` and, inside one id, by a
+hash of the text, so that rows of one hot or missing id spread; each task encodes its
 range and writes three flat little-endian files next to each other:
 
 * ``<part>.ids``: unsigned token ids (16 bits if the vocabulary fits, else 32),
@@ -14,12 +15,14 @@ taken over one manifest row per part; offsets are written once the bases are
 known.  File names carry the task attempt, and the manifest names the files of
 the attempt that finished, so a retried or speculative task cannot mix files.
 
-Encoding is the tokenizers library's.  Byte-level tokenizers split text at
-single spaces and newlines between visible characters, so words are encoded once
-and remembered (a bounded table); other texts and tokenizers are encoded whole.
+Encoding is the tokenizers library's, as its file says.  Byte-level tokenizers
+split text at single spaces and newlines between visible characters, so words are
+encoded once, by the library's own splitter and model, and remembered (a bounded
+table); texts that hold an added token, and other texts and tokenizers, are
+encoded whole.
 
 Edge cases: NULL and empty texts hold the end id alone; NULL ids come first;
-repeated rows are written each, in text order; an empty table gives an empty
+repeated rows are written each, beside each other; an empty table gives an empty
 manifest and no rows; other columns are ignored.
 """
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prospect.llm.common import byte_of_char
 from prospect.session import materialize, scratch_path
 
 #: Remembered words per task; the table starts anew beyond it.
@@ -90,6 +95,28 @@ def _visible(ch: str) -> bool:
     return "!" <= ch <= "~" or ch.isalnum()
 
 
+class _Words(dict):
+    """Ids of words, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
+class _Whole(Exception):
+    """The text cannot be cut into words."""
+
+
+#: Characters that end a word as a piece of their own.
+_STOPS = ".,;:!?"
+#: Letters below this are letters in every version of the character tables.
+_LATIN = "\u0250"
+
+
 class Encoder:
     """Token ids of texts, remembering the ids of words.
 
@@ -104,82 +131,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(tokenizer_json)
-        self.tok.encode_special_tokens = True
         self.dtype = dtype
+        self.code = "H" if dtype == "<u2" else "I"  # of little-endian machines, as the files are
+        self.tokenize = self.tok.model.tokenize
         self.by_word = splits_at_spaces(tokenizer_json)
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.newline = self._raw(["\n"])[0]
-        # Tokens that begin with a space: the first token of a spaced word.
-        self.leads = np.zeros(self.tok.get_vocab_size(), dtype=bool)
-        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
+        self.spaced, self.first = _Words(self._after_space), _Words(self._at_start)
+        if self.by_word:
+            split = self.tok.pre_tokenizer.pre_tokenize_str
+            self.newline = self._raw(["\n"])[0]
+            self.stops = {c: self._pieces(split("x" + c)[1:]) for c in _STOPS}
+            self.shown = {b: c for c, b in byte_of_char().items()}
+            self.space = split(" x")[0][0][0]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _raw_spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a space.  Many words go through one call,
-        which costs less than a call for each; the result is cut where a token
-        begins with a space."""
-        blocks = [words[at:at + 256] for at in range(0, len(words), 256)]
-        out = []
-        for block, e in zip(blocks, self.tok.encode_batch_fast(["".join(f" {w}" for w in b) for b in blocks], add_special_tokens=False)):
-            ids = np.asarray(e.ids)
-            cuts = np.flatnonzero(self.leads[ids])
-            if len(cuts) != len(block):
-                out += self._raw([f" {w}" for w in block])
-                continue
-            flat, ends = ids.astype(self.dtype), [*cuts[1:].tolist(), len(ids)]
-            out += [flat[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)]
-        return out
+    def _pieces(self, pieces) -> bytes:
+        return array(self.code, [t.id for p, _ in pieces for t in self.tokenize(p)]).tobytes()
+
+    def _after_space(self, word: str) -> bytes:
+        if not word or not _visible(word[0]):
+            raise _Whole
+        if word[-1] in _STOPS and len(word) > 1 and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.stops[word[-1]]
+        if word.isalpha() and (word.isascii() or max(word) < _LATIN):
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+            return array(self.code, [t.id for t in self.tokenize(self.space + spelled)]).tobytes()
+        return self._pieces(self.tok.pre_tokenizer.pre_tokenize_str(" " + word))
 
-    def _learn(self, lines: list[list[str]]) -> bool:
-        """Encode the words of ``lines`` not met before; False if some word or
-        line does not start and end visibly."""
-        new, heads = set(), set()
-        for words in lines:
-            if not words[0] or not _visible(words[0][0]) or not _visible(words[-1][-1:]):
-                return False
-            for w in words[1:]:
-                if w not in self.spaced:
-                    if not w or not _visible(w[0]):
-                        return False
-                    new.add(w)
-            if words[0] not in self.first:
-                heads.add(words[0])
-        if len(self.spaced) + len(self.first) + len(new) > PIECES:
-            self.spaced.clear()
-            self.first.clear()
-            return self._learn(lines)
-        for table, words, encode in ((self.spaced, list(new), self._raw_spaced), (self.first, list(heads), self._raw)):
-            table.update(zip(words, encode(words)))
-        return True
+    def _at_start(self, word: str) -> bytes:
+        if not word or not _visible(word[0]):
+            raise _Whole
+        return self._pieces(self.tok.pre_tokenizer.pre_tokenize_str(word))
 
     def encode_one(self, text: str) -> bytes:
-        lines = [line.split(" ") for line in text.split("\n")]
+        if any(a in text for a in self.added) or len(text) > PIECES:
+            return self._raw([text])[0]
         out = []
         try:
-            for words in lines:
-                if not _visible(words[-1][-1:]):
+            for line in text.split("\n"):
+                if not _visible(line[-1:]):
                     return self._raw([text])[0]
-                out.append(self.first[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
-        except KeyError:
-            # A text with more new words than the table holds is encoded whole.
-            if len(text) > PIECES or not self._learn(lines):
-                return self._raw([text])[0]
-            out = [self.first[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])) for words in lines]
+                head, *rest = line.split(" ")
+                out.append(self.first[head] + b"".join(map(self.spaced.__getitem__, rest)))
+        except _Whole:
+            return self._raw([text])[0]
         return self.newline.join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
-        if self.by_word:
-            # New words of texts that are plainly spaced are learned together.
-            plain = [t for t in texts if t and len(t) <= PIECES and "  " not in t and "\n\n" not in t and _visible(t[0]) and _visible(t[-1])]
-            new = {w for t in plain for line in t.split("\n") for w in line.split(" ")[1:] if w and w not in self.spaced and _visible(w[0])}
-            if len(self.spaced) + len(self.first) + len(new) <= PIECES:
-                words = list(new)
-                self.spaced.update(zip(words, self._raw_spaced(words)))
-        return [self.encode_one(t) if t else b"" for t in texts] if self.by_word else self._raw(texts)
+        if not self.by_word:
+            return self._raw(texts)
+        out = []
+        for t in texts:
+            if len(self.spaced) + len(self.first) > PIECES:
+                self.spaced.clear()
+                self.first.clear()
+            out.append(self.encode_one(t) if t else b"")
+        return out
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -229,7 +239,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                                          schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("dtype", pa.string()),
                                                            ("docs", pa.int64()), ("nulls", pa.int64()), ("tokens", pa.int64())]))
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    ranged = keyed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
     parts = materialize(ranged.mapInArrow(run, schema), "token-parts")
     # One row per part: the bases are a running sum in part order.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

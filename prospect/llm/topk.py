@@ -10,8 +10,8 @@ bounds until the k-th exact score is above every bound that is left.  The best
 ``k`` of a query over all chunks are its answer; at most ``k`` rows per query
 and chunk are shuffled for that.
 
-Edge cases: vectors that are NULL or hold a NULL, NaN or infinite component
-take no part; queries meet candidates of their own dimension only; a repeated
+Edge cases: vectors that are NULL, empty or hold a NULL, NaN or infinite
+component take no part; queries meet candidates of their own dimension only; a repeated
 query id is one query (its smallest vector) and no row of that id is its
 candidate; equal scores go to the smaller id; fewer candidates than ``k`` give
 fewer rows; an empty table gives none.  Scores must fit 64 bits.
@@ -40,7 +40,7 @@ def integer_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     """(vec_id, dim, v array<long>) of the usable rows."""
     x = F.transform(F.col(embedding), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    return df.filter(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & ~F.coalesce(bad, F.lit(True))).select(
+    return df.filter((F.size(embedding) > 0) & F.col(vec_id).isNotNull() & ~F.coalesce(bad, F.lit(True))).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.size(embedding).alias("dim"),
         F.transform(x, lambda c: F.floor(c * F.lit(float(SCALE)))).alias("v"))
 
