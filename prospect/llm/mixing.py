@@ -156,8 +156,10 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
         return state.drop("tokens")
 
     def sums(rate: Column) -> list[float]:
-        mass = state.select((F.col("tokens") * rate).alias("mass"), F.posexplode("p").alias("place", "part"))
-        by = {r[0]: float(r[1]) for r in mass.groupBy("place").agg(F.sum(F.col("mass") * F.col("part"))).collect()}  # one number a domain
+        # The mass is taken once a cell, before its domains become rows.
+        parts = let(F.col("tokens") * rate, lambda mass: F.transform("p", lambda x: mass * x))
+        mass = state.select(F.posexplode(parts).alias("place", "part"))
+        by = {r[0]: float(r[1]) for r in mass.groupBy("place").agg(F.sum("part")).collect()}  # one number a domain
         return [by.get(k, 0.0) for k in range(n)]
 
     present = sums(F.col("rate"))
