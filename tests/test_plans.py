@@ -123,7 +123,7 @@ def test_batch_reads_the_companies_own_coordinates(spark, small_tables):
     located = B.materialize(located, "test-located")
     plain = replace(small_tables, companies=small_tables.companies.drop("geo_lat", "geo_long"))
     own, joined = B.search_many(small_tables, located, AS_OF), B.search_many(plain, located, AS_OF)
-    assert "pcds" not in plan(own) and "pcds" in plan(joined)
+    assert "postcodes.parquet" not in plan(own) and "postcodes.parquet" in plan(joined)
     cols = ["request_id", "CompanyNumber", "distance_miles"]
     a, b = (sorted(map(tuple, df.select(*cols).collect())) for df in (own, joined))
     assert a == b and a
