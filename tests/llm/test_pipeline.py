@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
 
 
 def test_stages_follow_each_other(spark):
