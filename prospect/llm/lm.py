@@ -14,16 +14,20 @@ which sums to one over all words, the unseen counting as one word per class.
 
 *Training.*  The network starts at the unigram model (output biases are log
 frequencies) and is improved by truncated backpropagation through time in
-numpy.  All training documents are learned from, once each: they are dealt by a
-hash of id and text to streams of about ``STREAM`` tokens, in the order of that
-hash, so a stream does not depend on files or partitions.  Stream ``i`` is
-trained on in round ``i`` modulo ``ROUNDS``; parameters are averaged over the
-streams of a round by distributed sums, weighted by tokens, between rounds.
-
-*Scoring.*  Documents are grouped by length and run side by side, the state
-carried from window to window until the document ends.  Counts of the
-``KNOWN`` most frequent words travel to the tasks; occurrences of rarer words
-are joined to the whole count table by a shuffle, so no count is cut off.
+numpy.  All training documents are learned from, once each.  Texts are cut into
+pieces of at most ``PIECE`` tokens, equal pieces are counted, and pieces are
+dealt by a hash of their symbols to streams of about ``STREAM`` tokens, the
+copies of one piece in turn to different streams: neither a very long text nor
+a third of all rows being equal makes a stream longer, and streams depend on
+neither files nor partitions.  Stream ``i`` is trained on in round ``i`` modulo
+``ROUNDS``; parameters are averaged over the streams of a round by distributed
+sums, weighted by tokens, between rounds.
+
+*Scoring.*  Documents run side by side, longest first, the state carried from
+window to window until the document ends.  Counts of at most ``KNOWN`` most
+frequent words, chosen by a histogram of counts, travel to the tasks;
+occurrences of rarer words are joined to the whole count table by a shuffle, so
+no count is cut off.
 
 Edge cases: NULL and empty texts are the end token alone; a NULL ``doc_id`` is
 neither held out nor trained on apart (it counts as training); repeated rows
@@ -50,14 +54,20 @@ HELD_FOLD, FOLDS = 1, 5
 HEAD, CLASS_WORDS, TAIL = 2048, 32, 32
 HEAD_CLASSES = HEAD // CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL
-#: Words whose counts are sent to the tasks.
-KNOWN = 1 << 17
+#: Words whose counts are sent to the tasks, and their longest in bytes; the
+#: counts of all others are joined.
+KNOWN, KNOWN_BYTES = 1 << 17, 256
 EMBED, HIDDEN = 16, 24
 ROUNDS = 2
 #: Tokens of a training stream, on average.
 STREAM = 1 << 19
-LANES, STEPS = 32, 20
-SCORE_LANES, WINDOW = 512, 32
+#: Longest piece of a text inside a stream, and the mark beside a cut.
+PIECE, CUT = 1 << 13, -1
+#: Copies of a piece that one task deals.
+DEALT = 1 << 12
+#: Lanes at most, windows at least, tokens of a window a lane, learning rate.
+LANES, WINDOWS, STEPS, RATE = 256, 50, 20, 0.03
+SCORE_LANES, WINDOW = 2048, 1 << 13
 #: The end token; it cannot be a word (it holds a space).
 END = " "
 _FLUSH = 400_000
@@ -148,7 +158,23 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.code.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.array([get(w, -1) for w in words], np.int64)
+
+
+class Symbols(dict):
+    """Symbol of a word; tail classes are looked up once a word and task, and
+    forgotten when there are too many."""
+
+    def __init__(self, head: dict[bytes, int]):
+        super().__init__(head)
+        self.head = head
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _FLUSH:
+            self.clear()
+            self.update(self.head)
+        self[word] = out = HEAD + tail_class(word)
+        return out
 
 
 def _network(v: Vocabulary, seed: int = 3) -> list[np.ndarray]:
@@ -169,130 +195,198 @@ def _network(v: Vocabulary, seed: int = 3) -> list[np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _exp_sum(x: np.ndarray) -> np.ndarray:
+    """Row sums of exp(x)."""
+    return np.exp(x) @ np.ones(x.shape[1], x.dtype)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place, by rows."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
-def _step(table: np.ndarray, u: np.ndarray, sym: np.ndarray, h: np.ndarray):
-    """One GRU step: gates, candidate, recurrent part and new state."""
-    x, r = table[sym], h @ u
-    gates = _sigmoid(x[:, :2 * HIDDEN] + r[:, :2 * HIDDEN])
-    z, g = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    cand = np.tanh(x[:, 2 * HIDDEN:] + g * r[:, 2 * HIDDEN:])
-    return z, g, cand, r[:, 2 * HIDDEN:], cand + z * (h - cand)
+def _class_of(symbol: np.ndarray) -> np.ndarray:
+    return np.where(symbol < HEAD, symbol // CLASS_WORDS, HEAD_CLASSES + symbol - HEAD)
 
 
-def train_network(p: list[np.ndarray], stream: np.ndarray, end: int, seed: int = 5) -> list[np.ndarray]:
+def train_network(p: list[np.ndarray], stream: np.ndarray, end: int) -> list[np.ndarray]:
     """One pass of truncated backpropagation over a stream of symbols, dealt
-    to ``LANES`` lanes; the state is reset where a document ends."""
-    lanes = min(LANES, max(1, len(stream) // (2 * STEPS)))
+    to lanes side by side.  The state is reset where a document ends and at a
+    ``CUT``, whose neighbours are not learned from each other."""
+    lanes = int(min(LANES, max(1, len(stream) // (WINDOWS * STEPS))))
     size = len(stream) // lanes
     if size < 2:
         return p
     data = stream[:lanes * size].reshape(lanes, size).T
     p = [a.copy() for a in p]
     mean, var = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    h0 = np.zeros((lanes, HIDDEN), np.float32)
+    h = np.zeros((lanes, HIDDEN), np.float32)
     windows = range(0, size - 1, STEPS)
     for number, at in enumerate(windows, 1):
-        emb, wx, u, b, wc, bc, ww, bw = p
-        inp, target = data[at:at + STEPS + 1][:-1], data[at + 1:at + STEPS + 1]
-        steps = len(target)
-        inp = inp[:steps]
-        table = emb @ wx + b
-        h, past = h0, []
-        for t in range(steps):
-            keep = (inp[t] != end)[:, None].astype(np.float32)
-            z, g, cand, rn, new = _step(table, u, inp[t], h * keep)
-            past.append((h * keep, keep, z, g, cand, rn))
-            h = new
-            past[t] += (new,)
-        states = np.concatenate([x[6] for x in past])
-        goal = target.reshape(-1)
-        cls = np.where(goal < HEAD, goal // CLASS_WORDS, HEAD_CLASSES + goal - HEAD)
-        prob = np.exp(_log_softmax(states @ wc + bc))
-        prob[np.arange(len(goal)), cls] -= 1
-        grad = [np.zeros_like(a) for a in p]
-        grad[4], grad[5] = states.T @ prob, prob.sum(axis=0)
-        dh_all = prob @ wc.T
-        for k in np.unique(cls[goal < HEAD]):
-            rows = np.flatnonzero(cls == k)
-            q = np.exp(_log_softmax(states[rows] @ ww[k].T + bw[k]))
-            q[np.arange(len(rows)), goal[rows] % CLASS_WORDS] -= 1
-            grad[6][k], grad[7][k] = q.T @ states[rows], q.sum(axis=0)
-            dh_all[rows] += q @ ww[k]
-        dh_all = dh_all.reshape(steps, lanes, HIDDEN)
-        dtable = np.zeros_like(table)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            prev, keep, z, g, cand, rn, _ = past[t]
-            dh = dh + dh_all[t]
-            dc = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (prev - cand) * z * (1 - z)
-            dg = dc * rn * g * (1 - g)
-            dx = np.concatenate([dz, dg, dc], axis=1)
-            dr = np.concatenate([dz, dg, dc * g], axis=1)
-            np.add.at(dtable, inp[t], dx)
-            grad[2] += prev.T @ dr
-            dh = (dh * z + dr @ u.T) * keep
-        grad[0], grad[1], grad[3] = dtable @ wx.T, emb.T @ dtable, dtable.sum(axis=0)
-        scale = 1.0 / len(goal)
-        norm = np.sqrt(sum(float((x * scale) @ (x * scale)) for x in (y.ravel() for y in grad)))
+        target = data[at + 1:at + STEPS + 1]
+        inp = data[at:at + len(target)]
+        grad, h, learned = _gradient(p, inp, target, h, end)
+        scale = 1.0 / max(1, learned)
+        norm = scale * np.sqrt(sum(float(np.vdot(x, x)) for x in grad))
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
-        rate = np.float32(0.01 * (1 - 0.8 * number / (len(windows) + 1)))
-        for i, x in enumerate(grad):
+        rate = RATE * (1 - 0.8 * number / (len(windows) + 1)) / (1 - 0.9 ** number)
+        for x, m, s, a in zip(grad, mean, var, p):
             x *= np.float32(scale)
-            mean[i] += np.float32(0.1) * (x - mean[i])
-            var[i] += np.float32(0.01) * (x * x - var[i])
-            p[i] -= rate * (mean[i] / np.float32(1 - 0.9 ** number)) / (np.sqrt(var[i] / np.float32(1 - 0.99 ** number)) + np.float32(1e-6))
-        h0 = h
+            m += np.float32(0.1) * (x - m)
+            x *= x
+            s += np.float32(0.01) * (x - s)
+            x = np.sqrt(s / np.float32(1 - 0.99 ** number))
+            x += np.float32(1e-6)
+            a -= np.float32(rate) * m / x
     return p
 
 
+def _gradient(p: list[np.ndarray], inp: np.ndarray, target: np.ndarray, h: np.ndarray, end: int) -> tuple:
+    """Gradient of the summed negative log-probability of ``target`` (steps x
+    lanes), the state after it, and the number of symbols learned from."""
+    emb, wx, u, b, wc, bc, ww, bw = p
+    steps, lanes = inp.shape
+    n = HIDDEN
+    cut = inp == CUT
+    symbol = np.where(cut, end, inp)
+    keep = (symbol != end)[:, :, None].astype(np.float32)
+    x = (emb @ wx + b)[symbol]
+    shape = (steps, lanes, n)
+    prev, cand, rec, states = (np.empty(shape, np.float32) for _ in range(4))
+    gates = np.empty((steps, lanes, 2 * n), np.float32)
+    for t in range(steps):
+        r = np.multiply(h, keep[t], out=prev[t]) @ u
+        rec[t] = r[:, 2 * n:]
+        g = _sigmoid(np.add(x[t, :, :2 * n], r[:, :2 * n], out=gates[t]))
+        c = np.multiply(g[:, n:], rec[t], out=cand[t])
+        c += x[t, :, 2 * n:]
+        np.tanh(c, out=c)
+        h = np.subtract(prev[t], c, out=states[t])
+        h *= g[:, :n]
+        h += c
+    flat, goal = states.reshape(-1, n), target.reshape(-1)
+    skip = (goal == CUT) | cut.reshape(-1)
+    cls = np.where(skip, CLASSES, _class_of(goal))
+    prob = _softmax(flat @ wc + bc)
+    prob[skip] = 0
+    rows = np.flatnonzero(~skip)
+    prob[rows, cls[rows]] -= 1
+    into = prob @ wc.T
+    # Words inside head classes, in order of class.
+    by = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
+    by = by[:cuts[-1]]
+    inside, place = flat[by], goal[by] % CLASS_WORDS
+    back, dww, dbw = np.empty_like(inside), np.zeros_like(ww), np.zeros_like(bw)
+    for k in np.flatnonzero(np.diff(cuts)):
+        lo, hi = cuts[k], cuts[k + 1]
+        q = _softmax(inside[lo:hi] @ ww[k].T + bw[k])
+        q[np.arange(hi - lo), place[lo:hi]] -= 1
+        np.matmul(q.T, inside[lo:hi], out=dww[k])
+        dbw[k] = q.sum(axis=0)
+        np.matmul(q, ww[k], out=back[lo:hi])
+    into[by] += back
+    into = into.reshape(shape)
+    # Factors of all steps at once, then back through time.
+    z, g = gates[:, :, :n], gates[:, :, n:]
+    fz, fc, fg = (prev - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), rec * g * (1 - g)
+    dx, dr = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
+    ut = np.ascontiguousarray(u.T)
+    dh = np.zeros((lanes, n), np.float32)
+    for t in range(steps - 1, -1, -1):
+        dh += into[t]
+        d, e = dx[t], dr[t]
+        np.multiply(dh, fz[t], out=d[:, :n])
+        dc = np.multiply(dh, fc[t], out=d[:, 2 * n:])
+        np.multiply(dc, fg[t], out=d[:, n:2 * n])
+        e[:, :2 * n] = d[:, :2 * n]
+        np.multiply(dc, g[t], out=e[:, 2 * n:])
+        dh *= z[t]
+        dh += e @ ut
+        dh *= keep[t]
+    dx, dr, symbol = dx.reshape(-1, 3 * n), dr.reshape(-1, 3 * n), symbol.reshape(-1)
+    order = np.argsort(symbol, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(symbol[order]) != 0])
+    touched, dtable = symbol[order][first], np.add.reduceat(dx[order], first, axis=0)
+    demb = np.zeros_like(emb)
+    demb[touched] = dtable @ wx.T
+    grad = [demb, emb[touched].T @ dtable, prev.reshape(-1, n).T @ dr, dx.sum(axis=0), flat.T @ prob, prob.sum(axis=0), dww, dbw]
+    return grad, h, len(rows)
+
+
 def score_batch(p: list[np.ndarray], v: Vocabulary, docs: list[np.ndarray], symbols: list[np.ndarray]) -> np.ndarray:
     """Natural-log probability of each document's codes (end last), without
     the share of unknown words inside their tail class."""
     emb, wx, u, b, wc, bc, ww, bw = p
     table = emb @ wx + b
+    n = HIDDEN
     end = int(v.symbol[v.code[END.encode()]]) if END.encode() in v.code else HEAD
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+
+    def window(states: list, goals: list, lanes: int) -> np.ndarray:
+        """Sum of log-probabilities by lane."""
+        owner = np.concatenate([np.arange(len(g)) for g in goals])
+        states, goals = np.concatenate(states), np.concatenate(goals)
+        cls = _class_of(goals)
+        logits = states @ wc
+        logits += bc
+        logp = logits[np.arange(len(goals)), cls] - np.log(_exp_sum(logits))
+        by = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
+        by = by[:cuts[-1]]
+        inside, place, found = states[by], goals[by] % CLASS_WORDS, np.empty(len(by), np.float32)
+        for k in np.flatnonzero(np.diff(cuts)):
+            lo, hi = cuts[k], cuts[k + 1]
+            inner = inside[lo:hi] @ ww[k].T
+            inner += bw[k]
+            found[lo:hi] = inner[np.arange(hi - lo), place[lo:hi]] - np.log(_exp_sum(inner))
+        logp[by] += found
+        return np.bincount(owner, logp, lanes)
+
     for first in range(0, len(order), SCORE_LANES):
         lanes = order[first:first + SCORE_LANES]
         length = np.array([len(docs[i]) for i in lanes])
         start = np.r_[0, np.cumsum(length)][:-1]
         sym = np.concatenate([symbols[i] for i in lanes])
         total = np.zeros(len(lanes))
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        h = np.zeros((len(lanes), n), np.float32)
         prev = np.full(len(lanes), end)
-        for at in range(0, int(length[0]), WINDOW):
-            states, goals, owner = [], [], []
-            for t in range(at, min(at + WINDOW, int(length[0]))):
-                n = int(np.searchsorted(-length, -t, side="left"))  # lanes longer than t
-                h = _step(table, u, prev[:n], h[:n])[4]
-                goal = sym[start[:n] + t]
-                states.append(h)
-                goals.append(goal)
-                owner.append(np.arange(n))
-                prev = goal
-            states, goals, owner = np.concatenate(states), np.concatenate(goals), np.concatenate(owner)
-            cls = np.where(goals < HEAD, goals // CLASS_WORDS, HEAD_CLASSES + goals - HEAD)
-            logits = states @ wc
-            logits += bc
-            logp = logits[np.arange(len(goals)), cls] - np.log(np.exp(logits).sum(axis=1))
-            by = np.argsort(cls, kind="stable")
-            cuts = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
-            for k in range(HEAD_CLASSES):
-                rows = by[cuts[k]:cuts[k + 1]]
-                if len(rows):
-                    inner = states[rows] @ ww[k].T + bw[k]
-                    logp[rows] += inner[np.arange(len(rows)), goals[rows] % CLASS_WORDS] - np.log(np.exp(inner).sum(axis=1))
-            total += np.bincount(owner, logp, len(lanes))
+        states, goals, held = [], [], 0
+        # Lanes longer than t, for every t.
+        alive = np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()
+        for t, m in enumerate(alive):
+            h = h[:m]
+            x, r = table.take(prev[:m], axis=0), h @ u
+            g = x[:, :2 * n]
+            g += r[:, :2 * n]
+            _sigmoid(g)
+            c = g[:, n:] * r[:, 2 * n:]
+            c += x[:, 2 * n:]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= g[:, :n]
+            h += c
+            prev = sym[start[:m] + t]
+            states.append(h)
+            goals.append(prev)
+            held += m
+            if held >= WINDOW:
+                total += window(states, goals, len(lanes))
+                states, goals, held = [], [], 0
+        if held:
+            total += window(states, goals, len(lanes))
         out[lanes] = total
     return out
 
@@ -300,9 +394,19 @@ def score_batch(p: list[np.ndarray], v: Vocabulary, docs: list[np.ndarray], symb
 # -------------------------------------------------------------------- Spark
 
 def _vocabulary(counts: DataFrame) -> tuple:
+    """At most ``KNOWN`` most frequent words of at most ``KNOWN_BYTES`` bytes,
+    their counts, all tokens, distinct words and the mass of tail classes."""
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(KNOWN).toArrow()  # bounded by KNOWN
-    return ([bytes(w) for w in top.column("word").to_pylist()], top.column("c").to_pylist(), int(total or 0), int(distinct), tail_mass(counts))
+    short = counts.filter(F.length("word") <= KNOWN_BYTES).withColumn("bin", F.floor(F.log2("c") * 16).cast("int"))
+    least, held = 1 << 30, 0
+    for k, n in sorted(map(tuple, short.groupBy("bin").count().collect()), reverse=True):  # at most 16 x 64 rows
+        held += n
+        if held > KNOWN:
+            break
+        least = k
+    top = short.filter(F.col("bin") >= least).select("word", "c").toArrow()  # bounded by KNOWN
+    rows = sorted(zip(map(bytes, top.column("word").to_pylist()), top.column("c").to_pylist()), key=lambda r: (-r[1], r[0]))
+    return [w for w, _ in rows], [c for _, c in rows], int(total or 0), int(distinct), tail_mass(counts)
 
 
 def _pack(p: list[np.ndarray]) -> np.ndarray:
@@ -318,24 +422,39 @@ def _unpack(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def training_streams(docs: DataFrame, known: tuple) -> tuple[DataFrame, int]:
-    """(stream int, place long, symbols binary) of every row of ``docs``, and the
-    number of streams."""
+    """(stream int, place long, copies long, symbols binary): the pieces of every
+    row of ``docs``, equal ones together, and the number of streams."""
     words = docs.sparkSession.sparkContext.broadcast(known[0][:HEAD])
     streams = max(1, -(-known[2] // STREAM))
+    mark = np.array([CUT], "<i2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = {w: i for i, w in enumerate(words.value)}
         end = code.get(END.encode(), HEAD)
+        symbol = Symbols(code)
         for batch in batches:
-            out = []
-            for t in batch.column(2):
-                ws = tokens(t.as_py())
-                out.append(np.array([code[w] if w in code else HEAD + tail_class(w) for w in ws] + [end], "<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["stream", "place", "symbols"])
-
-    place = F.xxhash64("doc_id", F.xxhash64("text"))
-    dealt = docs.select(F.pmod(place, F.lit(streams)).cast("int").alias("stream"), place.alias("place"), "text")
-    return dealt.mapInArrow(run, "stream int, place long, symbols binary"), streams
+            for lo in range(0, batch.num_rows, 1024):
+                out = []
+                for t in batch.column(0).slice(lo, 1024):
+                    ws = tokens(t.as_py())
+                    data = np.array([*map(symbol.__getitem__, ws), end], "<i2").tobytes()
+                    last = range(0, len(data), 2 * PIECE)[-1]
+                    out += [mark * (k > 0) + data[k:k + 2 * PIECE] + mark * (k < last) for k in range(0, len(data), 2 * PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["symbols"])
+
+    pieces = docs.select("text").mapInArrow(run, "symbols binary").groupBy("symbols").agg(F.count(F.lit(1)).alias("n"))
+    pieces = materialize(pieces.select(F.xxhash64("symbols").alias("place"), "n", "symbols"), "lm-pieces")
+    # Each of n copies goes to the next stream in turn, so min(n, streams) rows
+    # stand for them; a piece with very many is dealt by several tasks.
+    number = F.lit(streams).cast("long")
+    wide = pieces.withColumn("rows", F.least("n", number))
+    few = wide.filter(F.col("rows") <= DEALT).withColumn("lo", F.lit(0).cast("long"))
+    many = wide.filter(F.col("rows") > DEALT).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(DEALT).cast("long"))))
+    shares = few if streams <= DEALT else few.unionByName(many.repartition("place", "lo"))
+    shares = shares.withColumn("s", F.explode(F.sequence("lo", F.least(F.col("rows"), F.col("lo") + DEALT) - 1)))
+    stream = F.pmod(F.pmod("place", number) + F.col("s"), number).cast("int").alias("stream")
+    copies = (F.floor(F.col("n") / number) + (F.col("s") < F.col("n") % number).cast("long")).alias("copies")
+    return shares.select(stream, "place", copies, "symbols"), streams
 
 
 def fit(docs: DataFrame, known: tuple) -> np.ndarray:
@@ -348,7 +467,6 @@ def fit(docs: DataFrame, known: tuple) -> np.ndarray:
     code_of_end = next((i for i, w in enumerate(known[0][:HEAD]) if w == END.encode()), HEAD)
     piece = 4096
     dealt, streams = training_streams(docs, known)
-    dealt = materialize(dealt, "lm-streams")
     # One task a stream, as long as that is not too many tasks.
     tasks = min(-(-streams // ROUNDS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-streams // 64)))
 
@@ -368,11 +486,11 @@ def fit(docs: DataFrame, known: tuple) -> np.ndarray:
                 held.clear()
 
             for batch in batches:
-                for k, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, n, row in zip(*(c.to_pylist() for c in batch.columns)):
                     if k != stream and held:
                         learn()
                     stream = k
-                    held.append(row)
+                    held += [row] * n
             if held:
                 learn()
             if not seen:
@@ -386,8 +504,9 @@ def fit(docs: DataFrame, known: tuple) -> np.ndarray:
             return pd.DataFrame({"k": rows["k"].iloc[:1], "w": [rows["w"].sum()], "part": [total.tobytes()]})
 
         schema = "k int, w double, part binary"
-        mine = dealt.filter(F.col("stream") % ROUNDS == number).repartition(tasks, "stream").sortWithinPartitions("stream", "place", "symbols")
-        parts = mine.select("stream", "symbols").mapInArrow(run, schema)
+        mine = dealt.filter(F.col("stream") % ROUNDS == number)
+        mine = mine.repartitionById(tasks, F.floor(F.col("stream") / ROUNDS).cast("int")).sortWithinPartitions("stream", "place", "symbols")
+        parts = mine.select("stream", "copies", "symbols").mapInArrow(run, schema)
         # Two levels of sums, so no group holds more than a share of the tasks.
         half = parts.groupBy("k", F.pmod(F.spark_partition_id(), F.lit(32)).alias("s")).applyInPandas(add, schema)
         rows = half.groupBy("k").applyInPandas(add, schema).orderBy("k").collect()  # one network
@@ -416,10 +535,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*sent.value[0])
         p = _unpack(sent.value[1], [np.empty(s, np.float32) for s in shapes])
-        end = END.encode()
+        end, symbol = END.encode(), Symbols({})
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, SCORE_LANES):
+                part = batch.slice(lo, SCORE_LANES)
                 texts = part.column(2)
                 codes, symbols, extra, rare = [], [], [], []
                 n_tokens, n_known, base = [], [], []
@@ -431,8 +550,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     sym = np.empty(len(code), np.int64)
                     sym[code >= 0] = v.symbol[hit]
                     unknown = [words[j] for j in miss]
-                    k = np.fromiter((tail_class(w) for w in unknown), np.int64, len(unknown))
-                    sym[miss] = HEAD + k
+                    sym[miss] = np.array([*map(symbol.__getitem__, unknown)], np.int64)
+                    k = sym[miss] - HEAD
                     codes.append(code)
                     symbols.append(sym)
                     extra.append(float(v.inside[hit].sum() - np.log(v.z[k]).sum()))
