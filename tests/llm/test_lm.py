@@ -88,3 +88,24 @@ def test_known_words_are_cut_by_count_and_length(spark, monkeypatch):
     df = spark.createDataFrame([(i, text) for i in range(9)], "doc_id long, text string")
     rows = lm.score_documents(df).collect()
     assert all(r["n_known"] == r["n_tokens"] == 27 and r["score"] < 0 for r in rows)
+
+
+def test_edges_null_ids_empty_tables_repeated_rows_clashing_columns(spark):
+    text = "one two three . " * 5
+    rows = [(None, text, 1, "x")] * 2 + [(None, None, 1, "x"), (0, "", 1, "x"), (3, None, 1, "x")] + [(4, text, 2, "y")] * 3 + [(i, f"{text} rare{i}", 3, "z") for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stream int, symbols string")
+    got = lm.score_documents(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 6)))
+    assert len(by[None]) == 3 and sorted(x[0] for x in by[None]) == [1, 21, 21]
+    assert len(by[4]) == 3 and len(set(by[4])) == 1  # repeated rows count, and are scored alike
+    assert by[0][0][0] == by[3][0][0] == 1
+    assert not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert lm.score_documents(df.limit(0)).count() == 0
+    held = df.filter("doc_id >= 10").filter("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 1")
+    alone = lm.score_documents(held).collect()  # nothing to learn from
+    assert alone
+    for r in alone:
+        assert r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"])
