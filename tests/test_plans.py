@@ -127,3 +127,22 @@ def test_batch_reads_the_companies_own_coordinates(spark, small_tables):
     cols = ["request_id", "CompanyNumber", "distance_miles"]
     a, b = (sorted(map(tuple, df.select(*cols).collect())) for df in (own, joined))
     assert a == b and a
+
+
+def test_batch_pairs_are_made_by_the_last_join(spark, small_tables):
+    """Without prepared coordinates or profiles, companies get both before they
+    meet the requests: pairs are neither shuffled, joined again nor written."""
+    from dataclasses import replace
+
+    from prospect.sources import fixtures as FX
+    from tests.test_large_path import no_broadcast
+
+    sf = "/root/testdata/sf0.001"
+    plain = replace(small_tables, companies=small_tables.companies.drop("geo_lat", "geo_long"), profiles=None, search=None)
+    with no_broadcast(spark):
+        located = B.materialize(B.locate_requests(B.validate_requests(B.resolve_requests(FX.requests_raw(spark, sf), FX.profiles(spark, sf))),
+                                                  plain.postcodes), "test-located")
+        for found in (B.search_many(plain, located, AS_OF), B.search_many_filters(plain, located.where("max_results IS NULL"), AS_OF)):
+            above, _, below = found._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")
+            assert below.startswith(" [level"), below[:100]
+            assert "Exchange" not in above and "many-matches" not in above + below
