@@ -7,33 +7,41 @@ and a hash of (page, times) over them; tokens of a host with equal summaries
 form an equivalence class.  Hosts with fewer than ``MIN_PAGES`` pages share one
 pool.
 
-*Template.*  Classes found once per page on at least ``SUPPORT`` of the host's
-pages, with two tokens or more, are candidates.  The candidates of every page, in
-its order, are counted by distinct order, and the order of most pages is the
-host's (classes it lacks are left out), so a class held by fewer pages nests
-where its tokens stand between those of a class held by more.  Every distinct
-order is compared with it: the tokens outside a longest run in common are out of
-place on its pages.  Tokens in place on fewer than ``SUPPORT`` of the host's pages
-are split off their class, and classes left with one token go.  A page with a
-token of the template out of place does not use the template.  Consecutive tokens
-bound a page's slots.  Tokens that vary in number (paragraphs, list items) are
-content of a slot.
+*Classes.*  Classes found on at least ``SUPPORT`` of the host's pages, with two
+tokens or more, are candidates.  Those found once per page are ordered together:
+the candidates of every page, in its order, are counted by distinct order, and the
+order of most pages is the host's (classes it lacks are left out), so a class held
+by fewer pages nests where its tokens stand between those of a class held by more.
+Every distinct order is compared with it: the tokens outside a longest run in
+common are out of place on its pages.  Tokens in place on fewer than ``SUPPORT`` of
+the host's pages are split off their class, and classes left with one token go.
+Classes found several times a page are valid if their instances hold every token
+once, in one order, inside one slot and uncrossed, on ``SUPPORT`` of the pages.
+
+*Roles.*  Consecutive tokens of the valid classes bound slots, of a page or of an
+instance.  Occurrences of one token in different slots are different roles, with
+vectors and classes of their own.  Classes are found again over roles until a
+round finds no further member, or for ``ROUNDS`` rounds; the last round's are the
+host's template.  A page with a token of the template out of place does not use
+it.  All other tokens are data of the slot they stand in.
 
 *Extraction.*  A template token's role is counted over the pages that hold it,
 from the elements really open there: the slot after it is content if it lies
 inside an article or main element.  A page's own article elements begin and end
 content too, and a token that stands outside the article on most pages does not
-end one that is open on a page whose article elements are balanced.  Text inside
-navigation, header, footer, aside, form, script, style or title elements, or
-elements whose class, id or role names such a part, is never content.  The text
-of the content slots, block by block, is the page's text.  A page that holds no
-content slot of its template, or no text in them, or whose order disagrees with
-it, is read by its own article element, or else whole, under the same names.
-
-Work per page is linear (an order's longest run: n log n); per host only tag and
-text-run summaries and distinct orders travel, folded in the tasks first, so a
-host with a third of all pages is only a few rows per task.  Templates hold outer tokens and are joined to pages by host, a hot host
-being dealt over ``SALTS`` keys.
+end one that is open on a page whose article elements are balanced.  A page
+without content slot or article element is read whole but for the texts that
+are template tokens.  Text inside navigation, header, footer, aside, form, script,
+style or title elements, or elements whose class, id or role names such a part, is
+never content.  The text of the content slots, block by block, is the page's text.
+A page with no text in them, or whose order disagrees with the template, is read by
+its own article element, or else whole, under the same names.
+
+Pages are parsed twice, for their tokens and for their text.  Work per page is
+linear (an order's longest run: n log n); per host only role summaries and
+distinct orders travel, folded in the tasks first, so a host with a third of all
+pages is only a few rows per task.  Templates hold outer tokens and are joined to
+pages by host, a hot host being dealt over ``SALTS`` keys.
 
 Edge cases: NULL or empty html has empty text; a page cut off inside a tag or
 element ends there; text without any template keeps its role by its own
@@ -46,6 +54,7 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +67,8 @@ from prospect.session import materialize
 MIN_PAGES = 3
 SUPPORT = 0.6
 SALTS = 32
+#: Rounds of telling roles apart, at most.
+ROUNDS = 4
 #: Summaries a task holds before it hands them on.
 _FLUSH = 200_000
 
@@ -126,26 +137,30 @@ def unwanted(name: str, names: str) -> bool:
                                        and not NOT_CONTENT_NAMES.isdisjoint(_WORD.findall(names)))
 
 
-def tokens(events: list[tuple[str, str, str]]) -> list[str | None]:
-    """A token for each event: tags and text runs with the structural elements
-    around them; None for white space."""
+def tokens(events: list[tuple[str, str, str]]) -> list[int | None]:
+    """A token for each event, as an even hash: tags and text runs with the
+    structural elements around them; None for white space."""
     path: list[str] = []
-    out: list[str | None] = []
+    around = ""
+    digest = xxhash.xxh64_intdigest
+    out: list[int | None] = []
     for kind, name, value in events:
         if kind == "text":
-            run = _SPACE.sub(" ", value).strip()
-            out.append(f"{'/'.join(path[-3:])}|{run if len(run) <= 64 else xxhash.xxh64_hexdigest(run)}" if run else None)
+            run = " ".join(value.split())
+            out.append(digest(f"{around}|{run}") >> 2 << 1 if run else None)
             continue
         structural = name not in INLINE and name not in VOID and name != "p"
         if kind == "close":
             if structural and name in path:
                 while path and path.pop() != name:
                     pass
-            out.append(f"{'/'.join(path[-3:])}</{name}>")
+                around = "/".join(path[-3:])
+            out.append(digest(f"{around}</{name}>") >> 2 << 1)
         else:
-            out.append(f"{'/'.join(path[-3:])}<{name} {value}>")
+            out.append(digest(f"{around}<{name} {value}>") >> 2 << 1)
             if structural:
                 path.append(name)
+                around = "/".join(path[-3:])
     return out
 
 
@@ -188,97 +203,244 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id"), F.col("url"), F.col("html"), host.alias("host"))
 
 
-def occurrence_summaries(pages: DataFrame) -> DataFrame:
-    """(host, token, times, pages, vector, inside): per host and token its
-    pages, the hash of its occurrence vector, the largest number of occurrences,
-    and the number of pages on which it is inside an article after its first
-    occurrence."""
+def _mix(role: int, slot: int) -> int:
+    """Role of a token of ``role`` inside ``slot`` (integers hash alike in every process)."""
+    return hash((role, slot)) >> 2 << 1
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """(host, key, seq array<long>): the tokens of every page as hashes, in its
+    order; the lowest bit tells whether the page is inside an article after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out = []
+                for source in part.column(1):
+                    events, at, seq = parse(source.as_py()), Ancestors(), []
+                    for event, t in zip(events, tokens(events)):
+                        at.read(*event)
+                        if t is not None:
+                            seq.append(t | (at.own > 0))
+                    out.append(seq)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.list_(pa.int64()))], names=["host", "key", "seq"])
+
+    key = F.xxhash64("page_id", "url", F.length("html"))
+    return pages.select("host", "html", key.alias("key")).mapInArrow(run, "host string, key long, seq array<long>")
+
+
+class Level:
+    """Valid classes of one round.  ``rank``: place of each token found once a
+    page.  ``ring``: class, and whether it ends an instance, of each token of the
+    classes found several times.  ``content``: whether the slot after a token is."""
+
+    def __init__(self, members: list[dict]):
+        self.rank, self.ring, self.content = {}, {}, {}
+        last: dict[int, int] = {}
+        for m in members:  # by class and rank
+            self.content[m["role"]] = m["content"]
+            if m["class"]:
+                last[m["class"]] = m["role"]
+            else:
+                self.rank[m["role"]] = len(self.rank)
+        for m in members:
+            if m["class"]:
+                self.ring[m["role"]] = m["class"], last[m["class"]] == m["role"]
+
+    def roles(self, seq: list[int]) -> list[int]:
+        """Roles of a page's tokens: a token found once a page keeps its own, any
+        other is told apart by the slot, or the place in an open instance, it
+        stands in."""
+        rank, ring = self.rank, self.ring
+        if not rank and not ring:
+            return seq
+        out, slot = [], 0
+        within: list[tuple[int, int]] = []  # open instances: class, slot
+        for x in seq:
+            if x in rank:
+                slot = x
+                within.clear()
+            elif x in ring:
+                c, ends = ring[x]
+                if any(c == w for w, _ in within):
+                    while within.pop()[0] != c:
+                        pass
+                x = _mix(x, within[-1][1] if within else slot)
+                if not ends:
+                    within.append((c, x))
+            else:
+                x = _mix(x, within[-1][1] if within else slot)
+            out.append(x)
+        return out
+
+
+class _Levels(dict):
+    """Levels by host, kept for a task's recent hosts."""
+
+    def of(self, host: str, value: pa.Scalar) -> list[Level]:
+        found = self.get(host)
+        if found is None:
+            if len(self) >= 1000:
+                self.clear()
+            found = self[host] = [Level(m) for m in value.as_py() or []]
+        return found
+
+
+def occurrence_summaries(seqs: DataFrame, levels: DataFrame | None) -> DataFrame:
+    """(host, role, times, pages, vector, inside): per host and role its pages,
+    the hash of its occurrence vector, the largest number of occurrences, and the
+    number of pages on which it is inside an article after its first occurrence."""
+    leveled = levels is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        known = _Levels()
 
         def out():
             keys, vals = list(held.keys()), list(held.values())
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])] + [pa.array([v[i] for v in vals], pa.int64()) for i in range(4)],
-                names=["host", "token", "times", "pages", "vector", "inside"])
+                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64())] + [pa.array([v[i] for v in vals], pa.int64()) for i in range(5)],
+                names=["host", "role", "times", "pages", "low", "high", "inside"])
 
         for batch in batches:
-            hosts, htmls, keys = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            for host, source, key in zip(hosts, htmls, keys):
-                seen: dict[str, list[int]] = {}
-                events, at = parse(source.as_py()), Ancestors()
-                for event, t in zip(events, tokens(events)):
-                    at.read(*event)
-                    if t is not None:
-                        seen.setdefault(t, [0, at.own > 0])[0] += 1
-                for t, (n, inside) in seen.items():
-                    bits = xxhash.xxh64_intdigest(f"{key}:{n}") >> 1
-                    v = held.get((host, t))
+            hosts, keys, seqs_ = (batch.column(i).to_pylist() for i in range(3))
+            for i, (host, key, marked) in enumerate(zip(hosts, keys, seqs_)):
+                seq = [x & -2 for x in marked]
+                if leveled:
+                    for level in known.of(host, batch.column(3)[i]):
+                        seq = level.roles(seq)
+                seen: dict[int, int] = {}
+                inside = []
+                for x, m in zip(seq, marked):
+                    if x in seen:
+                        seen[x] += 1
+                    else:
+                        seen[x] = 1
+                        if m & 1:
+                            inside.append(x)
+                bits = {n: hash((key, n)) for n in set(seen.values())}
+                for x, n in seen.items():
+                    v = held.get((host, x))
                     if v is None:
-                        held[host, t] = [n, 1, bits, int(inside)]
+                        held[host, x] = [n, 1, bits[n] & 0xFFFFFFFF, bits[n] >> 32 & 0xFFFFFFFF, 0]
                     else:
-                        v[0] = max(v[0], n)
+                        if n > v[0]:
+                            v[0] = n
                         v[1] += 1
-                        v[2] ^= bits
-                        v[3] += inside
+                        v[2] += bits[n] & 0xFFFFFFFF
+                        v[3] += bits[n] >> 32 & 0xFFFFFFFF
+                for x in inside:
+                    held[host, x][4] += 1
             if len(held) > _FLUSH:
                 yield out()
         if held:
             yield out()
 
-    key = F.xxhash64("page_id", "url", F.length("html"))
-    rows = pages.select("host", "html", key.alias("key")).mapInArrow(
-        run, "host string, token string, times long, pages long, vector long, inside long")
-    return rows.groupBy("host", "token").agg(
-        F.max("times").alias("times"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
+    rows = _salted(seqs, levels, "key").select("host", "key", "seq", "levels") if leveled else seqs
+    rows = rows.mapInArrow(
+        run, "host string, role long, times long, pages long, low long, high long, inside long")
+    # Sums, not exclusive ors: a page that occurs twice must not cancel itself.
+    return rows.groupBy("host", "role").agg(
+        F.max("times").alias("times"), F.sum("pages").alias("pages"), F.xxhash64(F.sum("low"), F.sum("high")).alias("vector"),
         F.sum("inside").alias("inside"))
 
 
-def _salted(pages: DataFrame, by_host: DataFrame) -> DataFrame:
-    """Pages with the columns of their host's row, a hot host being dealt over
+def _salted(rows: DataFrame, by_host: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with the columns of their host's row, a hot host being dealt over
     ``SALTS`` keys."""
     dealt = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left").drop("salt")
-
-
-def page_orders(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(host, seq array<int>, n): the distinct orders in which pages hold the
-    ``candidates`` (host, names) of their host, as places in ``names``, and their
-    number of pages."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left").drop("salt")
+
+
+def instance_orders(seq: list[int], place: dict[int, int], classes: list[int], sizes: dict[int, int], pages: dict[int, int], fixed: dict) -> dict[int, tuple]:
+    """Order, as places, of each class found several times on a page, for those
+    whose instances hold every token once in one order and nest: no template
+    token of the round before (``fixed``) stands inside one, and where two classes
+    cross, the one on fewer pages is out."""
+    within: list[tuple[int, list[int]]] = []
+    depth: dict[int, int] = {}
+    order: dict[int, tuple] = {}
+    out: set[int] = set()
+    for x in seq:
+        if x in fixed:
+            out.update(depth)
+            within.clear()
+            depth.clear()
+            continue
+        p = place.get(x)
+        c = classes[p] if p is not None else 0
+        if not c:
+            continue
+        if c in depth:
+            while len(within) > depth[c] + 1:
+                other = within.pop()[0]
+                del depth[other]
+                out.add(other if (pages[other], other) < (pages[c], c) else c)
+        else:
+            depth[c] = len(within)
+            within.append((c, []))
+        held = within[-1][1]
+        held.append(p)
+        if len(held) == sizes[c]:
+            within.pop()
+            del depth[c]
+            if order.setdefault(c, tuple(held)) != tuple(held) or len(set(held)) < len(held):
+                out.add(c)
+    out.update(depth)
+    return {c: o for c, o in order.items() if c not in out}
+
+
+def page_orders(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(host, class, seq array<int>, n): the distinct orders in which pages hold
+    the ``candidates`` (host, names, classes, counts, levels) of their host, as places in
+    ``names``, and their number of pages.  Class 0 stands for all tokens found
+    once a page, any other for an instance of that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, tuple[int, ...]], int] = {}
-        places: dict[str, dict[str, int]] = {}
+        held: dict[tuple[str, int, tuple[int, ...]], int] = {}
+        known: dict[str, tuple] = {}
+        earlier = _Levels()
         size = 0
 
         def out():
             batch = pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in held]), pa.array([q for _, q in held], pa.list_(pa.int32())), pa.array(list(held.values()), pa.int64())],
-                names=["host", "seq", "n"])
+                [pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()), pa.array([k[2] for k in held], pa.list_(pa.int32())),
+                 pa.array(list(held.values()), pa.int64())], names=["host", "class", "seq", "n"])
             held.clear()
             return batch
 
         for batch in batches:
-            for i, host in enumerate(batch.column(0).to_pylist()):
-                place = places.get(host)
-                if place is None:
-                    if len(places) >= 1000:
-                        places.clear()
-                    place = places[host] = {t: k for k, t in enumerate(batch.column(2)[i].as_py())}
-                seq = tuple(place[t] for t in tokens(parse(batch.column(1)[i].as_py())) if t in place)
-                if seq:
-                    size += (host, seq) not in held and len(seq)
-                    held[host, seq] = held.get((host, seq), 0) + 1
+            hosts, seqs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, host in enumerate(hosts):
+                if host not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    names, classes, counts = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+                    known[host] = {t: k for k, t in enumerate(names)}, classes, Counter(classes), dict(zip(classes, counts))
+                place, classes, sizes, counts = known[host]
+                seq = [x & -2 for x in seqs_[i]]
+                levels = earlier.of(host, batch.column(5)[i])
+                for level in levels:
+                    seq = level.roles(seq)
+                orders = {}
+                if len(sizes) > (0 in sizes):
+                    orders = instance_orders(seq, place, classes, sizes, counts, levels[-1].rank if levels else {})
+                orders[0] = tuple(p for p in map(place.get, seq) if p is not None and not classes[p])
+                for c, o in orders.items():
+                    if o:
+                        k = host, c, o
+                        size += k not in held and len(o)
+                        held[k] = held.get(k, 0) + 1
             if size > _FLUSH:
                 yield out()
                 size = 0
         if held:
             yield out()
 
-    rows = _salted(pages, candidates).filter("names IS NOT NULL").select("host", "html", "names").mapInArrow(run, "host string, seq array<int>, n long")
-    return rows.groupBy("host", "seq").agg(F.sum("n").alias("n"))
+    rows = _salted(seqs, candidates, "key").filter("names IS NOT NULL").select("host", "seq", "names", "classes", "counts", "levels")
+    return rows.mapInArrow(run, "host string, class int, seq array<int>, n long").groupBy("host", "class", "seq").agg(F.sum("n").alias("n"))
 
 
 def longest_run(ranks: list[int]) -> list[int]:
@@ -330,58 +492,102 @@ def tokens_in_place(orders: DataFrame) -> DataFrame:
     return rows.groupBy("host", "place", "rank").agg(F.sum("kept").alias("kept"))
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<struct<token, content>>): the outer template's
-    tokens in order, and whether the slot after one is content: it lies inside
-    an article on most of the token's pages.
+def deduce_classes(seqs: DataFrame, sizes: DataFrame, levels: DataFrame | None) -> DataFrame:
+    """(host, members array<struct<class, rank, role, content>>): the valid classes
+    of one round, in order; class 0 holds the tokens found once a page.
 
-    Equivalence classes are the tokens of equal (pages, vector) that occur once
-    per page, and in one order, on enough of the host's pages."""
+    Equivalence classes are the roles of equal (pages, vector) on enough of the
+    host's pages."""
     enough = F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("all_pages") * SUPPORT))
-    found = materialize(
-        occurrence_summaries(pages).join(sizes_of(pages), "host").withColumn("enough", enough)
-        .filter((F.col("times") == 1) & (F.col("pages") >= F.col("enough"))), "html-once")
+    found = occurrence_summaries(seqs, levels).join(sizes, "host").withColumn("enough", enough).filter(F.col("pages") >= F.col("enough"))
+    # Without slots, tokens found several times a page are not told apart yet.
+    found = found if levels is not None else found.filter("times = 1")
     # A class of one token says nothing about order; two or more do.
     several = F.size("members") >= 2
     grouped = ["host", "pages", "vector", "enough"]
-    classes = found.groupBy(*grouped).agg(F.collect_list(F.struct("token", (F.col("inside") * 2 > F.col("pages")).alias("content"))).alias("members"))
-    members = classes.filter(several).select(*grouped, F.explode("members").alias("m"))
+    member = F.struct("role", (F.col("inside") * 2 > F.col("pages")).alias("content"), "times")
+    classes = found.groupBy(*grouped).agg(F.collect_list(member).alias("members")).filter(several)
     # A host's candidates in one array; a token's place in it names the token.
-    candidates = materialize(members.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("m.token").alias("token"), F.col("m.content").alias("content"), "pages", "vector", "enough"))).alias("c")), "html-candidates")
-    orders = materialize(page_orders(pages, candidates.select("host", F.col("c.token").alias("names"))), "html-orders")
-    placed = tokens_in_place(orders).join(candidates, "host").select("host", "rank", "kept", F.col("c")[F.col("place")].alias("m")).select("host", "rank", "kept", "m.*")
-    valid = placed.filter("kept >= enough").groupBy("host", "pages", "vector").agg(F.collect_list(F.struct("rank", "token", "content")).alias("members"))
+    one = F.struct(F.col("m.role").alias("role"), F.col("m.content").alias("content"), "pages", "vector", "enough", (F.col("m.times") == 1).alias("once"))
+    candidates = classes.select(*grouped, F.explode("members").alias("m")).groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("c"))
+    # Classes found several times are numbered from 1 by their vectors.
+    vectors = F.array_sort(F.array_distinct(F.transform(F.filter("c", lambda m: ~m["once"]), lambda m: m["vector"])))
+    candidates = candidates.withColumn("v", vectors)
+    number = F.transform("c", lambda m: F.when(m["once"], 0).otherwise(F.array_position(F.col("v"), m["vector"]).cast("int")))
+    candidates = materialize(candidates.select("host", "c", number.alias("classes")), "html-candidates")
+    sent = candidates.select("host", F.col("c.role").alias("names"), "classes", F.col("c.pages").alias("counts"))
+    if levels is None:
+        sent = sent.withColumn("levels", F.lit(None).cast(f"array<{_MEMBERS}>"))
+    else:
+        sent = sent.join(levels, "host", "left")
+    orders = materialize(page_orders(seqs, sent), "html-orders")
+    placed = tokens_in_place(orders.filter("class = 0").drop("class")).join(candidates, "host").select(
+        "host", "rank", "kept", F.col("c")[F.col("place")].alias("m")).select("host", "rank", "kept", "m.*")
+    valid = placed.filter("kept >= enough").groupBy("host", "pages", "vector").agg(
+        F.collect_list(F.struct(F.lit(0).alias("class"), "rank", "role", "content")).alias("members"))
     flat = valid.filter(several).select("host", F.explode("members").alias("m"))
-    return flat.groupBy("host").agg(F.transform(
-        F.sort_array(F.collect_list("m")), lambda m: F.struct(m["token"].alias("token"), m["content"].alias("content"))).alias("template"))
-
-
-def sizes_of(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    if levels is not None:
+        ring = orders.filter("class > 0").groupBy("host", "class").agg(F.max(F.struct("n", "seq")).alias("b")).join(candidates, "host")
+        ring = ring.select("host", "class", F.col("b.n").alias("n"), "c", F.posexplode("b.seq").alias("rank", "place"))
+        ring = ring.select("host", "class", "n", "rank", F.col("c")[F.col("place")].alias("m")).filter("n >= m.enough")
+        flat = flat.unionByName(ring.select("host", F.struct("class", "rank", "m.role", "m.content").alias("m")))
+    return flat.groupBy("host").agg(F.sort_array(F.collect_list("m")).alias("members"))
+
+
+_MEMBERS = "array<struct<class:int,rank:int,role:bigint,content:boolean>>"
+
+
+def deduce_templates(pages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, levels array<array<struct<class, rank, role, content>>>): the valid
+    classes of each round; the last is the host's template, those before tell
+    the roles of its tokens apart.  Rounds end when none finds another class
+    member, or after ``ROUNDS``."""
+    seqs = materialize(page_tokens(pages), "html-tokens")
+    levels, before = None, -1
+    none = F.array().cast(_MEMBERS)
+    for number in range(ROUNDS):
+        members = deduce_classes(seqs, sizes, levels)
+        if levels is None:
+            levels = members.select("host", F.array("members").alias("levels"))
+        else:
+            earlier = F.coalesce("levels", F.array_repeat(none, number))
+            levels = levels.join(members, "host", "full").select("host", F.concat(earlier, F.array(F.coalesce("members", none))).alias("levels"))
+        levels = materialize(levels, "html-levels")
+        found = levels.agg(F.sum(F.size(F.element_at("levels", -1)))).first()[0] or 0
+        if found == before:
+            break
+        before = found
+    return levels
 
 
-def extract(page: str | None, template: list[tuple[str, bool]]) -> str:
+def extract(page: str | None, levels: list[Level]) -> str:
     """Main text of a page: blocks of its content slots joined by newlines."""
     events = parse(page)
     if not events:
         return ""
-    own_tokens = tokens(events)
-    rank = {t: i for i, (t, _) in enumerate(template)}
-    ranks = [rank[t] for t in own_tokens if t in rank]
-    text = ""
-    if any(template[r][1] for r in ranks) and all(a < b for a, b in zip(ranks, ranks[1:])):
-        text = _read(events, own_tokens, template)
-    return text or _read(events, own_tokens, [])
-
-
-def _read(events: list[tuple[str, str, str]], own_tokens: list[str | None], template: list[tuple[str, bool]]) -> str:
-    """Text of the content slots; without a template, of the page's own article
-    elements, or else of the whole page."""
-    rank = {t: i for i, (t, _) in enumerate(template)}
+    if levels:
+        own = tokens(events)
+        seq = [t for t in own if t is not None]
+        for level in levels[:-1]:
+            seq = level.roles(seq)
+        last = levels[-1]
+        ranks = [last.rank[x] for x in seq if x in last.rank]
+        if ranks and all(a < b for a, b in zip(ranks, ranks[1:])):
+            each = iter(seq)
+            text = _read(events, [None if t is None else next(each) for t in own], last.content)
+            if text:
+                return text
+    return _read(events, [None] * len(events), {})
+
+
+def _read(events: list[tuple[str, str, str]], roles: list[int | None], content: dict[int, bool]) -> str:
+    """Text of the content slots; without any, of the page's own article
+    elements, or else of the whole page but what the template repeats."""
     opened = sum(k == "open" and n in CONTENT for k, n, _ in events)
     balanced = opened == sum(k == "close" and n in CONTENT for k, n, _ in events)
-    in_content = not template and not opened
+    slots = any(content.get(r, False) for r in roles)
+    whole = not slots and not opened
+    in_content = whole
     blocks: list[str] = []
     block: list[str] = []
     at = Ancestors()
@@ -392,7 +598,7 @@ def _read(events: list[tuple[str, str, str]], own_tokens: list[str | None], temp
         if text:
             blocks.append(text)
 
-    for (kind, name, value), token in zip(events, own_tokens):
+    for (kind, name, value), role in zip(events, roles):
         if kind != "text":
             if name not in INLINE:
                 flush()
@@ -400,12 +606,12 @@ def _read(events: list[tuple[str, str, str]], own_tokens: list[str | None], temp
             at.read(kind, name, value)
             if bool(own) != bool(at.own):
                 in_content = at.own > 0
-        if token in rank:
-            if template[rank[token]][1]:
+        if slots and role in content:
+            if content[role]:
                 in_content = True
             elif not (at.own and balanced):
                 in_content = False
-        if kind == "text" and not at.skip and in_content:
+        if kind == "text" and not at.skip and in_content and not (whole and role in content):
             block.append(value)
     flush()
     return "\n".join(blocks)
@@ -414,14 +620,19 @@ def _read(events: list[tuple[str, str, str]], own_tokens: list[str | None], temp
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     keyed = _keyed(pages)
-    small = materialize(keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < MIN_PAGES).select("host", F.lit("").alias("pool")), "html-pool")
+    counted = materialize(keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "html-hosts")
+    pool = F.when(F.col("n") < MIN_PAGES, F.lit("")).otherwise(F.col("host"))
+    sizes = counted.groupBy(pool.alias("host")).agg(F.sum("n").alias("all_pages"))
+    small = counted.filter(F.col("n") < MIN_PAGES).select("host", F.lit("").alias("pool"))
     pooled = keyed.join(small, "host", "left").withColumn("host", F.coalesce("pool", "host")).drop("pool")
-    templates = materialize(deduce_templates(pooled), "html-templates")
-    ready = _salted(pooled, templates).select("page_id", "url", "html", "template")
+    levels = deduce_templates(pooled, sizes)
+    ready = _salted(pooled, levels, "page_id", "url").select("page_id", "url", "html", "host", "levels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Levels()
         for batch in batches:
-            texts = [extract(h.as_py(), [(m["token"], m["content"]) for m in t.as_py() or []]) for h, t in zip(batch.column(2), batch.column(3))]
+            hosts = batch.column(3).to_pylist()
+            texts = [extract(h.as_py(), known.of(host, t)) for h, host, t in zip(batch.column(2), hosts, batch.column(4))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

@@ -285,6 +285,38 @@ def test_blocks_in_another_order_lose_no_article(spark, odd):
         assert got == {i + 100 * turn: f"Head {i}\nText {i}" for i in range(8)}
 
 
+def test_what_a_host_repeats_is_template_without_article_or_telling_names(spark):
+    # "Home" stands twice a page and "By" once a record: neither is found once a page.
+    record = "<li class='x4'><i>By</i><p>Words {0}{1}</p></li>"
+    page = ("<html><body><div class='x1'><b>Home</b><a>Help</a></div><div class='x2'><h2>Title {0}</h2><ul>{1}</ul></div>"
+            "<div class='x3'><b>Home</b>Site rules apply</div></body></html>")
+    rows = [(i, "http://a.org/%d" % i, page.format(i, "".join(record.format(i, "abcd"[k]) for k in range(1 + i % 4)))) for i in range(12)]
+    rows += [(100 + i, "http://a.org/%d" % i, rows[i][2]) for i in range(2)]  # pages that come twice
+    got = {r["page_id"]: r["text"] for r in htmltext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = {i: "\n".join([f"Title {i}", *(f"Words {i}{'abcd'[k]}" for k in range(1 + i % 4))]) for i in range(12)}
+    assert got == text | {100: text[0], 101: text[1]}
+
+
+def test_roles_by_slot_and_instance():
+    member = lambda c, k, x: {"class": c, "rank": k, "role": x, "content": False}
+    level = htmltext.Level([member(0, 0, 2), member(0, 1, 4), member(1, 0, 10), member(1, 1, 12)])
+    a, b, c, d, e, f, g, h, i, j = level.roles([2, 20, 10, 20, 12, 10, 20, 12, 4, 20])
+    assert (a, i) == (2, 4)  # found once a page: kept
+    assert len({b, d, j}) == 3 and d == g and (c, e) == (f, h)
+    assert htmltext.Level([]).roles([2, 20]) == [2, 20]
+
+
+def test_instances_are_ordered_and_nest():
+    def orders(seq, fixed=()):
+        return htmltext.instance_orders(seq, {10: 0, 12: 1, 20: 2, 22: 3}, [1, 1, 2, 2], {1: 2, 2: 2}, {1: 9, 2: 5}, dict.fromkeys(fixed))
+
+    assert orders([10, 20, 22, 20, 22, 12, 10, 12]) == {1: (0, 1), 2: (2, 3)}
+    assert orders([10, 12, 12, 10, 20, 22]) == {2: (2, 3)}   # no single order
+    assert orders([10, 20, 12, 22, 10, 12]) == {1: (0, 1)}   # crossed: the rarer class goes
+    assert orders([10, 2, 12, 20, 22], [2]) == {2: (2, 3)}   # a template token inside
+    assert orders([10, 10, 20, 22, 20]) == {}                # one token twice, an open end
+
+
 def test_longest_run_of_ranks():
     assert htmltext.longest_run([3, 4, 5, 0, 1, 2, 6, 7]) in ([0, 1, 2, 6, 7], [3, 4, 5, 6, 7])
     assert htmltext.longest_run([2, 1, 0]) in ([0], [1], [2]) and htmltext.longest_run([]) == []
