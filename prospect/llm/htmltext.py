@@ -22,7 +22,8 @@ once, in one order, inside one slot and uncrossed, on ``SUPPORT`` of the pages.
 instance.  Occurrences of one token in different slots are different roles, with
 vectors and classes of their own.  Classes are found again over roles until a
 round finds no further member, or for ``ROUNDS`` rounds; the last round's are the
-host's template.  A page with a token of the template out of place does not use
+host's template.  Rounds after the first read only tokens on enough pages, as no
+role is on more pages than its token.  A page with a token of the template out of place does not use
 it.  All other tokens are data of the slot they stand in.
 
 *Extraction.*  A template token's role is counted over the pages that hold it,
@@ -55,7 +56,7 @@ import html as _html
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -257,45 +258,52 @@ class Level:
             return seq
         out, slot = [], 0
         within: list[tuple[int, int]] = []  # open instances: class, slot
+        opened: set[int] = set()
         for x in seq:
             if x in rank:
                 slot = x
                 within.clear()
+                opened.clear()
             elif x in ring:
                 c, ends = ring[x]
-                if any(c == w for w, _ in within):
-                    while within.pop()[0] != c:
-                        pass
+                while c in opened:
+                    opened.discard(within.pop()[0])
                 x = _mix(x, within[-1][1] if within else slot)
                 if not ends:
                     within.append((c, x))
+                    opened.add(c)
             else:
                 x = _mix(x, within[-1][1] if within else slot)
             out.append(x)
         return out
 
 
-class _Levels(dict):
-    """Levels by host, kept for a task's recent hosts."""
+class _ByHost(dict):
+    """Values of a task's recent hosts, each made once."""
 
-    def of(self, host: str, value: pa.Scalar) -> list[Level]:
-        found = self.get(host)
-        if found is None:
+    def of(self, host: str, make: Callable[[], object]):
+        if host not in self:
             if len(self) >= 1000:
                 self.clear()
-            found = self[host] = [Level(m) for m in value.as_py() or []]
-        return found
+            self[host] = make()
+        return self[host]
+
+
+def _levels(value: pa.Scalar) -> list[Level]:
+    return [Level(m) for m in value.as_py() or []]
 
 
 def occurrence_summaries(seqs: DataFrame, levels: DataFrame | None) -> DataFrame:
     """(host, role, times, pages, vector, inside): per host and role its pages,
     the hash of its occurrence vector, the largest number of occurrences, and the
-    number of pages on which it is inside an article after its first occurrence."""
+    number of pages on which it is inside an article after its first occurrence.
+    With ``levels`` (host, levels, frequent) only ``frequent`` tokens are read: the
+    roles of any other are on too few pages as well."""
     leveled = levels is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
-        known = _Levels()
+        known = _ByHost()
 
         def out():
             keys, vals = list(held.keys()), list(held.values())
@@ -307,9 +315,12 @@ def occurrence_summaries(seqs: DataFrame, levels: DataFrame | None) -> DataFrame
         for batch in batches:
             hosts, keys, seqs_ = (batch.column(i).to_pylist() for i in range(3))
             for i, (host, key, marked) in enumerate(zip(hosts, keys, seqs_)):
+                if leveled:
+                    levels, frequent = known.of(host, lambda: (_levels(batch.column(3)[i]), frozenset(batch.column(4)[i].as_py() or ())))
+                    marked = [x for x in marked if x & -2 in frequent]
                 seq = [x & -2 for x in marked]
                 if leveled:
-                    for level in known.of(host, batch.column(3)[i]):
+                    for level in levels:
                         seq = level.roles(seq)
                 seen: dict[int, int] = {}
                 inside = []
@@ -338,7 +349,7 @@ def occurrence_summaries(seqs: DataFrame, levels: DataFrame | None) -> DataFrame
         if held:
             yield out()
 
-    rows = _salted(seqs, levels, "key").select("host", "key", "seq", "levels") if leveled else seqs
+    rows = _salted(seqs, levels, "key").select("host", "key", "seq", "levels", "frequent") if leveled else seqs
     rows = rows.mapInArrow(
         run, "host string, role long, times long, pages long, low long, high long, inside long")
     # Sums, not exclusive ors: a page that occurs twice must not cancel itself.
@@ -394,14 +405,13 @@ def instance_orders(seq: list[int], place: dict[int, int], classes: list[int], s
 
 def page_orders(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(host, class, seq array<int>, n): the distinct orders in which pages hold
-    the ``candidates`` (host, names, classes, counts, levels) of their host, as places in
-    ``names``, and their number of pages.  Class 0 stands for all tokens found
+    the ``candidates`` (host, names, classes, counts, levels, frequent) of their host, as
+    places in ``names``, and their number of pages.  Class 0 stands for all tokens found
     once a page, any other for an instance of that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int, tuple[int, ...]], int] = {}
-        known: dict[str, tuple] = {}
-        earlier = _Levels()
+        known = _ByHost()
         size = 0
 
         def out():
@@ -411,17 +421,18 @@ def page_orders(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
             held.clear()
             return batch
 
+        def read(names, classes, counts, levels, frequent):
+            classes = classes.as_py()
+            return ({t: k for k, t in enumerate(names.as_py())}, classes, Counter(classes), dict(zip(classes, counts.as_py())),
+                    _levels(levels), frozenset(frequent.as_py() or ()))
+
         for batch in batches:
             hosts, seqs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, host in enumerate(hosts):
-                if host not in known:
-                    if len(known) >= 1000:
-                        known.clear()
-                    names, classes, counts = (batch.column(k)[i].as_py() for k in (2, 3, 4))
-                    known[host] = {t: k for k, t in enumerate(names)}, classes, Counter(classes), dict(zip(classes, counts))
-                place, classes, sizes, counts = known[host]
+                place, classes, sizes, counts, levels, frequent = known.of(host, lambda: read(*(c[i] for c in batch.columns[2:])))
                 seq = [x & -2 for x in seqs_[i]]
-                levels = earlier.of(host, batch.column(5)[i])
+                if levels:
+                    seq = [x for x in seq if x in frequent]
                 for level in levels:
                     seq = level.roles(seq)
                 orders = {}
@@ -439,7 +450,7 @@ def page_orders(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    rows = _salted(seqs, candidates, "key").filter("names IS NOT NULL").select("host", "seq", "names", "classes", "counts", "levels")
+    rows = _salted(seqs, candidates, "key").filter("names IS NOT NULL").select("host", "seq", "names", "classes", "counts", "levels", "frequent")
     return rows.mapInArrow(run, "host string, class int, seq array<int>, n long").groupBy("host", "class", "seq").agg(F.sum("n").alias("n"))
 
 
@@ -492,14 +503,18 @@ def tokens_in_place(orders: DataFrame) -> DataFrame:
     return rows.groupBy("host", "place", "rank").agg(F.sum("kept").alias("kept"))
 
 
-def deduce_classes(seqs: DataFrame, sizes: DataFrame, levels: DataFrame | None) -> DataFrame:
+def frequent_roles(seqs: DataFrame, sizes: DataFrame, levels: DataFrame | None) -> DataFrame:
+    """Summaries of the roles on enough of their host's pages, and how many are."""
+    enough = F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("all_pages") * SUPPORT))
+    return occurrence_summaries(seqs, levels).join(sizes, "host").withColumn("enough", enough).filter(F.col("pages") >= F.col("enough"))
+
+
+def deduce_classes(seqs: DataFrame, found: DataFrame, levels: DataFrame | None) -> DataFrame:
     """(host, members array<struct<class, rank, role, content>>): the valid classes
     of one round, in order; class 0 holds the tokens found once a page.
 
-    Equivalence classes are the roles of equal (pages, vector) on enough of the
-    host's pages."""
-    enough = F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("all_pages") * SUPPORT))
-    found = occurrence_summaries(seqs, levels).join(sizes, "host").withColumn("enough", enough).filter(F.col("pages") >= F.col("enough"))
+    Equivalence classes are the roles of equal (pages, vector) among those
+    ``found`` on enough of the host's pages."""
     # Without slots, tokens found several times a page are not told apart yet.
     found = found if levels is not None else found.filter("times = 1")
     # A class of one token says nothing about order; two or more do.
@@ -517,7 +532,7 @@ def deduce_classes(seqs: DataFrame, sizes: DataFrame, levels: DataFrame | None)
     candidates = materialize(candidates.select("host", "c", number.alias("classes")), "html-candidates")
     sent = candidates.select("host", F.col("c.role").alias("names"), "classes", F.col("c.pages").alias("counts"))
     if levels is None:
-        sent = sent.withColumn("levels", F.lit(None).cast(f"array<{_MEMBERS}>"))
+        sent = sent.withColumns({"levels": F.lit(None).cast(f"array<{_MEMBERS}>"), "frequent": F.lit(None).cast("array<long>")})
     else:
         sent = sent.join(levels, "host", "left")
     orders = materialize(page_orders(seqs, sent), "html-orders")
@@ -545,19 +560,23 @@ def deduce_templates(pages: DataFrame, sizes: DataFrame) -> DataFrame:
     seqs = materialize(page_tokens(pages), "html-tokens")
     levels, before = None, -1
     none = F.array().cast(_MEMBERS)
-    for number in range(ROUNDS):
-        members = deduce_classes(seqs, sizes, levels)
+    for _ in range(ROUNDS):
+        found = frequent_roles(seqs, sizes, levels)
+        if levels is None:
+            found = materialize(found, "html-roles")
+        last = F.array(F.coalesce("members", none)).alias("levels")
+        members = deduce_classes(seqs, found, levels)
         if levels is None:
-            levels = members.select("host", F.array("members").alias("levels"))
+            hosts = found.groupBy("host").agg(F.collect_list("role").alias("frequent"))
+            levels = hosts.join(members, "host", "left").select("host", last, "frequent")
         else:
-            earlier = F.coalesce("levels", F.array_repeat(none, number))
-            levels = levels.join(members, "host", "full").select("host", F.concat(earlier, F.array(F.coalesce("members", none))).alias("levels"))
+            levels = levels.join(members, "host", "left").select("host", F.concat("levels", last).alias("levels"), "frequent")
         levels = materialize(levels, "html-levels")
-        found = levels.agg(F.sum(F.size(F.element_at("levels", -1)))).first()[0] or 0
-        if found == before:
+        held = levels.agg(F.sum(F.size(F.element_at("levels", -1)))).first()[0] or 0
+        if held == before:
             break
-        before = found
-    return levels
+        before = held
+    return levels.drop("frequent")
 
 
 def extract(page: str | None, levels: list[Level]) -> str:
@@ -629,10 +648,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     ready = _salted(pooled, levels, "page_id", "url").select("page_id", "url", "html", "host", "levels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Levels()
+        known = _ByHost()
         for batch in batches:
             hosts = batch.column(3).to_pylist()
-            texts = [extract(h.as_py(), known.of(host, t)) for h, host, t in zip(batch.column(2), hosts, batch.column(4))]
+            texts = [extract(h.as_py(), known.of(host, lambda t=t: _levels(t))) for h, host, t in zip(batch.column(2), hosts, batch.column(4))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
