@@ -38,12 +38,13 @@ probability; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ LANES, WINDOWS, STEPS, RATE = 256, 50, 20, 0.03
 SCORE_LANES, WINDOW = 2048, 1 << 13
 #: The end token; it cannot be a word (it holds a space).
 END = " "
-_FLUSH = 400_000
+#: Words counted at once by a task, rows and bytes of text in one go.
+_FLUSH, _ROWS, _BYTES = 4_000_000, 400_000, 3 << 23
 _LOG10 = float(np.log(10.0))
 
 
@@ -78,39 +80,95 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def tail_class(word: bytes) -> int:
-    """Shape class of a word: length, kind of letters, kind of ending."""
-    size = min(len(word).bit_length(), 4)
-    plain = word.isascii()
-    last = word[-1:]
-    end = 0 if last.isalnum() or last >= b"\x80" else 1 if last in b".,!" else 2
-    return zlib.crc32(bytes((size, plain, end, word[:1].isalpha()))) % TAIL
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` (as ``tokens``) one after the other, and the
+    number of words of each text."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    size, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False), words.flatten()
+    blank = np.flatnonzero(pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))
+    if len(blank):  # white space at the ends of a text
+        size = size - np.bincount(np.searchsorted(np.cumsum(size), blank, side="right"), minlength=len(size))
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat, size.astype(np.int64)
+
+
+def _parts(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about ``_BYTES`` bytes in column ``texts``."""
+    size = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
+    share = np.cumsum(size, dtype=np.int64) // _BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
+def with_ends(words: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` with ``end`` put after the ``size`` ones of each text, and
+    where each text stops."""
+    stop = np.cumsum(size + 1)
+    out = np.full(len(words) + len(size), end, words.dtype)
+    word = np.ones(len(out), bool)
+    word[stop - 1] = False
+    out[word] = words
+    return out, stop
+
+
+def _shape_class(size: int, plain: bool, end: int, letter: bool) -> int:
+    return zlib.crc32(bytes((size, plain, end, letter))) % TAIL
+
+
+_SHAPES = np.array([_shape_class(*x) for x in product(range(5), (False, True), range(3), (False, True))])
+_ENDS = np.array([0 if bytes([x]).isalnum() or x >= 0x80 else 1 if x in b".,!" else 2 for x in range(256)])
+_LETTERS = np.array([bytes([x]).isalpha() for x in range(256)])
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """Shape class of each word (none is empty): length, kind of letters, kind
+    of ending."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_binary())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    size = np.searchsorted([1, 2, 4, 8], np.diff(at), side="right")
+    wide = np.r_[0, np.cumsum(data[at[0]:at[-1]] >= 0x80, dtype=np.int64)]
+    plain = wide[at[1:] - at[0]] == wide[at[:-1] - at[0]]
+    return _SHAPES[((size * 2 + plain) * 3 + _ENDS[data[at[1:] - 1]]) * 2 + _LETTERS[data[at[:-1]]]]
+
+
+def _codes(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Place of each word among the known ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 # ------------------------------------------------------------------- counts
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, c) over all documents, the end token included.  Words are
-    folded inside each task before the shuffle."""
+    counted inside each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        ends = 0
+        held, size, ends = [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
+            count = pc.value_counts(pa.chunked_array(held))
+            for lo in range(0, len(count), _ROWS):
+                part = count.slice(lo, _ROWS).flatten()
+                yield pa.RecordBatch.from_arrays([part[0].cast(pa.binary()), part[1]], names=["word", "c"])
 
         for batch in batches:
-            for t in batch.column(0):
-                count.update(tokens(t.as_py()))
-                ends += 1
-                if len(count) > _FLUSH:
-                    yield out()
-                    count.clear()
+            for part in _parts(batch, 0):
+                words, _ = split_words(part.column(0))
+                held.append(words)
+                size += len(words)
+                ends += part.num_rows
+                if size > _FLUSH:
+                    yield from out()
+                    held, size = [], 0
+        if size:
+            yield from out()
         if ends:
-            count[END.encode()] += ends
-        if count:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([END.encode()]), pa.array([ends])], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -121,8 +179,7 @@ def tail_mass(counts: DataFrame) -> dict[int, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass = np.zeros(TAIL)
         for batch in batches:
-            k = np.fromiter((tail_class(w) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            mass += np.bincount(k, batch.column(1).to_numpy() + 0.5, TAIL)
+            mass += np.bincount(tail_classes(batch.column(0)), batch.column(1).to_numpy() + 0.5, TAIL)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL, dtype=np.int32)), pa.array(mass)], names=["k", "m"])
 
     rows = counts.mapInArrow(run, "k int, m double").groupBy("k").agg(F.sum("m")).collect()  # TAIL rows
@@ -138,11 +195,10 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, mass: dict[int, float]):
         self.words, self.total, self.distinct = words, total, distinct
-        self.code = {w: i for i, w in enumerate(words)}
         self.c = np.array(counts, dtype=np.float64)
-        tail = np.array([tail_class(w) for w in words[HEAD:]], dtype=np.int64)
-        head = min(HEAD, len(words))
-        lost = np.bincount([tail_class(w) for w in words[:head]], self.c[:head] + 0.5, TAIL) if head else np.zeros(TAIL)
+        shapes, head = tail_classes(pa.array(words, pa.binary())), min(HEAD, len(words))
+        tail = shapes[head:]
+        lost = np.bincount(shapes[:head], self.c[:head] + 0.5, TAIL)
         # Mass of a tail class: its words outside the head and one unseen word.
         self.z = np.maximum(np.array([mass.get(k, 0.0) for k in range(TAIL)]) - lost, 0.0) + 0.5
         self.symbol = np.concatenate([np.arange(head), HEAD + tail]).astype(np.int64)
@@ -151,31 +207,13 @@ class Vocabulary:
         inside = np.zeros(len(words))
         inside[head:] = np.log((self.c[head:] + 0.5) / self.z[tail])
         self.inside = inside
+        at = words.index(END.encode()) if END.encode() in words else -1
+        self.end = int(self.symbol[at]) if at >= 0 else HEAD
 
     @property
     def denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.code.get
-        return np.array([get(w, -1) for w in words], np.int64)
-
-
-class Symbols(dict):
-    """Symbol of a word; tail classes are looked up once a word and task, and
-    forgotten when there are too many."""
-
-    def __init__(self, head: dict[bytes, int]):
-        super().__init__(head)
-        self.head = head
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _FLUSH:
-            self.clear()
-            self.update(self.head)
-        self[word] = out = HEAD + tail_class(word)
-        return out
-
 
 def _network(v: Vocabulary, seed: int = 3) -> list[np.ndarray]:
     """Parameters that start as the unigram model."""
@@ -194,26 +232,35 @@ def _network(v: Vocabulary, seed: int = 3) -> list[np.ndarray]:
     ]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> None:
+    """1 / (1 + exp(x)), in place; the exponential may overflow."""
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    np.reciprocal(x, out=x)
 
 
-def _exp_sum(x: np.ndarray) -> np.ndarray:
-    """Row sums of exp(x)."""
-    return np.exp(x) @ np.ones(x.shape[1], x.dtype)
+def _exp_sums(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """In place exp(x - top); sums over the last axis but one, and ``top``.  It
+    is 0 if ``weight``, by which states from -1 to 1 became ``x``, keeps all
+    values far from the ends of the range of floats."""
+    top = 0.0
+    if not np.abs(weight).sum(axis=-1).max() < 60:
+        top = x.max(axis=-2, keepdims=True)
+        x -= top
+    np.exp(x, out=x)
+    return x.sum(axis=-2, keepdims=True), top
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place, by rows."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
-    return x
+def _with_bias(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights whose last column meets a row of ones."""
+    return np.concatenate([weight, bias[..., None]], axis=-1)
+
+
+def _recurrent(p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of inputs (with bias) and of states, by rows of gates; those of
+    the two sigmoid gates are negated."""
+    sign = np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, -1, 1).astype(p[0].dtype)[:, None]
+    return sign * _with_bias(p[1].T, p[3]), sign * p[2].T
 
 
 def _class_of(symbol: np.ndarray) -> np.ndarray:
@@ -228,166 +275,192 @@ def train_network(p: list[np.ndarray], stream: np.ndarray, end: int) -> list[np.
     size = len(stream) // lanes
     if size < 2:
         return p
-    data = stream[:lanes * size].reshape(lanes, size).T
-    p = [a.copy() for a in p]
-    mean, var = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    data = np.ascontiguousarray(stream[:lanes * size].reshape(lanes, size).T)
+    flat = _pack(p)
+    p = _unpack(flat, p)  # views, so the updates reach them
+    mean, var = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((lanes, HIDDEN), np.float32)
     windows = range(0, size - 1, STEPS)
     for number, at in enumerate(windows, 1):
         target = data[at + 1:at + STEPS + 1]
-        inp = data[at:at + len(target)]
-        grad, h, learned = _gradient(p, inp, target, h, end)
+        with np.errstate(over="ignore"):
+            grad, h, learned = _gradient(p, data[at:at + len(target)], target, h, end)
+        x = _pack(grad)
         scale = 1.0 / max(1, learned)
-        norm = scale * np.sqrt(sum(float(np.vdot(x, x)) for x in grad))
-        scale *= min(1.0, 1.0 / max(norm, 1e-9))
+        norm = scale * np.sqrt(float(np.vdot(x, x)))
+        x *= np.float32(scale * min(1.0, 1.0 / max(norm, 1e-9)))
         rate = RATE * (1 - 0.8 * number / (len(windows) + 1)) / (1 - 0.9 ** number)
-        for x, m, s, a in zip(grad, mean, var, p):
-            x *= np.float32(scale)
-            m += np.float32(0.1) * (x - m)
-            x *= x
-            s += np.float32(0.01) * (x - s)
-            x = np.sqrt(s / np.float32(1 - 0.99 ** number))
-            x += np.float32(1e-6)
-            a -= np.float32(rate) * m / x
+        mean += np.float32(0.1) * (x - mean)
+        x *= x
+        x -= var
+        x *= np.float32(0.01)
+        var += x
+        np.sqrt(np.multiply(var, np.float32(1 / (1 - 0.99 ** number)), out=x), out=x)
+        x += np.float32(1e-6)
+        np.divide(mean, x, out=x)
+        x *= np.float32(rate)
+        flat -= x
     return p
 
 
 def _gradient(p: list[np.ndarray], inp: np.ndarray, target: np.ndarray, h: np.ndarray, end: int) -> tuple:
     """Gradient of the summed negative log-probability of ``target`` (steps x
-    lanes), the state after it, and the number of symbols learned from."""
+    lanes), the state after it, and the number of symbols learned from.
+    Arrays inside are steps x values x lanes."""
     emb, wx, u, b, wc, bc, ww, bw = p
     steps, lanes = inp.shape
     n = HIDDEN
     cut = inp == CUT
     symbol = np.where(cut, end, inp)
-    keep = (symbol != end)[:, :, None].astype(np.float32)
-    x = (emb @ wx + b)[symbol]
-    shape = (steps, lanes, n)
-    prev, cand, rec, states = (np.empty(shape, np.float32) for _ in range(4))
-    gates = np.empty((steps, lanes, 2 * n), np.float32)
+    keep = (symbol != end).astype(np.float32)
+    of_input, of_state = _recurrent(p)
+    turned = lambda x: x.transpose(0, 2, 1)
+    space = lambda k: np.empty((steps, k, lanes), np.float32)
+    seen, states = space(EMBED + 1), space(n + 1)
+    seen[:, :EMBED], seen[:, EMBED], states[:, n] = emb.T.take(symbol, axis=1, mode="clip").transpose(1, 0, 2), 1, 1
+    x = of_input @ seen
+    prev, cand, rec = space(n), space(n), space(3 * n)
+    h = h.T
     for t in range(steps):
-        r = np.multiply(h, keep[t], out=prev[t]) @ u
-        rec[t] = r[:, 2 * n:]
-        g = _sigmoid(np.add(x[t, :, :2 * n], r[:, :2 * n], out=gates[t]))
-        c = np.multiply(g[:, n:], rec[t], out=cand[t])
-        c += x[t, :, 2 * n:]
+        r = np.matmul(of_state, np.multiply(h, keep[t], out=prev[t]), out=rec[t])
+        g = x[t, :2 * n]
+        g += r[:2 * n]
+        _sigmoid_of_negative(g)
+        c = np.multiply(g[n:], r[2 * n:], out=cand[t])
+        c += x[t, 2 * n:]
         np.tanh(c, out=c)
-        h = np.subtract(prev[t], c, out=states[t])
-        h *= g[:, :n]
+        h = np.subtract(prev[t], c, out=states[t, :n])
+        h *= g[:n]
         h += c
-    flat, goal = states.reshape(-1, n), target.reshape(-1)
-    skip = (goal == CUT) | cut.reshape(-1)
-    cls = np.where(skip, CLASSES, _class_of(goal))
-    prob = _softmax(flat @ wc + bc)
-    prob[skip] = 0
-    rows = np.flatnonzero(~skip)
-    prob[rows, cls[rows]] -= 1
-    into = prob @ wc.T
+    skip = (target == CUT) | cut
+    cls = np.where(skip, CLASSES, _class_of(target)).astype(np.int16)
+    classes, words = _with_bias(wc.T, bc), _with_bias(ww, bw)
+    prob = classes @ states
+    prob *= 1 / _exp_sums(prob, classes)[0]
+    step, lane = np.nonzero(~skip)
+    if len(step) < skip.size:
+        prob *= ~skip[:, None]
+    prob[step, cls[step, lane], lane] -= 1
+    into, dclass = wc @ prob, (prob @ turned(states)).sum(axis=0)
     # Words inside head classes, in order of class.
+    cls, goal = cls.reshape(-1), target.reshape(-1)
     by = np.argsort(cls, kind="stable")
     cuts = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
     by = by[:cuts[-1]]
-    inside, place = flat[by], goal[by] % CLASS_WORDS
-    back, dww, dbw = np.empty_like(inside), np.zeros_like(ww), np.zeros_like(bw)
-    for k in np.flatnonzero(np.diff(cuts)):
-        lo, hi = cuts[k], cuts[k + 1]
-        q = _softmax(inside[lo:hi] @ ww[k].T + bw[k])
-        q[np.arange(hi - lo), place[lo:hi]] -= 1
-        np.matmul(q.T, inside[lo:hi], out=dww[k])
-        dbw[k] = q.sum(axis=0)
-        np.matmul(q, ww[k], out=back[lo:hi])
-    into[by] += back
-    into = into.reshape(shape)
+    spans = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+    inside = states.transpose(1, 0, 2).reshape(n + 1, -1).take(by, axis=1)
+    inner = np.empty((CLASS_WORDS, len(by)), np.float32)
+    for k, at in spans:
+        np.matmul(words[k], inside[:, at], out=inner[:, at])
+    inner *= 1 / _exp_sums(inner, words)[0]
+    inner[goal[by] % CLASS_WORDS, np.arange(len(by))] -= 1
+    back, dwords = np.zeros((n, len(by) + 1), np.float32), np.zeros_like(words)
+    for k, at in spans:
+        np.matmul(inner[:, at], inside[:, at].T, out=dwords[k])
+        np.matmul(ww[k].T, inner[:, at], out=back[:, at])
+    place = np.full(len(cls), len(by))
+    place[by] = np.arange(len(by))
+    into += back.take(place, axis=1).reshape(n, steps, lanes).transpose(1, 0, 2)
     # Factors of all steps at once, then back through time.
-    z, g = gates[:, :, :n], gates[:, :, n:]
-    fz, fc, fg = (prev - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), rec * g * (1 - g)
-    dx, dr = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-    ut = np.ascontiguousarray(u.T)
-    dh = np.zeros((lanes, n), np.float32)
+    z, g = x[:, :n], x[:, n:2 * n]
+    rest = 1 - z
+    fz = prev - cand
+    fz *= z
+    fz *= rest
+    fc = np.multiply(cand, cand, out=cand)
+    np.subtract(1, fc, out=fc)
+    fc *= rest
+    fg = np.multiply(rec[:, 2 * n:], g)
+    fg *= np.subtract(1, g, out=rest)
+    # Rows: candidate as the state meets it, both gates, candidate.
+    d, order = space(4 * n), np.r_[2 * n:3 * n, :2 * n]
+    back_state = np.ascontiguousarray(u[:, order])
+    dh = np.zeros((n, lanes), np.float32)
     for t in range(steps - 1, -1, -1):
         dh += into[t]
-        d, e = dx[t], dr[t]
-        np.multiply(dh, fz[t], out=d[:, :n])
-        dc = np.multiply(dh, fc[t], out=d[:, 2 * n:])
-        np.multiply(dc, fg[t], out=d[:, n:2 * n])
-        e[:, :2 * n] = d[:, :2 * n]
-        np.multiply(dc, g[t], out=e[:, 2 * n:])
+        np.multiply(dh, fz[t], out=d[t, n:2 * n])
+        dc = np.multiply(dh, fc[t], out=d[t, 3 * n:])
+        np.multiply(dc, fg[t], out=d[t, 2 * n:3 * n])
+        np.multiply(dc, g[t], out=d[t, :n])
         dh *= z[t]
-        dh += e @ ut
+        dh += back_state @ d[t, :3 * n]
         dh *= keep[t]
-    dx, dr, symbol = dx.reshape(-1, 3 * n), dr.reshape(-1, 3 * n), symbol.reshape(-1)
-    order = np.argsort(symbol, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(symbol[order]) != 0])
-    touched, dtable = symbol[order][first], np.add.reduceat(dx[order], first, axis=0)
-    demb = np.zeros_like(emb)
-    demb[touched] = dtable @ wx.T
-    grad = [demb, emb[touched].T @ dtable, prev.reshape(-1, n).T @ dr, dx.sum(axis=0), flat.T @ prob, prob.sum(axis=0), dww, dbw]
-    return grad, h, len(rows)
+    du = np.empty_like(u)
+    du[:, order] = (prev @ turned(d[:, :3 * n])).sum(axis=0)
+    dinput = (seen @ turned(d[:, n:])).sum(axis=0)
+    # Sums by symbol and column.
+    cell = symbol[:, None] * EMBED + np.arange(EMBED)[:, None]
+    demb = np.bincount(cell.reshape(-1), (wx @ d[:, n:]).reshape(-1), emb.size).reshape(emb.shape)
+    grad = [demb, dinput[:EMBED], du, dinput[EMBED], dclass[:, :n].T, dclass[:, n], dwords[:, :, :n], dwords[:, :, n]]
+    return grad, h.T, len(step)
 
 
 def score_batch(p: list[np.ndarray], v: Vocabulary, docs: list[np.ndarray], symbols: list[np.ndarray]) -> np.ndarray:
     """Natural-log probability of each document's codes (end last), without
     the share of unknown words inside their tail class."""
     emb, wx, u, b, wc, bc, ww, bw = p
-    table = emb @ wx + b
-    n = HIDDEN
-    end = int(v.symbol[v.code[END.encode()]]) if END.encode() in v.code else HEAD
+    n, end = HIDDEN, v.end
+    of_input, of_state = _recurrent(p)
+    table = of_input @ np.concatenate([emb.T, np.ones((1, len(emb)), emb.dtype)])
+    classes, words = _with_bias(wc.T, bc), _with_bias(ww, bw)
     out = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-
-    def window(states: list, goals: list, lanes: int) -> np.ndarray:
-        """Sum of log-probabilities by lane."""
-        owner = np.concatenate([np.arange(len(g)) for g in goals])
-        states, goals = np.concatenate(states), np.concatenate(goals)
-        cls = _class_of(goals)
-        logits = states @ wc
-        logits += bc
-        logp = logits[np.arange(len(goals)), cls] - np.log(_exp_sum(logits))
+    length = np.array([len(d) for d in docs], np.int64)
+    order = np.argsort(-length, kind="stable")
+
+    def window(states: list, goals: np.ndarray) -> np.ndarray:
+        """Log-probability of every goal."""
+        flat = np.ones((n + 1, len(goals)), np.float32)
+        np.concatenate(states, axis=1, out=flat[:n])
+        cls = _class_of(goals).astype(np.int16)
+        logits = classes @ flat
+        logp = logits[cls, np.arange(len(goals))]
+        total, top = _exp_sums(logits, classes)
+        logp -= (np.log(total) + top)[0]
         by = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
         by = by[:cuts[-1]]
-        inside, place, found = states[by], goals[by] % CLASS_WORDS, np.empty(len(by), np.float32)
-        for k in np.flatnonzero(np.diff(cuts)):
-            lo, hi = cuts[k], cuts[k + 1]
-            inner = inside[lo:hi] @ ww[k].T
-            inner += bw[k]
-            found[lo:hi] = inner[np.arange(hi - lo), place[lo:hi]] - np.log(_exp_sum(inner))
-        logp[by] += found
-        return np.bincount(owner, logp, lanes)
+        inside, inner = flat.take(by, axis=1), np.empty((CLASS_WORDS, len(by)), np.float32)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            at = slice(cuts[k], cuts[k + 1])
+            np.matmul(words[k], inside[:, at], out=inner[:, at])
+        found = inner[goals[by] % CLASS_WORDS, np.arange(len(by))]
+        total, top = _exp_sums(inner, words)
+        logp[by] += found - (np.log(total) + top)[0]
+        return logp
 
     for first in range(0, len(order), SCORE_LANES):
         lanes = order[first:first + SCORE_LANES]
-        length = np.array([len(docs[i]) for i in lanes])
-        start = np.r_[0, np.cumsum(length)][:-1]
-        sym = np.concatenate([symbols[i] for i in lanes])
-        total = np.zeros(len(lanes))
-        h = np.zeros((len(lanes), n), np.float32)
+        many = length[lanes]
+        # Lanes longer than t, for every t, and symbols step by step.
+        alive = np.searchsorted(-many, -np.arange(many[0]), side="left")
+        begin = np.r_[0, np.cumsum(alive)]
+        lane = np.repeat(np.arange(len(lanes)), many)
+        place = begin[np.arange(len(lane)) - np.repeat(np.cumsum(many) - many, many)] + lane
+        goals, owner = np.empty(len(lane), np.int64), np.empty(len(lane), np.int64)
+        goals[place], owner[place] = np.concatenate([symbols[i] for i in lanes]), lane
+        logp = np.empty(len(lane), np.float32)
+        h = np.zeros((n, len(lanes)), np.float32)
         prev = np.full(len(lanes), end)
-        states, goals, held = [], [], 0
-        # Lanes longer than t, for every t.
-        alive = np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()
-        for t, m in enumerate(alive):
-            h = h[:m]
-            x, r = table.take(prev[:m], axis=0), h @ u
-            g = x[:, :2 * n]
-            g += r[:, :2 * n]
-            _sigmoid(g)
-            c = g[:, n:] * r[:, 2 * n:]
-            c += x[:, 2 * n:]
+        states, done = [], 0
+        for m, at in zip(alive.tolist(), begin.tolist()):
+            h = h[:, :m]
+            x, r = table.take(prev[:m], axis=1, mode="clip"), of_state @ h
+            g, c = x[:2 * n], x[2 * n:]
+            g += r[:2 * n]
+            _sigmoid_of_negative(g)
+            r = r[2 * n:]
+            r *= g[n:]
+            c += r
             np.tanh(c, out=c)
             h = h - c
-            h *= g[:, :n]
+            h *= g[:n]
             h += c
-            prev = sym[start[:m] + t]
+            prev = goals[at:at + m]
             states.append(h)
-            goals.append(prev)
-            held += m
-            if held >= WINDOW:
-                total += window(states, goals, len(lanes))
-                states, goals, held = [], [], 0
-        if held:
-            total += window(states, goals, len(lanes))
-        out[lanes] = total
+            if at + m - done >= WINDOW or at + m == len(goals):
+                logp[done:at + m] = window(states, goals[done:at + m])
+                states, done = [], at + m
+        out[lanes] = np.bincount(owner, logp, len(lanes))
     return out
 
 
@@ -429,17 +502,20 @@ def training_streams(docs: DataFrame, known: tuple) -> tuple[DataFrame, int]:
     mark = np.array([CUT], "<i2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = {w: i for i, w in enumerate(words.value)}
-        end = code.get(END.encode(), HEAD)
-        symbol = Symbols(code)
+        head = pa.array(words.value, pa.binary())
+        end = words.value.index(END.encode()) if END.encode() in words.value else HEAD
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                out = []
-                for t in batch.column(0).slice(lo, 1024):
-                    ws = tokens(t.as_py())
-                    data = np.array([*map(symbol.__getitem__, ws), end], "<i2").tobytes()
-                    last = range(0, len(data), 2 * PIECE)[-1]
-                    out += [mark * (k > 0) + data[k:k + 2 * PIECE] + mark * (k < last) for k in range(0, len(data), 2 * PIECE)]
+            for part in _parts(batch, 0):
+                flat, size = split_words(part.column(0))
+                flat = flat.dictionary_encode()
+                each = flat.dictionary.cast(pa.binary())
+                code = _codes(each, head)
+                symbol = np.where(code < 0, HEAD + tail_classes(each), code).astype("<i2")
+                data, stop = with_ends(symbol[flat.indices.to_numpy()], size, end)
+                data, out = data.tobytes(), []
+                for lo, hi in zip((2 * (stop - size - 1)).tolist(), (2 * stop).tolist()):
+                    cuts = range(lo, hi, 2 * PIECE)
+                    out += [mark * (k > lo) + data[k:min(hi, k + 2 * PIECE)] + mark * (k < cuts[-1]) for k in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["symbols"])
 
     pieces = docs.select("text").mapInArrow(run, "symbols binary").groupBy("symbols").agg(F.count(F.lit(1)).alias("n"))
@@ -515,7 +591,7 @@ def fit(docs: DataFrame, known: tuple) -> np.ndarray:
     return flat
 
 
-_SCORED = "kind int, doc_id long, h long, held_out boolean, n_tokens long, n_known long, base double, logp double, word binary, n long"
+_SCORED = "kind int, ref long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double, word binary, n long"
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -535,60 +611,48 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*sent.value[0])
         p = _unpack(sent.value[1], [np.empty(s, np.float32) for s in shapes])
-        end, symbol = END.encode(), Symbols({})
+        words = pa.array(v.words, pa.binary())
         for batch in batches:
-            for lo in range(0, batch.num_rows, SCORE_LANES):
-                part = batch.slice(lo, SCORE_LANES)
-                texts = part.column(2)
-                codes, symbols, extra, rare = [], [], [], []
-                n_tokens, n_known, base = [], [], []
-                for i in range(part.num_rows):
-                    words = [*tokens(texts[i].as_py()), end]
-                    code = v.encode(words)
-                    miss = np.flatnonzero(code < 0)
-                    hit = code[code >= 0]
-                    sym = np.empty(len(code), np.int64)
-                    sym[code >= 0] = v.symbol[hit]
-                    unknown = [words[j] for j in miss]
-                    sym[miss] = np.array([*map(symbol.__getitem__, unknown)], np.int64)
-                    k = sym[miss] - HEAD
-                    codes.append(code)
-                    symbols.append(sym)
-                    extra.append(float(v.inside[hit].sum() - np.log(v.z[k]).sum()))
-                    base.append(float(v.base[hit].sum()))
-                    n_tokens.append(len(words))
-                    n_known.append(len(hit))
-                    rare += [(i, w, n) for w, n in Counter(unknown).items()]
-                logp = score_batch(p, v, codes, symbols) + np.array(extra)
-                at = np.array([i for i, _, _ in rare], dtype=np.int64)
-                every = np.r_[np.arange(part.num_rows), at]
-                m, r = part.num_rows, len(rare)
-                take = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(r, t)])
-                index = pa.array(every)
+            for part in _parts(batch, 3):
+                flat, size = split_words(part.column(3))
+                flat = flat.dictionary_encode()
+                each = pa.concat_arrays([flat.dictionary.cast(pa.binary()), pa.array([END.encode()])])
+                # What is known of every word, then of every token.
+                code, symbol = _codes(each, words), HEAD + tail_classes(each)
+                hit = code >= 0
+                inside, base = np.zeros(len(each)), np.zeros(len(each))
+                inside[~hit] = -np.log(v.z[symbol[~hit] - HEAD])
+                inside[hit], base[hit], symbol[hit] = v.inside[code[hit]], v.base[code[hit]], v.symbol[code[hit]]
+                token, stop = with_ends(flat.indices.to_numpy().astype(np.int64), size, len(each) - 1)
+                start = stop - size - 1
+                miss = np.flatnonzero(~hit[token])
+                docs = np.split(symbol[token], stop[:-1])
+                with np.errstate(over="ignore"):
+                    logp = score_batch(p, v, docs, docs) + np.add.reduceat(inside[token], start)
+                pair, times = np.unique(np.searchsorted(stop, miss, side="right") * len(each) + token[miss], return_counts=True)
+                # A row for each text, then one for each rare word of a text.
+                m, r = part.num_rows, len(pair)
+                first = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(r, pa.array(x).type)])
+                known_tokens = np.add.reduceat(hit[token].astype(np.int64), start)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[np.zeros(m, np.int32), np.ones(r, np.int32)]), part.column(0).take(index), part.column(1).take(index),
-                    take(part.column(3).to_pylist(), pa.bool_()), take(n_tokens, pa.int64()), take(n_known, pa.int64()),
-                    take(base, pa.float64()), take(logp, pa.float64()),
-                    pa.array([end] * m + [w for _, w, _ in rare], pa.binary()), pa.array([1] * m + [n for _, _, n in rare], pa.int64()),
+                    pa.array(np.repeat(np.arange(2, dtype=np.int32), (m, r))), part.column(0).take(pa.array(np.r_[np.arange(m), pair // len(each)])),
+                    first(part.column(1)), first(part.column(2)), first(size + 1), first(known_tokens),
+                    first(np.add.reduceat(base[token], start) + (size + 1 - known_tokens) * np.log10(0.5)), first(logp + (size + 1 - known_tokens) * np.log(0.5)),
+                    pa.concat_arrays([pa.nulls(m, pa.binary()), each.take(pa.array(pair % len(each)))]), pa.array(np.r_[np.zeros(m, np.int64), times]),
                 ], names=[f.split()[0] for f in _SCORED.split(", ")])
 
-    scored = materialize(rows.select("doc_id", F.xxhash64("text").alias("h"), "text", "held_out").mapInArrow(run, _SCORED), "lm-scored")
-    # Rare words: the number of rows with the same id and text (kind 0) tells
-    # how often each was emitted.
-    rare = scored.filter("kind = 1").select("doc_id", "h", "word", "n").join(counts, "word", "left")
-    rare = rare.groupBy("doc_id", "h").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("l"), F.sum("n").alias("n"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
-    rare = materialize(rare.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "l", F.col("n").alias("r_n"), "seen"), "lm-rare")
-    whole = scored.filter("kind = 0").drop("word", "n", "kind")
-    copies = materialize(whole.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(
-        F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "copies"), "lm-copies")
-    both = whole.join(rare, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").join(
-        copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
-    share = 1.0 / F.coalesce("copies", F.lit(1))
-    l, n, seen = (F.coalesce(F.col(x), F.lit(0)) * share for x in ("l", "r_n", "seen"))
+    # The number of a row tells rows of one id and text apart.
+    numbered = rows.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "held_out", "text")
+    scored = materialize(numbered.mapInArrow(run, _SCORED), "lm-scored")
+    # So far a rare word has count 0; what its own count adds is summed by row.
+    adds = counts.select("word", (F.log10(F.col("c") + 0.5) - F.lit(float(np.log10(0.5)))).alias("l"))
+    rare = scored.filter("kind = 1").select("ref", "word", "n").join(adds, "word")
+    rare = rare.groupBy("ref").agg(F.sum(F.col("n") * F.col("l")).alias("l"), F.sum("n").alias("seen"))
+    both = scored.filter("kind = 0").drop("word", "n", "kind").join(rare, "ref", "left")
+    l, seen = F.coalesce("l", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+    unknown = F.col("n_tokens") - F.col("n_known")
     return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.round(seen).cast("long")).alias("n_known"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + l - n * F.lit(float(np.log10(denominator)) if denominator > 0 else 0.0)).alias("base_score"),
+        (F.col("base") + l - unknown * F.lit(float(np.log10(denominator)) if denominator > 0 else 0.0)).alias("base_score"),
         (F.col("logp") / F.lit(_LOG10) + l).alias("score"))
