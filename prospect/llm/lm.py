@@ -25,9 +25,8 @@ sums, weighted by tokens, between rounds.
 
 *Scoring.*  Documents run side by side, longest first, the state carried from
 window to window until the document ends.  Counts of at most ``KNOWN`` most
-frequent words, chosen by a histogram of counts, travel to the tasks;
-occurrences of rarer words are joined to the whole count table by a shuffle, so
-no count is cut off.
+frequent words, chosen by a histogram of counts, travel to the tasks; rarer words
+meet the whole count table by buckets of words, so no count is cut off.
 
 Edge cases: NULL and empty texts are the end token alone; a NULL ``doc_id`` is
 neither held out nor trained on apart (it counts as training); repeated rows
@@ -72,7 +71,7 @@ SCORE_LANES, WINDOW = 2048, 1 << 13
 #: The end token; it cannot be a word (it holds a space).
 END = " "
 #: Words counted at once by a task, rows and bytes of text in one go.
-_FLUSH, _ROWS, _BYTES = 4_000_000, 400_000, 3 << 23
+_FLUSH, _ROWS, _BYTES = 4_000_000, 400_000, 1 << 25
 _LOG10 = float(np.log(10.0))
 
 
@@ -93,9 +92,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _parts(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` of about ``_BYTES`` bytes in column ``texts``."""
+    """Slices of ``batch`` of like size in column ``texts``, about ``_BYTES`` bytes
+    at most."""
     size = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
-    share = np.cumsum(size, dtype=np.int64) // _BYTES
+    share = np.cumsum(size, dtype=np.int64)
+    total = int(share[-1]) if len(share) else 0
+    share //= -(-total // max(1, -(-total // _BYTES))) + 1
     cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         if lo < hi:
@@ -332,23 +334,23 @@ def _gradient(p: list[np.ndarray], inp: np.ndarray, target: np.ndarray, h: np.nd
         h = np.subtract(prev[t], c, out=states[t, :n])
         h *= g[:n]
         h += c
-    skip = (target == CUT) | cut
-    cls = np.where(skip, CLASSES, _class_of(target)).astype(np.int16)
+    # From here to the way back: values x tokens.
+    flat, goal, skip = states.transpose(1, 0, 2).reshape(n + 1, -1), target.reshape(-1), ((target == CUT) | cut).reshape(-1)
+    cls = np.where(skip, CLASSES, _class_of(goal)).astype(np.int16)
     classes, words = _with_bias(wc.T, bc), _with_bias(ww, bw)
-    prob = classes @ states
+    prob = classes @ flat
     prob *= 1 / _exp_sums(prob, classes)[0]
-    step, lane = np.nonzero(~skip)
-    if len(step) < skip.size:
-        prob *= ~skip[:, None]
-    prob[step, cls[step, lane], lane] -= 1
-    into, dclass = wc @ prob, (prob @ turned(states)).sum(axis=0)
+    rows = np.flatnonzero(~skip)
+    if len(rows) < len(skip):
+        prob[:, skip] = 0
+    prob[cls[rows], rows] -= 1
+    into, dclass = wc @ prob, prob @ flat.T
     # Words inside head classes, in order of class.
-    cls, goal = cls.reshape(-1), target.reshape(-1)
     by = np.argsort(cls, kind="stable")
     cuts = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
     by = by[:cuts[-1]]
     spans = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
-    inside = states.transpose(1, 0, 2).reshape(n + 1, -1).take(by, axis=1)
+    inside = flat.take(by, axis=1)
     inner = np.empty((CLASS_WORDS, len(by)), np.float32)
     for k, at in spans:
         np.matmul(words[k], inside[:, at], out=inner[:, at])
@@ -360,7 +362,8 @@ def _gradient(p: list[np.ndarray], inp: np.ndarray, target: np.ndarray, h: np.nd
         np.matmul(ww[k].T, inner[:, at], out=back[:, at])
     place = np.full(len(cls), len(by))
     place[by] = np.arange(len(by))
-    into += back.take(place, axis=1).reshape(n, steps, lanes).transpose(1, 0, 2)
+    into += back.take(place, axis=1)
+    into = np.ascontiguousarray(into.reshape(n, steps, lanes).transpose(1, 0, 2))
     # Factors of all steps at once, then back through time.
     z, g = x[:, :n], x[:, n:2 * n]
     rest = 1 - z
@@ -392,7 +395,7 @@ def _gradient(p: list[np.ndarray], inp: np.ndarray, target: np.ndarray, h: np.nd
     cell = symbol[:, None] * EMBED + np.arange(EMBED)[:, None]
     demb = np.bincount(cell.reshape(-1), (wx @ d[:, n:]).reshape(-1), emb.size).reshape(emb.shape)
     grad = [demb, dinput[:EMBED], du, dinput[EMBED], dclass[:, :n].T, dclass[:, n], dwords[:, :, :n], dwords[:, :, n]]
-    return grad, h.T, len(step)
+    return grad, h.T, len(rows)
 
 
 def score_batch(p: list[np.ndarray], v: Vocabulary, docs: list[np.ndarray], symbols: list[np.ndarray]) -> np.ndarray:
@@ -434,9 +437,9 @@ def score_batch(p: list[np.ndarray], v: Vocabulary, docs: list[np.ndarray], symb
         # Lanes longer than t, for every t, and symbols step by step.
         alive = np.searchsorted(-many, -np.arange(many[0]), side="left")
         begin = np.r_[0, np.cumsum(alive)]
-        lane = np.repeat(np.arange(len(lanes)), many)
+        lane = np.repeat(np.arange(len(lanes), dtype=np.int32), many)
         place = begin[np.arange(len(lane)) - np.repeat(np.cumsum(many) - many, many)] + lane
-        goals, owner = np.empty(len(lane), np.int64), np.empty(len(lane), np.int64)
+        goals, owner = np.empty(len(lane), np.int16), np.empty(len(lane), np.int32)
         goals[place], owner[place] = np.concatenate([symbols[i] for i in lanes]), lane
         logp = np.empty(len(lane), np.float32)
         h = np.zeros((n, len(lanes)), np.float32)
@@ -591,7 +594,54 @@ def fit(docs: DataFrame, known: tuple) -> np.ndarray:
     return flat
 
 
-_SCORED = "kind int, ref long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double, word binary, n long"
+_SCORED = ("kind int, ref long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logp double, "
+           "bucket int, words array<binary>, rows array<int>, refs array<long>, times array<long>")
+
+
+def _rare_words(words: pa.Array, word: np.ndarray, ref: np.ndarray, times: np.ndarray, buckets: int) -> list[pa.Array]:
+    """A row a bucket of words: the words, the number of rows with each, those
+    rows and how often each has the word.  ``word`` is in rising order."""
+    used, rows = np.unique(word, return_counts=True)
+    words = words.take(pa.array(used))
+    bucket = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words)) % buckets
+    order, of_row = np.argsort(bucket, kind="stable"), np.repeat(bucket, rows)
+    each = np.argsort(of_row, kind="stable")
+    found = np.unique(bucket)
+    lists = lambda keys, values: pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(keys, found), len(keys)], pa.int32()), values)
+    b, r = bucket[order], of_row[each]
+    return [pa.array(found, pa.int32()), lists(b, words.take(pa.array(order))), lists(b, pa.array(rows[order], pa.int32())),
+            lists(r, pa.array(ref[each], pa.int64())), lists(r, pa.array(times[each], pa.int64()))]
+
+
+def _sums(ref: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct ``ref`` and the sums of ``values``."""
+    ref, at = np.unique(ref, return_inverse=True)
+    return [ref, *(np.bincount(at, v, len(ref)) for v in values)]
+
+
+_ADDED = "ref long, refs array<long>, l array<double>, seen array<long>"
+
+
+def _look_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    """What the counts of a bucket's words add, a row for each row of ``texts``."""
+    known, c = counts.column("word").combine_chunks(), counts.column("c").to_numpy()
+    out = []
+    for row in range(texts.num_rows):
+        words, rows, refs, times = (texts.column(k)[row].values for k in ("words", "rows", "refs", "times"))
+        code = _codes(words, known)
+        count = np.where(code < 0, 0, c[code]) if len(c) else np.zeros(len(code))
+        count, times = np.repeat(count, rows.to_numpy()), times.to_numpy()
+        ref, l, seen = _sums(refs.to_numpy(), times * (np.log10(count + 0.5) - np.log10(0.5)), times * (count > 0))
+        out.append((texts.column("ref")[row].as_py(), ref, l, seen.astype(np.int64)))
+    lists = lambda k, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x[k]) for x in out])], pa.int32()), pa.array(
+        np.concatenate([x[k] for x in out]) if out else [], kind))
+    return pa.table([pa.array([x[0] for x in out], pa.int64()), lists(1, pa.int64()), lists(2, pa.float64()), lists(3, pa.int64())], ["ref", "refs", "l", "seen"])
+
+
+def _add_up(part: pa.Table) -> pa.Table:
+    ref, l, seen = (pc.list_flatten(part.column(k)).to_numpy() for k in ("refs", "l", "seen"))
+    ref, l, seen = _sums(ref, l, seen)
+    return pa.table([pa.array(ref), pa.array(l), pa.array(seen.astype(np.int64))], ["ref", "l", "seen"])
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -606,6 +656,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     vocabulary = Vocabulary(*known)
     denominator, train_tokens = vocabulary.denominator, known[2]
     shapes = [a.shape for a in _network(vocabulary)]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known[3] // _ROWS))
+    names = [f.split()[0] for f in _SCORED.split(", ")]
     sent = spark.sparkContext.broadcast((known, flat))  # KNOWN words and one network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -623,32 +675,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 inside, base = np.zeros(len(each)), np.zeros(len(each))
                 inside[~hit] = -np.log(v.z[symbol[~hit] - HEAD])
                 inside[hit], base[hit], symbol[hit] = v.inside[code[hit]], v.base[code[hit]], v.symbol[code[hit]]
-                token, stop = with_ends(flat.indices.to_numpy().astype(np.int64), size, len(each) - 1)
+                token, stop = with_ends(flat.indices.to_numpy(), size, len(each) - 1)
                 start = stop - size - 1
                 miss = np.flatnonzero(~hit[token])
-                docs = np.split(symbol[token], stop[:-1])
+                docs = np.split(symbol.astype(np.int16)[token], stop[:-1])
                 with np.errstate(over="ignore"):
                     logp = score_batch(p, v, docs, docs) + np.add.reduceat(inside[token], start)
-                pair, times = np.unique(np.searchsorted(stop, miss, side="right") * len(each) + token[miss], return_counts=True)
-                # A row for each text, then one for each rare word of a text.
-                m, r = part.num_rows, len(pair)
-                first = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(r, pa.array(x).type)])
+                pair, times = np.unique(np.searchsorted(stop, miss, side="right") + token[miss].astype(np.int64) * len(size), return_counts=True)
                 known_tokens = np.add.reduceat(hit[token].astype(np.int64), start)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(np.arange(2, dtype=np.int32), (m, r))), part.column(0).take(pa.array(np.r_[np.arange(m), pair // len(each)])),
-                    first(part.column(1)), first(part.column(2)), first(size + 1), first(known_tokens),
-                    first(np.add.reduceat(base[token], start) + (size + 1 - known_tokens) * np.log10(0.5)), first(logp + (size + 1 - known_tokens) * np.log(0.5)),
-                    pa.concat_arrays([pa.nulls(m, pa.binary()), each.take(pa.array(pair % len(each)))]), pa.array(np.r_[np.zeros(m, np.int64), times]),
-                ], names=[f.split()[0] for f in _SCORED.split(", ")])
+                rare_tokens = size + 1 - known_tokens
+                texts = [pa.array(np.zeros(len(size), np.int32)), *part.columns[:3], pa.array(size + 1), pa.array(known_tokens),
+                         pa.array(np.add.reduceat(base[token], start) + rare_tokens * np.log10(0.5)), pa.array(logp + rare_tokens * np.log(0.5))]
+                ref = part.column(0).to_numpy()
+                rare = _rare_words(each, pair // len(size), ref[pair % len(size)], times, buckets)
+                group = [pa.array(np.ones(len(rare[0]), np.int32)), pa.array(np.full(len(rare[0]), ref[0]))]
+                yield pa.RecordBatch.from_arrays(texts + [pa.nulls(len(size), x.type) for x in rare], names=names)
+                yield pa.RecordBatch.from_arrays(group + [pa.nulls(len(rare[0]), x.type) for x in texts[2:]] + rare, names=names)
 
     # The number of a row tells rows of one id and text apart.
     numbered = rows.select(F.monotonically_increasing_id().alias("ref"), "doc_id", "held_out", "text")
     scored = materialize(numbered.mapInArrow(run, _SCORED), "lm-scored")
-    # So far a rare word has count 0; what its own count adds is summed by row.
-    adds = counts.select("word", (F.log10(F.col("c") + 0.5) - F.lit(float(np.log10(0.5)))).alias("l"))
-    rare = scored.filter("kind = 1").select("ref", "word", "n").join(adds, "word")
-    rare = rare.groupBy("ref").agg(F.sum(F.col("n") * F.col("l")).alias("l"), F.sum("n").alias("seen"))
-    both = scored.filter("kind = 0").drop("word", "n", "kind").join(rare, "ref", "left")
+    # So far a rare word has count 0.  What its own count adds is looked up by
+    # buckets of words, a bounded number of distinct ones each, and summed by row.
+    bucket = (F.crc32("word") % F.lit(buckets)).cast("int").alias("bucket")
+    rare = scored.filter("kind = 1").select("ref", "bucket", "words", "rows", "refs", "times").groupBy("bucket")
+    rare = rare.cogroup(counts.select(bucket, "word", "c").groupBy("bucket")).applyInArrow(_look_up, _ADDED)
+    rare = rare.groupBy("ref").applyInArrow(_add_up, "ref long, l double, seen long")
+    both = scored.filter("kind = 0").select("ref", "doc_id", "held_out", "n_tokens", "n_known", "base", "logp").join(rare, "ref", "left")
     l, seen = F.coalesce("l", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     unknown = F.col("n_tokens") - F.col("n_known")
     return both.select(

@@ -1,6 +1,9 @@
 """The language model against plain arithmetic, and the deal of its streams."""
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +112,71 @@ def test_edges_null_ids_empty_tables_repeated_rows_clashing_columns(spark):
     assert alone
     for r in alone:
         assert r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"])
+
+
+def test_words_and_shapes_are_those_of_the_plain_rule():
+    texts = ["a  B\tc\x0b", None, "", " \n ", "\x00x  é Ünï \x1cd İ", " lead", "one,two. three! 4? (x) " * 3, "日本 " * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for part in (batch, batch.slice(3, 4)):
+        flat, size = lm.split_words(part.column(0))
+        plain = [lm.tokens(t) for t in part.column(0).to_pylist()]
+        assert size.tolist() == [len(w) for w in plain]
+        words = [w for ws in plain for w in ws]
+        assert flat.cast(pa.binary()).to_pylist() == words
+
+    def shape(w):
+        last = w[-1:]
+        end = 0 if last.isalnum() or last >= b"\x80" else 1 if last in b".,!" else 2
+        return zlib.crc32(bytes((min(len(w).bit_length(), 4), w.isascii(), end, w[:1].isalpha()))) % lm.TAIL
+
+    words += [b" ", b"a" * 7, b"a" * 8, b"a" * 300]
+    got = lm.tail_classes(pa.array([b"skipped", *words], pa.binary()).slice(1))
+    assert got.tolist() == [shape(w) for w in words]
+
+
+def test_slices_of_a_batch_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(lm, "_BYTES", 10)
+    for texts in ([], [None], ["", ""], ["x" * 35], ["abc"] * 20 + [None] + ["y" * 25] + [""] * 3):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        assert [t for p in lm._parts(batch, 0) for t in p.column(0).to_pylist()] == texts
+
+
+def test_rare_words_are_summed_by_row():
+    words = [b"p", b"q", b"r", b"s", b"t"]
+    # (word, row, times) in order of words, for two groups of rows; t has no count.
+    groups = {10: [(1, 10, 2), (1, 12, 1), (3, 10, 5), (4, 11, 3)], 20: [(0, 20, 1), (1, 20, 4)]}
+    counts = {b"p": 3, b"q": 7, b"s": 1}
+    rows = []
+    for ref, triples in groups.items():
+        w, r, n = (np.array(x) for x in zip(*triples))
+        out = lm._rare_words(pa.array(words), w, r, n, 3)
+        rows += [(ref, *x) for x in zip(*(a.to_pylist() for a in out))]
+    by = {}
+    for ref, bucket, ws, many, refs, times in rows:
+        assert all(zlib.crc32(w) % 3 == bucket for w in ws) and sum(many) == len(refs) == len(times)
+        by.setdefault(bucket, []).append((ref, ws, many, refs, times))
+    kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    found = []
+    for bucket, part in by.items():
+        texts = pa.table([pa.array(x, k) for x, k in zip(zip(*part), kinds)], ["ref", "words", "rows", "refs", "times"])
+        here = {w: c for w, c in counts.items() if zlib.crc32(w) % 3 == bucket}
+        found.append(lm._look_up(texts, pa.table({"word": pa.array(list(here), pa.binary()), "c": pa.array(list(here.values()), pa.int64())})))
+    got = {r["ref"]: (r["l"], r["seen"]) for r in lm._add_up(pa.concat_tables(found)).to_pylist()}
+    want = {}
+    for triples in groups.values():
+        for w, r, n in triples:
+            c = counts.get(words[w], 0)
+            l, seen = want.get(r, (0.0, 0))
+            want[r] = l + n * (np.log10(c + 0.5) - np.log10(0.5)), seen + n * (c > 0)
+    assert got.keys() == want.keys()
+    assert all(got[r] == pytest.approx(want[r]) for r in want)
+
+
+def test_large_weights_stay_finite():
+    p, v = _parameters(5), _vocabulary()
+    p[4] *= 500  # logits of some hundreds, beyond the range of exp
+    docs = [np.array([3, 9, 1, 30, 0])]
+    got = lm.score_batch([a.astype(np.float32) for a in p], v, docs, docs)
+    assert got == pytest.approx([-_token_by_token(p, [0, *docs[0]])], rel=1e-3)
+    grad, _, _ = lm._gradient([a.astype(np.float32) for a in p], docs[0][:4, None], docs[0][1:, None], np.zeros((1, lm.HIDDEN), np.float32), 0)
+    assert all(np.isfinite(g).all() for g in grad)
