@@ -192,13 +192,14 @@ class Vocabulary:
     """What tasks need of the counts: codes of known words.
 
     Code ``i < HEAD`` is a head word; other known words follow; an unknown
-    word has code ``-1 - tail class``.  Symbols (network inputs) are head words
+    word has code -1.  Symbols (network inputs) are head words
     and tail classes."""
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, mass: dict[int, float]):
         self.words, self.total, self.distinct = words, total, distinct
+        self.known = pa.array(words, pa.binary())
         self.c = np.array(counts, dtype=np.float64)
-        shapes, head = tail_classes(pa.array(words, pa.binary())), min(HEAD, len(words))
+        shapes, head = tail_classes(self.known), min(HEAD, len(words))
         tail = shapes[head:]
         lost = np.bincount(shapes[:head], self.c[:head] + 0.5, TAIL)
         # Mass of a tail class: its words outside the head and one unseen word.
@@ -216,6 +217,10 @@ class Vocabulary:
     def denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
+    def encode(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        """Code of each word, -1 for unknown ones."""
+        return _codes(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), self.known)
+
 
 def _network(v: Vocabulary, seed: int = 3) -> list[np.ndarray]:
     """Parameters that start as the unigram model."""
@@ -663,14 +668,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*sent.value[0])
         p = _unpack(sent.value[1], [np.empty(s, np.float32) for s in shapes])
-        words = pa.array(v.words, pa.binary())
         for batch in batches:
             for part in _parts(batch, 3):
                 flat, size = split_words(part.column(3))
                 flat = flat.dictionary_encode()
                 each = pa.concat_arrays([flat.dictionary.cast(pa.binary()), pa.array([END.encode()])])
                 # What is known of every word, then of every token.
-                code, symbol = _codes(each, words), HEAD + tail_classes(each)
+                code, symbol = v.encode(each), HEAD + tail_classes(each)
                 hit = code >= 0
                 inside, base = np.zeros(len(each)), np.zeros(len(each))
                 inside[~hit] = -np.log(v.z[symbol[~hit] - HEAD])
