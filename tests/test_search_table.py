@@ -1,6 +1,7 @@
 """The pre-joined search table, bit-set profiles and the skew-adaptive grid."""
 
 import datetime as dt
+import math
 import random
 from dataclasses import replace
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prospect.functions.expressions import haversine_miles
 from prospect.operators import aggregates as A
-from prospect.operators.skew import hot_splits
+from prospect.operators.skew import blocks, deal, hot_splits, unpacked
 from prospect.plans import batch as B
 from prospect.plans.registry import SEARCHES
 from prospect.plans.search import SearchRequest, search, search_unordered
@@ -167,3 +168,46 @@ def test_splits_are_few_and_cover_the_share(spark):
     assert len(splits) < 17 and {(r["cx"], r["cy"]): r["pieces"] for r in splits} == {
         c: min(cells[c], -(-p // share)) for c, p in pairs.items() if p > share}
     assert hot_splits(asked.limit(0), held, B.CELL, 16) is None
+
+
+def test_pairs_on_the_radius_and_points_nowhere(spark):
+    """Stored products leave pairs within rounding of the radius to the distance itself,
+    and points without coordinates meet nobody, in both plans."""
+    rng = random.Random(7)
+    points = [(f"C{i:04}", 51.0 + rng.random() / 5, -1.0 + rng.random() / 5) for i in range(300)]
+    points += [("N1", None, -1.0), ("N2", 51.1, None), ("N3", float("nan"), -1.0), ("N4", None, None)]
+    companies = spark.createDataFrame(points, "CompanyNumber string, lat double, long double")
+    spots = spark.createDataFrame([(51.0 + rng.random() / 5, -1.0 + rng.random() / 5) for _ in range(6)], "t_lat double, t_lon double")
+    away = spots.crossJoin(companies.where("lat > 0 AND long < 0")).select(
+        "t_lat", "t_lon", haversine_miles(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("long")).alias("radius_miles")).collect()
+    # Each radius is a pair's distance, the next double below it, or close to nothing.
+    asked = [(f"r{i}", r["t_lat"], r["t_lon"], d, True) for i, r in enumerate(rng.sample(away, 40))
+             for d in [r["radius_miles"] if i % 2 else math.nextafter(r["radius_miles"], 0.0)]]
+    asked += [("zero", points[0][1], points[0][2], 0.0, True), ("hair", points[1][1], points[1][2], 1e-7, True)]
+    requests = spark.createDataFrame(asked, "request_id string, t_lat double, t_lon double, radius_miles double, found boolean").withColumn("max_results", F.lit(None).cast("int"))
+    stats = B.batch_stats(requests)
+    brute = sorted(requests.crossJoin(companies.where("lat > 0 AND long < 0")).where(
+        haversine_miles(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("long")) <= F.col("radius_miles")).select("request_id", "CompanyNumber").collect())
+    few = B.meet(requests, companies, stats["levels"], "CompanyNumber", stats["requests"])
+    with no_broadcast(spark):
+        many = B.meet(requests, companies, stats["levels"], "CompanyNumber", stats["requests"])
+        assert "posexplode(_rows" in plan(many) and "ASIN" not in plan(many.select("request_id")).split("_least")[0]
+        rows = many.select("request_id", "CompanyNumber", "distance_miles").collect()
+    assert sorted((r[0], r[1]) for r in rows) == [tuple(r) for r in brute]
+    assert sorted(few.select("request_id", "CompanyNumber", "distance_miles").collect()) == sorted(rows)
+    assert ("zero", "C0000") in [tuple(r) for r in brute] and ("hair", "C0001") in [tuple(r) for r in brute]
+
+
+def test_blocks_are_bounded_and_lose_no_row(spark):
+    """A key of few pairs but many rows is split by its rows too; lists keep NULLs in place."""
+    held = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("name"),
+                                    F.when(F.col("id") % 5 > 0, F.col("id") * 2).alias("twice"))
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "k int, who string")
+    splits = hot_splits(asked.select("k"), held.select("k"), ["k"], 1, 100)
+    assert splits.collect()[0]["pieces"] == 50 and hot_splits(asked.select("k"), held.select("k"), ["k"], 1).count() == 0
+    copied, dealt, on = deal(asked, held, ["k"], splits, "n")
+    packed = blocks(dealt, on)
+    assert max(r[0] for r in packed.select(F.size("_rows")).collect()) < 200
+    found = unpacked(copied.join(packed, on), dealt, on).select("who", "n", "name", "twice").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == [
+        ("a", i, str(i) if i % 3 else None, 2 * i if i % 5 else None) for i in range(5000)]
