@@ -211,3 +211,39 @@ def test_blocks_are_bounded_and_lose_no_row(spark):
     found = unpacked(copied.join(packed, on), dealt, on).select("who", "n", "name", "twice").collect()
     assert sorted(map(tuple, found), key=lambda r: r[1]) == [
         ("a", i, str(i) if i % 3 else None, 2 * i if i % 5 else None) for i in range(5000)]
+
+
+def test_limits_are_met_in_rounds(spark, small_tables, monkeypatch):
+    """Requests with a limit look near their target first; whatever the rounds take,
+    the rows are those of the whole radius."""
+    located = located_requests(spark, small_tables).withColumn("radius_miles", F.least(F.col("radius_miles") * 4, F.lit(500.0)))
+    # Two limits that are met nearby, in part, or not at all.
+    located = B.materialize(located.withColumn("max_results", F.when(F.col("request_id") < "R000050", F.lit(2)).otherwise(F.col("max_results"))), "test-limits")
+
+    def run():
+        return sorted(map(repr, B.search_many_filters(small_tables, located, AS_OF).collect()))
+
+    few, stages = run(), []
+    monkeypatch.setattr(B, "materialize", lambda df, name="stage", kept=B.materialize: stages.append(name) or kept(df, name))
+    with no_broadcast(spark):
+        assert run() == few and few and "many-nearest" not in stages
+        monkeypatch.setattr(B, "ROUND_PAIRS", 0)
+        for rounds in [(2, 8), (1, 1, 2), (1 << 20,)]:
+            monkeypatch.setattr(B, "ROUND_CANDIDATES", rounds)
+            stages.clear()
+            assert run() == few
+            assert stages.count("many-nearest") == (1 if rounds[0] > 2 else len(rounds))
+
+
+def test_a_limit_without_an_id_of_its_own_is_met_at_once(spark, small_tables, monkeypatch):
+    located = located_requests(spark, small_tables).where("found AND max_results > 0")
+    twice = B.materialize(located.unionByName(located.limit(3)).withColumn(
+        "request_id", F.when(F.col("request_id") < "R000050", F.col("request_id"))), "test-twice")
+
+    def run():
+        return sorted(map(repr, B.search_many_filters(small_tables, twice, AS_OF).collect()))
+
+    with no_broadcast(spark):
+        whole = run()
+        monkeypatch.setattr(B, "ROUND_PAIRS", 0)
+        assert run() == whole and any("request_id=None" in r for r in whole)
